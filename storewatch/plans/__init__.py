@@ -1,0 +1,9 @@
+"""Pipelines and the registered query catalog."""
+
+
+def load_all() -> None:
+    """Import every query module so that it registers itself."""
+    import importlib
+
+    for mod in ("q_scoring",):
+        importlib.import_module(f"storewatch.plans.{mod}")
