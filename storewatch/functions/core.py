@@ -21,9 +21,9 @@ def missing(x) -> Column:
 
 
 def clip(x, lo: float, hi: float) -> Column:
-    """Clip to [lo, hi]; missing stays missing."""
+    """Clip to [lo, hi]; missing stays missing (NaN is turned into NULL at ingest by ``safe_null``)."""
     x = _c(x)
-    return F.when(missing(x), F.lit(None).cast("double")).otherwise(
+    return F.when(x.isNull(), F.lit(None).cast("double")).otherwise(
         F.least(F.greatest(x.cast("double"), F.lit(float(lo))), F.lit(float(hi))))
 
 
@@ -40,7 +40,7 @@ def zero01(x) -> Column:
 def relu_minus(x) -> Column:
     """max(0, -x); missing stays missing."""
     x = _c(x)
-    return F.when(missing(x), F.lit(None).cast("double")).otherwise(F.greatest(-x.cast("double"), F.lit(0.0)))
+    return F.when(x.isNull(), F.lit(None).cast("double")).otherwise(F.greatest(-x.cast("double"), F.lit(0.0)))
 
 
 def logistic(x) -> Column:
@@ -57,7 +57,7 @@ def to_percent(x) -> Column:
 def nanmax(a, b) -> Column:
     """Element-wise max that propagates missing values."""
     a, b = _c(a), _c(b)
-    return F.when(missing(a) | missing(b), F.lit(None).cast("double")).otherwise(F.greatest(a, b))
+    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("double")).otherwise(F.greatest(a, b))
 
 
 def logit(p, eps: float = LOGIT_CLIP) -> Column:

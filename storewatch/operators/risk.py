@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storewatch.constants import AGE_COLS, ALPHA, BETA, GAMMA, KEY_MCT, KEY_YM, TYPE_COLS
-from storewatch.functions.core import (clip01, col_or_default, logistic, nanmax, relu_minus, to_percent,
+from storewatch.functions.core import (col_or_default, logistic, nanmax, relu_minus, to_percent,
                                        zero01)
 from storewatch.operators.windows import mom, store_window, with_robust_z
 
@@ -46,38 +46,58 @@ def risk_inputs(df: DataFrame, store: str = KEY_MCT, month: str = KEY_YM) -> Dat
                              "_zH": F.col("_h_age"), "_zT": F.col("_h_type")}, w)
 
 
-def sales_expr(df: DataFrame) -> F.Column:
-    s_drop = zero01((relu_minus("_mom_rS") + relu_minus("_mom_rC")) / F.lit(2.0))
-    s_aov = zero01(relu_minus("_zA_z"))
-    s_cxl = zero01(nanmax(F.col("_rX"), logistic(F.col("_zX_z"))))
-    ind = zero01(F.lit(1.0) - to_percent(col_or_default(df, "M12_SME_RY_SAA_PCE_RT", 50.0)))
-    bzn = zero01(F.lit(1.0) - to_percent(col_or_default(df, "M12_SME_BZN_SAA_PCE_RT", 50.0)))
-    s_peer = zero01((ind + bzn) / F.lit(2.0))
-    jump = zero01(relu_minus(-F.col("_mom_dlv")) + relu_minus(-F.col("_zD_z")))
-    return zero01(F.lit(0.35) * s_drop + F.lit(0.15) * s_aov + F.lit(0.20) * s_cxl + F.lit(0.20) * s_peer
-                  + F.lit(0.10) * (F.col("_dlv") * jump))
-
-
-def customer_expr(df: DataFrame) -> F.Column:
-    s_drop = zero01(relu_minus("_mom_rU") + relu_minus("_zU_z"))
-    s_loyal = zero01(relu_minus("_mom_reu"))
-    s_acq = zero01(relu_minus("_mom_new"))
-    s_mix = zero01(nanmax(F.lit(0.0), F.col("_zH_z")))
-    s_type = zero01(nanmax(F.lit(0.0), F.col("_zT_z")))
-    return zero01(F.lit(0.40) * s_drop + F.lit(0.25) * s_loyal + F.lit(0.20) * s_acq + F.lit(0.10) * s_mix
-                  + F.lit(0.05) * s_type)
-
-
-def market_expr(df: DataFrame) -> F.Column:
-    h_ind = zero01(to_percent(col_or_default(df, "M12_SME_RY_ME_MCT_RAT", 0.0)))
-    h_bzn = zero01(to_percent(col_or_default(df, "M12_SME_BZN_ME_MCT_RAT", 0.0)))
-    closure = zero01((h_ind + h_bzn) / F.lit(2.0))
-    u_rev = zero01(F.lit(1.0) - to_percent(col_or_default(df, "M1_SME_RY_SAA_RAT", 100.0)))
-    u_cnt = zero01(F.lit(1.0) - to_percent(col_or_default(df, "M1_SME_RY_CNT_RAT", 100.0)))
-    under = zero01((u_rev + u_cnt) / F.lit(2.0))
-    a = F.col("MCT_OPE_MS_CN_RANK")
-    s_age = zero01(clip01(F.lit(4.0) * F.when(a.isNull(), None).otherwise(F.least(a, F.lit(1.0) - a))))
-    return zero01(F.lit(0.50) * closure + F.lit(0.35) * under + F.lit(0.15) * s_age)
+def _stage(d: DataFrame, cols: dict) -> DataFrame:
+    """Materialise terms as columns so later clips reference a column, not a copy of the subtree."""
+    return d.withColumns(cols)
+
+
+def with_sales_risk(d: DataFrame, df: DataFrame) -> DataFrame:
+    d = _stage(d, {
+        "_s_drop": zero01((relu_minus("_mom_rS") + relu_minus("_mom_rC")) / F.lit(2.0)),
+        "_s_aov": zero01(relu_minus("_zA_z")),
+        "_s_cxl": zero01(nanmax(F.col("_rX"), logistic(F.col("_zX_z")))),
+        "_ind_pct": to_percent(col_or_default(df, "M12_SME_RY_SAA_PCE_RT", 50.0)),
+        "_bzn_pct": to_percent(col_or_default(df, "M12_SME_BZN_SAA_PCE_RT", 50.0)),
+        "_jump": zero01(relu_minus(-F.col("_mom_dlv")) + relu_minus(-F.col("_zD_z"))),
+    })
+    d = _stage(d, {"_ind": zero01(F.lit(1.0) - F.col("_ind_pct")), "_bzn": zero01(F.lit(1.0) - F.col("_bzn_pct"))})
+    d = _stage(d, {"_s_peer": zero01((F.col("_ind") + F.col("_bzn")) / F.lit(2.0))})
+    return d.withColumn("Sales_Risk", zero01(
+        F.lit(0.35) * F.col("_s_drop") + F.lit(0.15) * F.col("_s_aov") + F.lit(0.20) * F.col("_s_cxl")
+        + F.lit(0.20) * F.col("_s_peer") + F.lit(0.10) * (F.col("_dlv") * F.col("_jump"))))
+
+
+def with_customer_risk(d: DataFrame) -> DataFrame:
+    d = _stage(d, {
+        "_c_drop": zero01(relu_minus("_mom_rU") + relu_minus("_zU_z")),
+        "_c_loyal": zero01(relu_minus("_mom_reu")),
+        "_c_acq": zero01(relu_minus("_mom_new")),
+        "_c_mix": zero01(nanmax(F.lit(0.0), F.col("_zH_z"))),
+        "_c_type": zero01(nanmax(F.lit(0.0), F.col("_zT_z"))),
+    })
+    return d.withColumn("Customer_Risk", zero01(
+        F.lit(0.40) * F.col("_c_drop") + F.lit(0.25) * F.col("_c_loyal") + F.lit(0.20) * F.col("_c_acq")
+        + F.lit(0.10) * F.col("_c_mix") + F.lit(0.05) * F.col("_c_type")))
+
+
+def with_market_risk(d: DataFrame, df: DataFrame) -> DataFrame:
+    d = _stage(d, {
+        "_m_ind": to_percent(col_or_default(df, "M12_SME_RY_ME_MCT_RAT", 0.0)),
+        "_m_bzn": to_percent(col_or_default(df, "M12_SME_BZN_ME_MCT_RAT", 0.0)),
+        "_m_rev": to_percent(col_or_default(df, "M1_SME_RY_SAA_RAT", 100.0)),
+        "_m_cnt": to_percent(col_or_default(df, "M1_SME_RY_CNT_RAT", 100.0)),
+        "_m_a": F.col("MCT_OPE_MS_CN_RANK"),
+    })
+    d = _stage(d, {
+        "_m_ind0": zero01("_m_ind"), "_m_bzn0": zero01("_m_bzn"),
+        "_m_rev0": zero01(F.lit(1.0) - F.col("_m_rev")), "_m_cnt0": zero01(F.lit(1.0) - F.col("_m_cnt")),
+        "_m_age": zero01(F.lit(4.0) * F.when(F.col("_m_a").isNull(), None)
+                         .otherwise(F.least(F.col("_m_a"), F.lit(1.0) - F.col("_m_a")))),
+    })
+    d = _stage(d, {"_m_closure": zero01((F.col("_m_ind0") + F.col("_m_bzn0")) / F.lit(2.0)),
+                   "_m_under": zero01((F.col("_m_rev0") + F.col("_m_cnt0")) / F.lit(2.0))})
+    return d.withColumn("Market_Risk", zero01(
+        F.lit(0.50) * F.col("_m_closure") + F.lit(0.35) * F.col("_m_under") + F.lit(0.15) * F.col("_m_age")))
 
 
 def risk_score_expr() -> F.Column:
@@ -89,12 +109,11 @@ def risk_score_expr() -> F.Column:
 def compute_all_risks(df: DataFrame, store: str = KEY_MCT, month: str = KEY_YM, keep: tuple = ()) -> DataFrame:
     """Keys + Sales_Risk, Customer_Risk, Market_Risk, RiskScore (+ ``keep`` pass-through columns)."""
     d = risk_inputs(df, store, month)
-    d = d.withColumns({"Sales_Risk": sales_expr(df), "Customer_Risk": customer_expr(df),
-                       "Market_Risk": market_expr(df)})
+    d = with_market_risk(with_customer_risk(with_sales_risk(d, df)), df)
     d = d.withColumn("RiskScore", risk_score_expr())
     return d.select(store, month, *keep, *RISK_COLS)
 
 
 def compute_market_risk(df: DataFrame, store: str = KEY_MCT, month: str = KEY_YM) -> DataFrame:
     """Market risk has no window term: a pure projection, no shuffle."""
-    return df.select(store, month, market_expr(df).alias("Market_Risk"))
+    return with_market_risk(df, df).select(store, month, "Market_Risk")

@@ -181,4 +181,5 @@ def build_panel(spark: SparkSession, sf_dir: str, cancel_form: str = "bin") -> P
     preds = (sm.where(h % 13 != 0)
              .select(store.alias("ENCODED_MCT"), F.col("month").alias("TA_YM"),
                      *[((h * p) % 1000 / F.lit(1000.0)).alias(name) for name, p in PRED_PRIMES.items()]))
-    return Panel(merchants, usage, customers, preds, sm)
+    # the four derived tables play the role of the input files: materialise them once
+    return Panel(cut_lineage(merchants), cut_lineage(usage), cut_lineage(customers), cut_lineage(preds), sm)
