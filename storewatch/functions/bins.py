@@ -29,11 +29,25 @@ def bin_rank(x) -> Column:
     return F.coalesce(_lookup(s), _to_number(s))
 
 
-def bin_rank_lenient(x) -> Column:
+def lenient_norm(x) -> Column:
+    """Spacing removed, '~' -> '-', '미만' -> '이하'."""
+    s = F.trim(_c(x).cast("string"))
+    return F.replace(F.replace(F.regexp_replace(s, r"\s", ""), F.lit("~"), F.lit("-")), F.lit("미만"), F.lit("이하"))
+
+
+def with_bin_rank_lenient(df, specs: dict):
+    """``out -> source column``: stages the normalised label as a column first so the parser's pieces
+    reference it instead of repeating the normalisation (keeps generated code small)."""
+    df = df.withColumns({f"_norm_{o}": lenient_norm(src) for o, src in specs.items()})
+    df = df.withColumns({o: bin_rank_lenient(src, norm=F.col(f"_norm_{o}")) for o, src in specs.items()})
+    return df.drop(*[f"_norm_{o}" for o in specs])
+
+
+def bin_rank_lenient(x, norm: Column | None = None) -> Column:
     """Lenient parser: spacing/'~'/'미만' normalised, ranges 'a-b%' -> midpoint, 'n%초과' / 'n%이하' mapped
     into the top / bottom band, else the value as a number."""
     s = F.trim(_c(x).cast("string"))
-    norm = F.replace(F.replace(F.regexp_replace(s, r"\s", ""), F.lit("~"), F.lit("-")), F.lit("미만"), F.lit("이하"))
+    norm = lenient_norm(x) if norm is None else norm
     body = F.regexp_replace(norm, "%", "")
     lo = F.regexp_extract(body, r"(?U)^(\d{1,3})-?", 1).try_cast("double")
     hi_raw = F.regexp_extract(body, r"(?U)-(\d{1,3})$", 1)

@@ -40,7 +40,8 @@ def zero01(x) -> Column:
 def relu_minus(x) -> Column:
     """max(0, -x); missing stays missing."""
     x = _c(x)
-    return F.when(x.isNull(), F.lit(None).cast("double")).otherwise(F.greatest(-x.cast("double"), F.lit(0.0)))
+    return F.when(x.isNull(), F.lit(None).cast("double")).otherwise(
+        F.greatest(-x.cast("double"), F.lit(0.0)) + F.lit(0.0))   # + 0.0 turns -0.0 into 0.0
 
 
 def logistic(x) -> Column:

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storewatch.constants import BIN_COLS, KEY_MCT, KEY_YM
-from storewatch.functions.bins import bin_rank, bin_rank_lenient
+from storewatch.functions.bins import bin_rank, with_bin_rank_lenient
 from storewatch.functions.core import safe_null
 from storewatch.functions.months import month_lenient
 
@@ -51,6 +51,11 @@ def load_and_join(ds1: DataFrame, ds2: DataFrame, ds3: DataFrame, bins_after_cle
 
 def normalize_bins(df: DataFrame, lenient: bool = False) -> DataFrame:
     """Six bin columns -> ``<col>_RANK``; missing or unknown -> 0.5, absent column -> 0.5."""
-    fn = bin_rank_lenient if lenient else bin_rank
-    return df.withColumns({
-        f"{c}_RANK": (F.coalesce(fn(c), F.lit(0.5)) if c in df.columns else F.lit(0.5)) for c in BIN_COLS})
+    present = [c for c in BIN_COLS if c in df.columns]
+    if lenient:
+        df = with_bin_rank_lenient(df, {f"{c}_RANK": c for c in present})
+        ranks = {f"{c}_RANK": F.coalesce(F.col(f"{c}_RANK"), F.lit(0.5)) for c in present}
+    else:
+        ranks = {f"{c}_RANK": F.coalesce(bin_rank(c), F.lit(0.5)) for c in present}
+    ranks.update({f"{c}_RANK": F.lit(0.5) for c in BIN_COLS if c not in present})
+    return df.withColumns(ranks)

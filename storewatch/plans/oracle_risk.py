@@ -14,7 +14,7 @@ def zero01(e: str) -> str:
 
 
 def relu_minus(e: str) -> str:
-    return f"(CASE WHEN ({e}) IS NULL THEN NULL ELSE GREATEST(-({e}), 0.0::DOUBLE) END)"
+    return f"(CASE WHEN ({e}) IS NULL THEN NULL ELSE GREATEST(-({e}), 0.0::DOUBLE) + 0.0 END)"
 
 
 def to_pct(e: str) -> str:
