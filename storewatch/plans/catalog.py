@@ -34,6 +34,18 @@ def panel(spark: SparkSession, sf_dir: str, cancel_form: str = "bin") -> Panel:
     return _PANELS[key]
 
 
+def scored(spark: SparkSession, sf_dir: str, with_preds: bool = True) -> DataFrame:
+    """The risk output table (pipeline with model predictions), built once per session and folder."""
+    from storewatch.plans.pipeline import run_pipeline
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir, "scored", with_preds)
+    if key not in _PANELS:
+        p = panel(spark, sf_dir)
+        from storewatch.session import cut_lineage
+        _PANELS[key] = cut_lineage(
+            run_pipeline(p.merchants, p.usage, p.customers, preds=p.preds if with_preds else None))
+    return _PANELS[key]
+
+
 def reset_cache() -> None:
     _PANELS.clear()
 
