@@ -71,9 +71,10 @@ def q_proxy_label_any(spark, sf):
 
 
 @register("topq_label", f"""WITH {scored_ctes(False)}, {_LB},
-j AS (SELECT lb.ENCODED_MCT, lb.TA_YM, COALESCE(a.p_final, 0.0) AS pf FROM alerted a
+tq AS (SELECT lb.ENCODED_MCT, lb.TA_YM, COALESCE(a.p_final, 0.0) AS pf FROM alerted a
   RIGHT JOIN lb ON a.ENCODED_MCT = lb.ENCODED_MCT AND a.TA_YM = lb.TA_YM)
-SELECT ENCODED_MCT, TA_YM, ROUND(pf, 6) AS pf, CAST(pf >= (SELECT quantile_cont(pf, 0.9) FROM j) AS INTEGER) AS y FROM j""")
+SELECT ENCODED_MCT, TA_YM, ROUND(pf, 6) AS pf, CAST(pf >= (SELECT quantile_cont(pf, 0.9) FROM tq) AS INTEGER) AS y
+FROM tq""")
 def q_topq_label(spark, sf):
     p = panel(spark, sf)
     keys = label_base(p.usage, p.customers)
