@@ -155,3 +155,8 @@ R6 = ["Sales_Risk", "Customer_Risk", "Market_Risk", "RiskScore", "p_model", "p_f
 
 def round_cols(cols, prefix: str = "") -> str:
     return ", ".join(f"ROUND({prefix}{c}, 6) AS {c}" for c in cols)
+
+
+def r6s(e: str) -> str:
+    """Half-up rounding of the shortest decimal form of a double (how Spark's ``round`` behaves)."""
+    return f"CAST(ROUND(CAST(CAST(({e}) AS VARCHAR) AS DECIMAL(38, 18)), 6) AS DOUBLE)"
