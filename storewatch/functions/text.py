@@ -63,7 +63,8 @@ def delivery_share_of(text) -> Column:
             cond = c if cond is None else (cond | c)
         expr = F.when(cond, F.lit(value)) if expr is None else expr.when(cond, F.lit(value))
     pct = _nz(F.regexp_extract(t, P_DELIVERY, 2)).try_cast("int")
-    return expr.otherwise(F.least(F.greatest(pct / F.lit(100.0), F.lit(0.0)), F.lit(1.0)))
+    clipped = F.least(F.greatest(pct / F.lit(100.0), F.lit(0.0)), F.lit(1.0))
+    return expr.when(pct.isNotNull(), clipped)   # no mention -> missing
 
 
 def parse_utterance_cols(text) -> dict:
