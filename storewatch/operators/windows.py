@@ -28,10 +28,16 @@ def mom(x, w) -> Column:
 
 
 def rolling_median(x, w, window: int = ROLL_WINDOW, min_periods: int = MIN_PERIODS) -> Column:
-    """Median of the last ``window`` rows, NULL unless ``min_periods`` non-missing values exist."""
+    """Median of the last ``window`` rows, NULL unless ``min_periods`` non-missing values exist.
+
+    The frame's non-missing values are gathered with ``collect_list`` (all series share one frame
+    processor) and sorted; the median interpolates the two middle values as ``percentile(x, 0.5)``."""
     x = _c(x)
-    frame = trailing(w, window)
-    return F.when(F.count(x).over(frame) >= min_periods, F.percentile(x, F.lit(0.5)).over(frame))
+    vals = F.array_sort(F.collect_list(x).over(trailing(w, window)))
+    n = F.size(vals)
+    lo = F.element_at(vals, F.floor((n - 1) / 2).cast("int") + 1)
+    hi = F.element_at(vals, F.ceil((n - 1) / 2).cast("int") + 1)
+    return F.when(n >= min_periods, F.lit(0.5) * lo + F.lit(0.5) * hi)
 
 
 def rolling_mean(x, w, k: int) -> Column:

@@ -50,5 +50,11 @@ def reset_cache() -> None:
     _PANELS.clear()
 
 
+def drop_scored() -> None:
+    """Forget cached risk outputs (keep the derived input tables)."""
+    for k in [k for k in _PANELS if "scored" in k]:
+        del _PANELS[k]
+
+
 def r6(*cols: str) -> list:
     return [F.round(F.col(c), 6).alias(c) for c in cols]

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -47,6 +48,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df):
-    """Reliable checkpoint in the shared folder: later stages and retries read fixed data, never recompute it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a parquet table under the shared checkpoint folder and read it back.
+
+    Later stages and task retries (a lost executor) read fixed data instead of recomputing the lineage;
+    one write job (``Dataset.checkpoint`` would run the plan twice), and downstream scans get column
+    pruning and filter push-down."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
