@@ -69,4 +69,6 @@ def dialogue_table(requests: DataFrame) -> DataFrame:
     t1 = F.concat(F.lit("최근 3개월 평균 매출 "), man(F.col("sales_3m_avg")), F.lit("만원"))
     t2 = F.concat(F.lit("아 지난달 매출 "), man(F.col("sales_1m") * F.lit(1.1)), F.lit("만원으로 정정할게요"))
     turns = F.array(*[F.struct(F.lit(i).alias("turn"), t.alias("message")) for i, t in enumerate((t0, t1, t2))])
-    return requests.select(sid.alias("session_id"), F.explode(turns).alias("m")).select("session_id", "m.*")
+    start = F.to_timestamp(F.concat(F.col("target_month"), F.lit("-01")))
+    return (requests.select(sid.alias("session_id"), start.alias("_t0"), F.explode(turns).alias("m"))
+            .select("session_id", "m.*", (F.col("_t0") + F.make_interval(mins=F.col("m.turn"))).alias("ts")))
