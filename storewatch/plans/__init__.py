@@ -6,5 +6,5 @@ def load_all() -> None:
     import importlib
 
     for mod in ("q_scoring", "q_clean", "q_reports", "q_labels", "q_requests", "q_text", "q_models",
-                "q_streams"):
+                "q_streams", "q_io"):
         importlib.import_module(f"storewatch.plans.{mod}")
