@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from storewatch.constants import AGE_COLS, ALPHA, BETA, GAMMA, KEY_MCT, KEY_YM, TYPE_COLS
 from storewatch.functions.core import (col_or_default, logistic, nanmax, relu_minus, to_percent,
                                        zero01)
-from storewatch.operators.windows import mom, store_window, with_robust_z
+from storewatch.operators.windows import mom, store_window, with_global_chunks, with_robust_z
 
 RISK_COLS = ["Sales_Risk", "Customer_Risk", "Market_Risk", "RiskScore"]
 
@@ -25,10 +25,20 @@ def _share_sq(df: DataFrame, cols: list) -> F.Column:
     return sum(terms[1:], terms[0])
 
 
-def risk_inputs(df: DataFrame, store: str = KEY_MCT, month: str = KEY_YM) -> DataFrame:
+def risk_inputs(df: DataFrame, store: str = KEY_MCT, month: str = KEY_YM, boundary: str = "store") -> DataFrame:
     """Window inputs: ranks, shares, month-over-month changes and robust z scores (intermediate columns
-    are prefixed ``_``)."""
-    w = store_window(store, month)
+    are prefixed ``_``).
+
+    ``boundary="store"`` (default): every window stays inside one store's history.
+    ``boundary="global"``: windows run over the whole table sorted by (store, month), so a store's first
+    months see the previous store's last months, as the original computation does; built with
+    :func:`with_global_chunks` (halo rows are dropped by :func:`compute_all_risks`)."""
+    if boundary == "global":
+        df, w = with_global_chunks(df, [store, month])
+    elif boundary == "store":
+        w = store_window(store, month)
+    else:
+        raise ValueError(f"boundary must be 'store' or 'global', not {boundary!r}")
     d = df.withColumns({
         "_rS": F.col("RC_M1_SAA_RANK"), "_rC": F.col("RC_M1_TO_UE_CT_RANK"), "_rA": F.col("RC_M1_AV_NP_AT_RANK"),
         "_rX": F.col("APV_CE_RAT_RANK"), "_rU": F.col("RC_M1_UE_CUS_CN_RANK"), "_age": F.col("MCT_OPE_MS_CN_RANK"),
@@ -106,11 +116,14 @@ def risk_score_expr() -> F.Column:
             + F.lit(GAMMA) * F.coalesce(F.col("Market_Risk"), F.lit(0.0)))
 
 
-def compute_all_risks(df: DataFrame, store: str = KEY_MCT, month: str = KEY_YM, keep: tuple = ()) -> DataFrame:
+def compute_all_risks(df: DataFrame, store: str = KEY_MCT, month: str = KEY_YM, keep: tuple = (),
+                      boundary: str = "store") -> DataFrame:
     """Keys + Sales_Risk, Customer_Risk, Market_Risk, RiskScore (+ ``keep`` pass-through columns)."""
-    d = risk_inputs(df, store, month)
+    d = risk_inputs(df, store, month, boundary)
     d = with_market_risk(with_customer_risk(with_sales_risk(d, df)), df)
     d = d.withColumn("RiskScore", risk_score_expr())
+    if boundary == "global":
+        d = d.where(~F.col("_halo"))
     return d.select(store, month, *keep, *RISK_COLS)
 
 

@@ -57,3 +57,31 @@ def with_robust_z(df: DataFrame, specs: dict, w, window: int = ROLL_WINDOW,
                          for n in specs})
     return df.withColumns({f"{n}_z": (F.col(f"{n}_x") - F.col(f"{n}_med")) / (F.col(f"{n}_mad") + F.lit(EPS))
                            for n in specs})
+
+
+HALO_ROWS = 2 * (ROLL_WINDOW - 1)   # MAD at a row needs medians of the previous 11 rows, each 11 rows deep
+
+
+def with_global_chunks(df: DataFrame, order_cols: list, num_chunks: int | None = None,
+                       halo: int = HALO_ROWS) -> tuple[DataFrame, object]:
+    """Parity mode for windows over the whole (store, month)-sorted table, store boundaries ignored.
+
+    Rows are range-partitioned on the sort key into chunks (tagged and written once, so ids are stable);
+    the last ``halo`` rows of every chunk are copied to the next chunk as ``_halo`` rows. A window
+    ``partitionBy(_chunk).orderBy(sort key)`` then sees every row's true predecessors, and no window
+    ever runs on a single partition. Drop ``_halo`` rows after the window columns are computed.
+    Returns the frame and the WindowSpec to use.
+    """
+    from storewatch.session import cut_lineage
+
+    n = num_chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tagged = cut_lineage(df.repartitionByRange(n, *[F.col(c).asc_nulls_last() for c in order_cols])
+                         .withColumn("_chunk", F.spark_partition_id()).withColumn("_halo", F.lit(False)))
+    sizes = tagged.groupBy("_chunk").count().where(F.col("count") < halo).limit(1).count()
+    if sizes and n > 1:   # a chunk shorter than the halo would need rows from two chunks back
+        return with_global_chunks(df, order_cols, max(1, n // 2), halo)
+    tail_w = Window.partitionBy("_chunk").orderBy(*[F.col(c).desc_nulls_first() for c in order_cols])
+    tail = (tagged.withColumn("_r", F.row_number().over(tail_w)).where(F.col("_r") <= halo).drop("_r")
+            .withColumn("_chunk", F.col("_chunk") + 1).withColumn("_halo", F.lit(True)))
+    w = Window.partitionBy("_chunk").orderBy(*[F.col(c).asc_nulls_last() for c in order_cols])
+    return tagged.unionByName(tail), w

@@ -54,9 +54,13 @@ def _sq(cols) -> str:
     return " + ".join(parts)
 
 
-def _z_ctes(src: str, specs: dict, out: str) -> str:
+def _order(boundary: str) -> str:
+    return "PARTITION BY ENCODED_MCT ORDER BY TA_YM" if boundary == "store" else "ORDER BY ENCODED_MCT, TA_YM"
+
+
+def _z_ctes(src: str, specs: dict, out: str, boundary: str = "store") -> str:
     """Three CTEs: x + rolling median, deviation + rolling MAD, z."""
-    w = "(PARTITION BY ENCODED_MCT ORDER BY TA_YM ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)"
+    w = f"({_order(boundary)} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)"
     meds = ",\n    ".join(
         f"CASE WHEN COUNT({n}_x) OVER {w} >= 6 THEN MEDIAN({n}_x) OVER {w} END AS {n}_med" for n in specs)
     xs = ",\n    ".join(f"{e} AS {n}_x" for n, e in specs.items())
@@ -70,9 +74,9 @@ def _z_ctes(src: str, specs: dict, out: str) -> str:
 {out} AS (SELECT *, {zs} FROM {out}_d)"""
 
 
-def risk_ctes(cancel_form: str = "bin") -> str:
+def risk_ctes(cancel_form: str = "bin", boundary: str = "store") -> str:
     """... + ``risks``: ENCODED_MCT, TA_YM (date), Sales_Risk, Customer_Risk, Market_Risk, RiskScore."""
-    ws = "(PARTITION BY ENCODED_MCT ORDER BY TA_YM)"
+    ws = f"({_order(boundary)})"
     base = f"""base AS (
   SELECT ENCODED_MCT, MONTH_DATE AS TA_YM,
     RC_M1_SAA_RANK AS rS, RC_M1_TO_UE_CT_RANK AS rC, RC_M1_AV_NP_AT_RANK AS rA, APV_CE_RAT_RANK AS rX,
@@ -91,7 +95,8 @@ base2 AS (
     dlv - LAG(dlv) OVER {ws} AS mom_dlv, q_reu - LAG(q_reu) OVER {ws} AS mom_reu, q_new - LAG(q_new) OVER {ws} AS mom_new
   FROM base
 )"""
-    zs = _z_ctes("base2", {"zA": "rA", "zX": "rX", "zD": "dlv", "zU": "rU", "zH": "h_age", "zT": "h_type"}, "zz")
+    zs = _z_ctes("base2", {"zA": "rA", "zX": "rX", "zD": "dlv", "zU": "rU", "zH": "h_age", "zT": "h_type"}, "zz",
+                 boundary)
     terms = f"""terms AS (
   SELECT ENCODED_MCT, TA_YM, dlv,
     {zero01(f"({relu_minus('mom_rS')} + {relu_minus('mom_rC')}) / 2.0")} AS s_drop,

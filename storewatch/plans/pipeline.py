@@ -18,7 +18,7 @@ OUTPUT_COLS = [KEY_MCT, KEY_YM, "Sales_Risk", "Customer_Risk", "Market_Risk", "R
 
 def run_pipeline(ds1: DataFrame, ds2: DataFrame, ds3: DataFrame, preds: DataFrame | None = None,
                  calib: DataFrame | None = None, alert_groups: list | None = None, lenient_bins: bool = False,
-                 bins_after_clean: bool = False, renormalize: bool = False) -> DataFrame:
+                 bins_after_clean: bool = False, renormalize: bool = False, boundary: str = "store") -> DataFrame:
     """Score every store-month.
 
     ``preds``: optional (store, month, pred_*) table -> ``p_model``; without it ``p_model`` = 0.
@@ -26,10 +26,11 @@ def run_pipeline(ds1: DataFrame, ds2: DataFrame, ds3: DataFrame, preds: DataFram
     ``p_model`` before the blend, otherwise the score is only clipped.
     ``alert_groups``: requested quantile groups; the default asks for industry, which is not carried
     into the risk frame, so alerts fall back to month (as the original flow does).
+    ``boundary``: ``store`` windows (default) or ``global`` (rolling across store boundaries, parity).
     """
     df = normalize_bins(load_and_join(ds1, ds2, ds3, bins_after_clean=bins_after_clean), lenient=lenient_bins)
     keep = [c for c in (alert_groups or []) if c in df.columns and c not in (KEY_MCT, KEY_YM)]
-    risks = compute_all_risks(df, keep=tuple(keep))
+    risks = compute_all_risks(df, keep=tuple(keep), boundary=boundary)
     if preds is None:
         risks = risks.withColumn("p_model", F.lit(0.0))
         p_cal = F.col("p_model")

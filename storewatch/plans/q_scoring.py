@@ -202,3 +202,12 @@ def q_weighted_ensemble_renorm(spark, sf):
     three = base.drop("pred_rf", "pred_dl")
     return base.select(KEY_MCT, KEY_YM, F.round(weighted_ensemble(base, renormalize=True), 6).alias("p_model"),
                        F.round(weighted_ensemble(three, renormalize=True), 6).alias("p_three"))
+
+
+@register("all_risks_global", f"""
+WITH {risk_ctes(boundary='global')}
+SELECT ENCODED_MCT, TA_YM, {round_cols(['Sales_Risk', 'Customer_Risk', 'Market_Risk', 'RiskScore'])} FROM risks""")
+def q_all_risks_global(spark, sf):
+    """Parity mode: windows over the whole (store, month)-sorted table, crossing store boundaries."""
+    return compute_all_risks(_joined(spark, sf), boundary="global").select(
+        KEY_MCT, KEY_YM, *r6("Sales_Risk", "Customer_Risk", "Market_Risk", "RiskScore"))
