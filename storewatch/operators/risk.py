@@ -8,12 +8,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storewatch.constants import AGE_COLS, ALPHA, BETA, GAMMA, KEY_MCT, KEY_YM, TYPE_COLS
+from storewatch.constants import AGE_COLS, ALPHA, BETA, BIN_COLS, GAMMA, KEY_MCT, KEY_YM, TYPE_COLS
 from storewatch.functions.core import (col_or_default, logistic, nanmax, relu_minus, to_percent,
                                        zero01)
 from storewatch.operators.windows import mom, store_window, with_global_chunks, with_robust_z
 
 RISK_COLS = ["Sales_Risk", "Customer_Risk", "Market_Risk", "RiskScore"]
+INPUT_COLS = ["DLV_SAA_RAT", "MCT_UE_CLN_REU_RAT", "MCT_UE_CLN_NEW_RAT", *AGE_COLS, *TYPE_COLS,
+              "M12_SME_RY_SAA_PCE_RT", "M12_SME_BZN_SAA_PCE_RT", "M12_SME_RY_ME_MCT_RAT", "M12_SME_BZN_ME_MCT_RAT",
+              "M1_SME_RY_SAA_RAT", "M1_SME_RY_CNT_RAT"]
 
 
 def _share_sq(df: DataFrame, cols: list) -> F.Column:
@@ -119,6 +122,8 @@ def risk_score_expr() -> F.Column:
 def compute_all_risks(df: DataFrame, store: str = KEY_MCT, month: str = KEY_YM, keep: tuple = (),
                       boundary: str = "store") -> DataFrame:
     """Keys + Sales_Risk, Customer_Risk, Market_Risk, RiskScore (+ ``keep`` pass-through columns)."""
+    needed = [store, month, *keep, *[f"{c}_RANK" for c in BIN_COLS], *INPUT_COLS]
+    df = df.select(*[c for c in dict.fromkeys(needed) if c in df.columns])   # windows copy rows: carry only inputs
     d = risk_inputs(df, store, month, boundary)
     d = with_market_risk(with_customer_risk(with_sales_risk(d, df)), df)
     d = d.withColumn("RiskScore", risk_score_expr())

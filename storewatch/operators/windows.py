@@ -33,13 +33,30 @@ def rolling_median(x, w, window: int = ROLL_WINDOW, min_periods: int = MIN_PERIO
     The frame's non-missing values are gathered with ``collect_list`` (all series share one frame
     processor) and sorted; the median interpolates the two middle values as ``percentile(x, 0.5)``."""
     x = _c(x)
-    vals = F.array_sort(F.collect_list(x).over(trailing(w, window)))
+    vals = F.sort_array(F.collect_list(x).over(trailing(w, window)))   # sort_array: native, codegen
     n = F.size(vals)
     lo = F.element_at(vals, F.floor((n - 1) / 2).cast("int") + 1)
     hi = F.element_at(vals, F.ceil((n - 1) / 2).cast("int") + 1)
     return F.when(n >= min_periods, F.lit(0.5) * lo + F.lit(0.5) * hi)
 
 
+def _median_of_sorted(vals: Column, min_periods: int) -> Column:
+    n = F.size(vals)
+    lo = F.element_at(vals, F.floor((n - 1) / 2).cast("int") + 1)
+    hi = F.element_at(vals, F.ceil((n - 1) / 2).cast("int") + 1)
+    return F.when(n >= min_periods, F.lit(0.5) * lo + F.lit(0.5) * hi)
+
+
+def with_rolling_medians(df: DataFrame, specs: dict, w, window: int = ROLL_WINDOW,
+                         min_periods: int = MIN_PERIODS) -> DataFrame:
+    """``out -> column``: rolling medians with each sorted frame staged as a column first, so it is
+    built once per row (not once per reference)."""
+    frame = trailing(w, window)
+    df = df.withColumns({f"_srt_{o}": F.sort_array(F.collect_list(c).over(frame)) for o, c in specs.items()})
+    df = df.withColumns({o: _median_of_sorted(F.col(f"_srt_{o}"), min_periods) for o in specs})
+    return df.drop(*[f"_srt_{o}" for o in specs])
+
+
 def rolling_mean(x, w, k: int) -> Column:
     """Mean of the last ``k`` rows, at least one value."""
     return F.avg(_c(x)).over(trailing(w, k))
@@ -51,10 +68,11 @@ def with_robust_z(df: DataFrame, specs: dict, w, window: int = ROLL_WINDOW,
     ``{name}_z`` = (x - med) / (1.4826 * median(|x - med|) + EPS), where each row's deviation uses that
     row's own rolling median. Two stacked Window nodes on one partitioning."""
     df = df.withColumns({f"{n}_x": e for n, e in specs.items()})
-    df = df.withColumns({f"{n}_med": rolling_median(f"{n}_x", w, window, min_periods) for n in specs})
+    df = with_rolling_medians(df, {f"{n}_med": F.col(f"{n}_x") for n in specs}, w, window, min_periods)
     df = df.withColumns({f"{n}_dev": F.abs(F.col(f"{n}_x") - F.col(f"{n}_med")) for n in specs})
-    df = df.withColumns({f"{n}_mad": F.lit(MAD_SCALE) * rolling_median(f"{n}_dev", w, window, min_periods)
-                         for n in specs})
+    df = with_rolling_medians(df, {f"{n}_mad0": F.col(f"{n}_dev") for n in specs}, w, window, min_periods)
+    df = df.withColumns({f"{n}_mad": F.lit(MAD_SCALE) * F.col(f"{n}_mad0") for n in specs}).drop(
+        *[f"{n}_mad0" for n in specs])
     return df.withColumns({f"{n}_z": (F.col(f"{n}_x") - F.col(f"{n}_med")) / (F.col(f"{n}_mad") + F.lit(EPS))
                            for n in specs})
 

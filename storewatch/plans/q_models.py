@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from storewatch.constants import KEY_MCT, KEY_YM, NUM_FEATURES
 from storewatch.operators.iforest import fit_forest, score_forest
 from storewatch.operators.labels import closure_label, label_base, stratified_split
-from storewatch.operators.models import (ModelSizes, encoder_stages, prepare_features, stacked_score,
-                                         train_and_score)
+from storewatch.operators.models import (SLOT_COLUMNS, ModelSizes, encoder_stages, prepare_features,
+                                         stacked_score, train_and_score)
 from storewatch.operators.reports import minmax_invert
-from storewatch.plans.catalog import panel, r6, register
+from storewatch.plans.catalog import _PANELS, panel, r6, register
 from storewatch.plans.oracle_panel import panel_ctes
 from storewatch.plans.pipeline import run_pipeline
 from storewatch.plans.q_labels import _CL, _LB, _SPLIT
@@ -29,14 +29,33 @@ def _labeled(spark, sf):
     return lab, stratified_split(lab.select(KEY_MCT, KEY_YM, "y"))
 
 
-def _slot_query(slot: str):
-    col = {"xgb": "pred_xgb", "lgbm": "pred_lgbm", "rf": "pred_rf", "gb": "pred_gb", "dl": "pred_dl"}.get(slot,
-                                                                                                        f"pred_{slot}")
+def _slot_col(slot: str) -> str:
+    return SLOT_COLUMNS.get(slot, f"pred_{slot}")
 
-    def q(spark, sf):
+
+def slot_table(spark, sf, slot: str):
+    """One slot trained on the training split and scored on every row, written once per session (the
+    ensemble queries reuse the same fitted slots instead of training them again)."""
+    key = (id(spark), spark.sparkContext.applicationId, sf, "slot", slot)
+    if key not in _PANELS:
         lab, split = _labeled(spark, sf)
         out = train_and_score(lab, split, SIZES, slots=(slot,))
-        return out.select(KEY_MCT, KEY_YM, "y", "is_test", *r6(col))
+        _PANELS[key] = cut_lineage(out.select(KEY_MCT, KEY_YM, "y", "is_train", "is_test", _slot_col(slot)))
+    return _PANELS[key]
+
+
+def all_slots(spark, sf):
+    base = slot_table(spark, sf, "xgb")
+    for slot in ("lgbm", "rf", "gb", "dl"):
+        base = base.join(slot_table(spark, sf, slot).select(KEY_MCT, KEY_YM, _slot_col(slot)), [KEY_MCT, KEY_YM])
+    return base
+
+
+def _slot_query(slot: str):
+    col = _slot_col(slot)
+
+    def q(spark, sf):
+        return slot_table(spark, sf, slot).select(KEY_MCT, KEY_YM, "y", "is_test", *r6(col))
     q.__doc__ = f"Train the {slot} slot on the training split, probability for every row."
     return q
 
@@ -65,10 +84,8 @@ def q_one_hot(spark, sf):
 def q_preds_output(spark, sf):
     """All five slots -> predictions table (NULL keys dropped) written to the shared folder, read back,
     and the scoring pipeline rerun with it."""
-    lab, split = _labeled(spark, sf)
-    preds = train_and_score(lab, split, SIZES)
-    preds = cut_lineage(preds.select(KEY_MCT, KEY_YM, "pred_xgb", "pred_lgbm", "pred_rf", "pred_gb", "pred_dl")
-                        .dropna(subset=[KEY_MCT, KEY_YM]))
+    preds = cut_lineage(all_slots(spark, sf).select(KEY_MCT, KEY_YM, "pred_xgb", "pred_lgbm", "pred_rf", "pred_gb",
+                                                    "pred_dl").dropna(subset=[KEY_MCT, KEY_YM]))
     p = panel(spark, sf)
     return run_pipeline(p.merchants, p.usage, p.customers, preds=preds)
 
@@ -77,8 +94,7 @@ def q_preds_output(spark, sf):
 def q_platt_logistic(spark, sf):
     """Logistic calibration of the stacked ensemble score, fitted on the test split (as the original);
     skipped (score kept) for a constant score or a single class."""
-    lab, split = _labeled(spark, sf)
-    preds = train_and_score(lab, split, SIZES)
+    preds = all_slots(spark, sf)
     d = preds.withColumn("stack", stacked_score(preds))
     test = d.where("is_test = 1")
     stats = test.agg(F.countDistinct("y").alias("k"), F.stddev_pop("stack").alias("sd")).first()
