@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storewatch.constants import AREA, INDUSTRY, KEY_MCT, KEY_YM, QUANTILE_CUTS, SERVICE_CUTS, THRESHOLDS
-from storewatch.operators.ranking import group_quantiles
+from storewatch.operators.ranking import global_quantiles, group_quantiles
 from storewatch.operators.windows import rolling_mean, store_window
 
 FALLBACK_GROUPS = [[INDUSTRY, AREA, KEY_YM], [INDUSTRY, KEY_YM], [AREA, KEY_YM], [KEY_YM], []]
@@ -38,17 +38,19 @@ def assign_alert_by_quantile(df: DataFrame, group_cols: Sequence[str] | None = N
     if score_col not in df.columns:
         raise KeyError(f"score_col '{score_col}' not in DataFrame")
     cols = resolve_group_cols(df.columns, group_cols)
-    keys = cols or ["_all_rows"]   # no grouping: one constant key, still an equi-join
-    src = df if cols else df.withColumn("_all_rows", F.lit(0))
-    q = group_quantiles(src, keys, score_col, cuts, names=["_qy", "_qo", "_qr"])
-    joined = src.join(q, keys, "left")
+    if cols:
+        q = group_quantiles(df, cols, score_col, cuts, names=["_qy", "_qo", "_qr"])
+        joined = df.join(q, cols, "left")
+    else:                     # no grouping: the three thresholds are scalar subqueries
+        qy, qo, qr = global_quantiles(df, score_col, cuts)
+        joined = df.withColumns({"_qy": qy, "_qo": qo, "_qr": qr})
     label = label_by_cuts(F.col(score_col), F.col("_qy"), F.col("_qo"), F.col("_qr"))
     null_group = None
     for c in cols:
         null_group = F.col(c).isNull() if null_group is None else (null_group | F.col(c).isNull())
     if null_group is not None:
         label = F.when(null_group, F.lit(None).cast("string")).otherwise(label)
-    return joined.withColumn(out_col, label).drop("_qy", "_qo", "_qr", "_all_rows")
+    return joined.withColumn(out_col, label).drop("_qy", "_qo", "_qr")
 
 
 def assign_alert_persistent(df: DataFrame, score_col: str = "p_final", out_col: str = "Alert",

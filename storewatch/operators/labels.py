@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from storewatch.constants import CLOSE_DATE, KEY_MCT, KEY_YM
 from storewatch.functions.months import horizon_end
 from storewatch.operators.prepare import coerce_keys
-from storewatch.operators.ranking import group_quantiles, value_ranks
+from storewatch.operators.ranking import global_quantiles, value_ranks
 from storewatch.operators.reports import top_k
 from storewatch.operators.windows import store_window
 
@@ -68,9 +68,9 @@ def proxy_label_any(base: DataFrame) -> DataFrame:
 def topq_label(keys: DataFrame, scores: DataFrame, topq: float = 0.10) -> DataFrame:
     """Label keys by p_final >= its (1 - topq) quantile over the label keys; unmatched score -> 0."""
     d = scores.select(KEY_MCT, KEY_YM, "p_final").join(keys.select(KEY_MCT, KEY_YM), [KEY_MCT, KEY_YM], "right")
-    d = d.withColumn("pf", F.coalesce(F.col("p_final"), F.lit(0.0))).withColumn("_all_rows", F.lit(0))
-    thr = group_quantiles(d, ["_all_rows"], "pf", [1.0 - topq], names=["thr"])
-    return d.join(thr, "_all_rows").withColumn("y", (F.col("pf") >= F.col("thr")).cast("int")).drop("_all_rows")
+    d = d.withColumn("pf", F.coalesce(F.col("p_final"), F.lit(0.0)))
+    (thr,) = global_quantiles(d, "pf", [1.0 - topq])
+    return d.withColumn("thr", thr).withColumn("y", (F.col("pf") >= F.col("thr")).cast("int"))
 
 
 def nlargest_label(scores: DataFrame, n: int = 50) -> DataFrame:

@@ -95,6 +95,15 @@ def group_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str, pr
         (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_f_{n}")).alias(n) for n in names])
 
 
+def global_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
+                     num_partitions: int | None = None) -> list:
+    """Exact quantiles over the whole table as scalar-subquery Columns (usable in any expression: no
+    join, no cross product)."""
+    names = [f"q{i}" for i in range(len(probs))]
+    q = group_quantiles(df, [], value_col, probs, names=names, num_partitions=num_partitions)
+    return [q.select(n).scalar() for n in names]
+
+
 def with_percent_rank(df: DataFrame, group_cols: Sequence[str], value_col: str, out_col: str,
                       descending: bool = False, num_partitions: int | None = None) -> DataFrame:
     """``percent_rank()`` within group ((rank-1)/(n-1), 0 for one-row groups), computed without a

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from storewatch.constants import (ALPHA, BETA, EPS, EXPLAIN_CUSTOMER, EXPLAIN_DEFAULT, EXPLAIN_MARKET,
                                   EXPLAIN_SALES, GAMMA, KEY_MCT, KEY_YM)
 from storewatch.operators.alerts import service_alert
-from storewatch.operators.ranking import group_quantiles
+from storewatch.operators.ranking import global_quantiles, group_quantiles
 
 
 def top_k(df: DataFrame, score_col: str, k: int = 20, tie_cols: Sequence[str] = (KEY_MCT, KEY_YM)) -> DataFrame:
@@ -41,13 +41,14 @@ def hhi(df: DataFrame, group_cols: Sequence[str], weight_col: str) -> DataFrame:
 def benchmark(df: DataFrame, metric: str, group_cols: Sequence[str] = ()) -> DataFrame:
     """mean, median, p25, p75 and n of ``metric`` (per group when given), exact quantiles."""
     d = df.where(F.col(metric).isNotNull())
-    keys = list(group_cols) or ["_all_rows"]
-    if not group_cols:
-        d = d.withColumn("_all_rows", F.lit(0))
+    if not group_cols:   # one row: quantiles as scalar subqueries, no join
+        med, p25, p75 = global_quantiles(d, metric, [0.5, 0.25, 0.75])
+        return d.agg(F.avg(metric).alias("mean"), F.count(F.lit(1)).alias("n")).select(
+            "mean", med.alias("median"), p25.alias("p25"), p75.alias("p75"), "n")
+    keys = list(group_cols)
     q = group_quantiles(d, keys, metric, [0.5, 0.25, 0.75], names=["median", "p25", "p75"])
     m = d.groupBy(*keys).agg(F.avg(metric).alias("mean"), F.count(F.lit(1)).alias("n"))
-    out = m.join(q, keys)
-    return out.drop("_all_rows") if not group_cols else out
+    return m.join(q, keys)
 
 
 def usage_stats(events: DataFrame, days: int = 7, api_key=None) -> DataFrame:
