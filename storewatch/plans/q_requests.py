@@ -183,16 +183,16 @@ def q_feedback_summary(spark, sf):
 
 
 @register("custom_alerts", f"""WITH {scored_ctes(True)},
-cfg AS (SELECT ENCODED_MCT, 0.15 AS yt, 0.25 AS ot, 0.35 AS rt FROM ds1 WHERE CAST(HPSN_MCT_ZCD_NM AS INTEGER) % 2 = 0)
+cfg AS (SELECT ENCODED_MCT, 0.15 AS yt, 0.25 AS ot, 0.35 AS rt FROM ds1 WHERE MCT_ME_D IS NOT NULL)
 SELECT a.ENCODED_MCT, a.TA_YM, ROUND(a.p_final, 6) AS p_final,
   CASE WHEN a.p_final >= COALESCE(rt, 0.40) THEN 'RED' WHEN a.p_final >= COALESCE(ot, 0.30) THEN 'ORANGE'
   WHEN a.p_final >= COALESCE(yt, 0.20) THEN 'YELLOW' ELSE 'GREEN' END AS alert
 FROM alerted a LEFT JOIN cfg ON a.ENCODED_MCT = cfg.ENCODED_MCT""")
 def q_custom_alerts(spark, sf):
-    """Per-store thresholds where a store has a configuration (stores of even industry codes get a
-    stricter one), the default .20/.30/.40 elsewhere."""
+    """Per-store thresholds where a store has a configuration (stores with a recorded close date watch
+    with stricter ones), the default .20/.30/.40 elsewhere."""
     m = panel(spark, sf).merchants
-    cfg = m.where(F.col("HPSN_MCT_ZCD_NM").cast("int") % 2 == 0).select(
+    cfg = m.where(F.col("MCT_ME_D").isNotNull()).select(
         KEY_MCT, F.lit(0.15).alias("yt"), F.lit(0.25).alias("ot"), F.lit(0.35).alias("rt"))
     s = scored(spark, sf).join(cfg, KEY_MCT, "left")
     p = F.col("p_final")
