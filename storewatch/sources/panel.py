@@ -125,12 +125,12 @@ def build_panel(spark: SparkSession, sf_dir: str, cancel_form: str = "bin") -> P
     sm = (sm.withColumn("first_store_m", F.min("month").over(span))
           .withColumn("last_store_m", F.max("month").over(span)))
     global_last = sm.select(F.max("month")).scalar()
-    sm = sm.withColumns({
+    sm = cut_lineage(sm.withColumns({   # every branch below (8 rank specs, peer aggregates) reads this
         "aov": F.round(F.col("sales") / F.col("txn"), 6),
         "ops_months": _month_index(F.col("month")) - _month_index(F.col("first_store_m")),
         "r_share": _share("r_n"),
         "f_share": _share("f_n"),
-    })
+    }))
     by_month = ["month"]
     ranked = with_percent_ranks(sm, ["suppkey", "month"], [
         ("pr_sales", by_month, "sales", False),
