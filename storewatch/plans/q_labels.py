@@ -146,6 +146,16 @@ def _doc_scores(spark, sf):
             .select("quality", "toxic", F.round(F.log(F.lit(1.0) + F.col("n_chars")), 1).alias("score")))
 
 
+def _metric_targets(spark, sf):
+    """(target, score, y) rows of all three evaluations, so one grouped ranking pass serves them all."""
+    d = _doc_scores(spark, sf)
+    r = _closure(spark, sf).join(scored(spark, sf).select(KEY_MCT, KEY_YM, F.col("p_final").alias("score")),
+                                 [KEY_MCT, KEY_YM])
+    return (d.select(F.lit("quality").alias("target"), "score", F.col("quality").alias("y"))
+            .unionByName(d.select(F.lit("toxic").alias("target"), "score", F.col("toxic").alias("y")))
+            .unionByName(r.select(F.lit("closure").alias("target"), "score", "y")))
+
+
 def _auc_sql(src: str, label: str, target: str) -> str:
     return f"""SELECT '{target}' AS target, ROUND(SUM(pos * (cum_neg - 0.5 * neg)) / (SUM(pos) * SUM(neg)), 6) AS roc_auc,
   CAST(SUM(pos) AS BIGINT) AS n_pos, CAST(SUM(neg) AS BIGINT) AS n_neg FROM (
@@ -168,26 +178,14 @@ _RISK_Y = f"""{_LB}, {_CL}, r AS (SELECT cl.y, a.p_final AS score FROM cl JOIN a
 @register("roc_auc", f"""WITH {scored_ctes(True)}, {_DOC}, {_RISK_Y}
 {_auc_sql('d', 'quality', 'quality')} UNION ALL {_auc_sql('d', 'toxic', 'toxic')} UNION ALL {_auc_sql('r', 'y', 'closure')}""")
 def q_roc_auc(spark, sf):
-    d = _doc_scores(spark, sf)
-    r = _closure(spark, sf).join(scored(spark, sf).select(KEY_MCT, KEY_YM, F.col("p_final").alias("score")),
-                                 [KEY_MCT, KEY_YM])
-    parts = [roc_auc(d, "score", "quality").withColumn("target", F.lit("quality")),
-             roc_auc(d, "score", "toxic").withColumn("target", F.lit("toxic")),
-             roc_auc(r, "score", "y").withColumn("target", F.lit("closure"))]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    out = roc_auc(_metric_targets(spark, sf), "score", "y", group_cols=["target"])
     return out.select("target", F.round("roc_auc", 6).alias("roc_auc"), "n_pos", "n_neg")
 
 
 @register("avg_precision", f"""WITH {scored_ctes(True)}, {_DOC}, {_RISK_Y}
 {_ap_sql('d', 'quality', 'quality')} UNION ALL {_ap_sql('d', 'toxic', 'toxic')} UNION ALL {_ap_sql('r', 'y', 'closure')}""")
 def q_avg_precision(spark, sf):
-    d = _doc_scores(spark, sf)
-    r = _closure(spark, sf).join(scored(spark, sf).select(KEY_MCT, KEY_YM, F.col("p_final").alias("score")),
-                                 [KEY_MCT, KEY_YM])
-    parts = [average_precision(d, "score", "quality").withColumn("target", F.lit("quality")),
-             average_precision(d, "score", "toxic").withColumn("target", F.lit("toxic")),
-             average_precision(r, "score", "y").withColumn("target", F.lit("closure"))]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    out = average_precision(_metric_targets(spark, sf), "score", "y", group_cols=["target"])
     return out.select("target", F.round("avg_precision", 6).alias("avg_precision"), "n_pos")
 
 
