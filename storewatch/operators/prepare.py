@@ -5,8 +5,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storewatch.constants import BIN_COLS, KEY_MCT, KEY_YM
-from storewatch.functions.bins import bin_rank, with_bin_rank_lenient
-from storewatch.functions.core import safe_null
+from storewatch.functions.bins import with_bin_rank_lenient
+from storewatch.functions import sqlx as S
 from storewatch.functions.months import month_lenient
 
 
@@ -27,7 +27,7 @@ def coerce_keys(df: DataFrame) -> DataFrame:
 def clean_values(df: DataFrame, keep: tuple = ()) -> DataFrame:
     """B1 on every non-key column (except ``keep``): to number, sentinel/NaN -> NULL."""
     skip = {KEY_MCT, KEY_YM, *keep}
-    return df.withColumns({c: safe_null(c) for c in df.columns if c not in skip})
+    return df.withColumns({c: F.expr(S.safe_null(S.q(c))) for c in df.columns if c not in skip})
 
 
 def load_and_join(ds1: DataFrame, ds2: DataFrame, ds3: DataFrame, bins_after_clean: bool = False) -> DataFrame:
@@ -56,6 +56,6 @@ def normalize_bins(df: DataFrame, lenient: bool = False) -> DataFrame:
         df = with_bin_rank_lenient(df, {f"{c}_RANK": c for c in present})
         ranks = {f"{c}_RANK": F.coalesce(F.col(f"{c}_RANK"), F.lit(0.5)) for c in present}
     else:
-        ranks = {f"{c}_RANK": F.coalesce(bin_rank(c), F.lit(0.5)) for c in present}
+        ranks = {f"{c}_RANK": F.expr(f"coalesce({S.bin_rank(S.q(c))}, 0.5D)") for c in present}
     ranks.update({f"{c}_RANK": F.lit(0.5) for c in BIN_COLS if c not in present})
     return df.withColumns(ranks)

@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storewatch.constants import AGE_COLS, ALPHA, BETA, BIN_COLS, GAMMA, KEY_MCT, KEY_YM, TYPE_COLS
-from storewatch.functions.core import (col_or_default, logistic, nanmax, relu_minus, to_percent,
-                                       zero01)
+from storewatch.functions import sqlx as S
 from storewatch.operators.windows import mom, store_window, with_global_chunks, with_robust_z
 
 RISK_COLS = ["Sales_Risk", "Customer_Risk", "Market_Risk", "RiskScore"]
@@ -19,13 +18,13 @@ INPUT_COLS = ["DLV_SAA_RAT", "MCT_UE_CLN_REU_RAT", "MCT_UE_CLN_NEW_RAT", *AGE_CO
               "M1_SME_RY_SAA_RAT", "M1_SME_RY_CNT_RAT"]
 
 
-def _share_sq(df: DataFrame, cols: list) -> F.Column:
+def _share_sq(df: DataFrame, cols: list) -> str:
     """Sum of squared shares (percent -> [0,1], missing/absent -> 0), no renormalisation."""
     terms = []
     for c in cols:
-        w = zero01(col_or_default(df, c, 0.0) / F.lit(100.0))
-        terms.append(w * w)
-    return sum(terms[1:], terms[0])
+        w = S.zero01(f"{S.col_or_default(df, c, 0.0)} / 100.0D")
+        terms.append(f"({w}) * ({w})")
+    return " + ".join(terms)
 
 
 def risk_inputs(df: DataFrame, store: str = KEY_MCT, month: str = KEY_YM, boundary: str = "store") -> DataFrame:
@@ -42,14 +41,13 @@ def risk_inputs(df: DataFrame, store: str = KEY_MCT, month: str = KEY_YM, bounda
         w = store_window(store, month)
     else:
         raise ValueError(f"boundary must be 'store' or 'global', not {boundary!r}")
+    pct0 = lambda c: S.x(S.zero01(S.to_percent(S.col_or_default(df, c, 0.0))))
     d = df.withColumns({
         "_rS": F.col("RC_M1_SAA_RANK"), "_rC": F.col("RC_M1_TO_UE_CT_RANK"), "_rA": F.col("RC_M1_AV_NP_AT_RANK"),
         "_rX": F.col("APV_CE_RAT_RANK"), "_rU": F.col("RC_M1_UE_CUS_CN_RANK"), "_age": F.col("MCT_OPE_MS_CN_RANK"),
-        "_dlv": zero01(to_percent(col_or_default(df, "DLV_SAA_RAT", 0.0))),
-        "_q_reu": zero01(to_percent(col_or_default(df, "MCT_UE_CLN_REU_RAT", 0.0))),
-        "_q_new": zero01(to_percent(col_or_default(df, "MCT_UE_CLN_NEW_RAT", 0.0))),
-        "_h_age": _share_sq(df, AGE_COLS),
-        "_h_type": _share_sq(df, TYPE_COLS),
+        "_dlv": pct0("DLV_SAA_RAT"), "_q_reu": pct0("MCT_UE_CLN_REU_RAT"), "_q_new": pct0("MCT_UE_CLN_NEW_RAT"),
+        "_h_age": S.x(_share_sq(df, AGE_COLS)),
+        "_h_type": S.x(_share_sq(df, TYPE_COLS)),
     })
     d = d.withColumns({
         "_mom_rS": mom("_rS", w), "_mom_rC": mom("_rC", w), "_mom_rU": mom("_rU", w), "_mom_dlv": mom("_dlv", w),
@@ -60,57 +58,53 @@ def risk_inputs(df: DataFrame, store: str = KEY_MCT, month: str = KEY_YM, bounda
 
 
 def _stage(d: DataFrame, cols: dict) -> DataFrame:
-    """Materialise terms as columns so later clips reference a column, not a copy of the subtree."""
-    return d.withColumns(cols)
+    """Materialise terms (SQL text) as columns so later clips reference a column, not a copy of the subtree."""
+    return d.withColumns({k: S.x(v) for k, v in cols.items()})
 
 
 def with_sales_risk(d: DataFrame, df: DataFrame) -> DataFrame:
     d = _stage(d, {
-        "_s_drop": zero01((relu_minus("_mom_rS") + relu_minus("_mom_rC")) / F.lit(2.0)),
-        "_s_aov": zero01(relu_minus("_zA_z")),
-        "_s_cxl": zero01(nanmax(F.col("_rX"), logistic(F.col("_zX_z")))),
-        "_ind_pct": to_percent(col_or_default(df, "M12_SME_RY_SAA_PCE_RT", 50.0)),
-        "_bzn_pct": to_percent(col_or_default(df, "M12_SME_BZN_SAA_PCE_RT", 50.0)),
-        "_jump": zero01(relu_minus(-F.col("_mom_dlv")) + relu_minus(-F.col("_zD_z"))),
+        "_s_drop": S.zero01(f"({S.relu_minus('_mom_rS')} + {S.relu_minus('_mom_rC')}) / 2.0D"),
+        "_s_aov": S.zero01(S.relu_minus("_zA_z")),
+        "_s_cxl": S.zero01(S.nanmax("_rX", S.logistic("_zX_z"))),
+        "_ind_pct": S.to_percent(S.col_or_default(df, "M12_SME_RY_SAA_PCE_RT", 50.0)),
+        "_bzn_pct": S.to_percent(S.col_or_default(df, "M12_SME_BZN_SAA_PCE_RT", 50.0)),
+        "_jump": S.zero01(f"{S.relu_minus('-_mom_dlv')} + {S.relu_minus('-_zD_z')}"),
     })
-    d = _stage(d, {"_ind": zero01(F.lit(1.0) - F.col("_ind_pct")), "_bzn": zero01(F.lit(1.0) - F.col("_bzn_pct"))})
-    d = _stage(d, {"_s_peer": zero01((F.col("_ind") + F.col("_bzn")) / F.lit(2.0))})
-    return d.withColumn("Sales_Risk", zero01(
-        F.lit(0.35) * F.col("_s_drop") + F.lit(0.15) * F.col("_s_aov") + F.lit(0.20) * F.col("_s_cxl")
-        + F.lit(0.20) * F.col("_s_peer") + F.lit(0.10) * (F.col("_dlv") * F.col("_jump"))))
+    d = _stage(d, {"_ind": S.zero01("1.0D - _ind_pct"), "_bzn": S.zero01("1.0D - _bzn_pct")})
+    d = _stage(d, {"_s_peer": S.zero01("(_ind + _bzn) / 2.0D")})
+    return _stage(d, {"Sales_Risk": S.zero01(
+        "0.35D * _s_drop + 0.15D * _s_aov + 0.20D * _s_cxl + 0.20D * _s_peer + 0.10D * (_dlv * _jump)")})
 
 
 def with_customer_risk(d: DataFrame) -> DataFrame:
     d = _stage(d, {
-        "_c_drop": zero01(relu_minus("_mom_rU") + relu_minus("_zU_z")),
-        "_c_loyal": zero01(relu_minus("_mom_reu")),
-        "_c_acq": zero01(relu_minus("_mom_new")),
-        "_c_mix": zero01(nanmax(F.lit(0.0), F.col("_zH_z"))),
-        "_c_type": zero01(nanmax(F.lit(0.0), F.col("_zT_z"))),
+        "_c_drop": S.zero01(f"{S.relu_minus('_mom_rU')} + {S.relu_minus('_zU_z')}"),
+        "_c_loyal": S.zero01(S.relu_minus("_mom_reu")),
+        "_c_acq": S.zero01(S.relu_minus("_mom_new")),
+        "_c_mix": S.zero01(S.nanmax("0.0D", "_zH_z")),
+        "_c_type": S.zero01(S.nanmax("0.0D", "_zT_z")),
     })
-    return d.withColumn("Customer_Risk", zero01(
-        F.lit(0.40) * F.col("_c_drop") + F.lit(0.25) * F.col("_c_loyal") + F.lit(0.20) * F.col("_c_acq")
-        + F.lit(0.10) * F.col("_c_mix") + F.lit(0.05) * F.col("_c_type")))
+    return _stage(d, {"Customer_Risk": S.zero01(
+        "0.40D * _c_drop + 0.25D * _c_loyal + 0.20D * _c_acq + 0.10D * _c_mix + 0.05D * _c_type")})
 
 
 def with_market_risk(d: DataFrame, df: DataFrame) -> DataFrame:
     d = _stage(d, {
-        "_m_ind": to_percent(col_or_default(df, "M12_SME_RY_ME_MCT_RAT", 0.0)),
-        "_m_bzn": to_percent(col_or_default(df, "M12_SME_BZN_ME_MCT_RAT", 0.0)),
-        "_m_rev": to_percent(col_or_default(df, "M1_SME_RY_SAA_RAT", 100.0)),
-        "_m_cnt": to_percent(col_or_default(df, "M1_SME_RY_CNT_RAT", 100.0)),
-        "_m_a": F.col("MCT_OPE_MS_CN_RANK"),
+        "_m_ind": S.to_percent(S.col_or_default(df, "M12_SME_RY_ME_MCT_RAT", 0.0)),
+        "_m_bzn": S.to_percent(S.col_or_default(df, "M12_SME_BZN_ME_MCT_RAT", 0.0)),
+        "_m_rev": S.to_percent(S.col_or_default(df, "M1_SME_RY_SAA_RAT", 100.0)),
+        "_m_cnt": S.to_percent(S.col_or_default(df, "M1_SME_RY_CNT_RAT", 100.0)),
+        "_m_a": "MCT_OPE_MS_CN_RANK",
     })
     d = _stage(d, {
-        "_m_ind0": zero01("_m_ind"), "_m_bzn0": zero01("_m_bzn"),
-        "_m_rev0": zero01(F.lit(1.0) - F.col("_m_rev")), "_m_cnt0": zero01(F.lit(1.0) - F.col("_m_cnt")),
-        "_m_age": zero01(F.lit(4.0) * F.when(F.col("_m_a").isNull(), None)
-                         .otherwise(F.least(F.col("_m_a"), F.lit(1.0) - F.col("_m_a")))),
+        "_m_ind0": S.zero01("_m_ind"), "_m_bzn0": S.zero01("_m_bzn"),
+        "_m_rev0": S.zero01("1.0D - _m_rev"), "_m_cnt0": S.zero01("1.0D - _m_cnt"),
+        "_m_age": S.zero01("4.0D * (CASE WHEN _m_a IS NULL THEN NULL ELSE least(_m_a, 1.0D - _m_a) END)"),
     })
-    d = _stage(d, {"_m_closure": zero01((F.col("_m_ind0") + F.col("_m_bzn0")) / F.lit(2.0)),
-                   "_m_under": zero01((F.col("_m_rev0") + F.col("_m_cnt0")) / F.lit(2.0))})
-    return d.withColumn("Market_Risk", zero01(
-        F.lit(0.50) * F.col("_m_closure") + F.lit(0.35) * F.col("_m_under") + F.lit(0.15) * F.col("_m_age")))
+    d = _stage(d, {"_m_closure": S.zero01("(_m_ind0 + _m_bzn0) / 2.0D"),
+                   "_m_under": S.zero01("(_m_rev0 + _m_cnt0) / 2.0D")})
+    return _stage(d, {"Market_Risk": S.zero01("0.50D * _m_closure + 0.35D * _m_under + 0.15D * _m_age")})
 
 
 def risk_score_expr() -> F.Column:

@@ -53,10 +53,18 @@ def with_rolling_medians(df: DataFrame, specs: dict, w, window: int = ROLL_WINDO
     built once per row (not once per reference)."""
     frame = trailing(w, window)
     df = df.withColumns({f"_srt_{o}": F.sort_array(F.collect_list(c).over(frame)) for o, c in specs.items()})
-    df = df.withColumns({o: _median_of_sorted(F.col(f"_srt_{o}"), min_periods) for o in specs})
+    df = df.withColumns({o: F.expr(_median_sql(f"_srt_{o}", min_periods)) for o in specs})
     return df.drop(*[f"_srt_{o}" for o in specs])
 
 
+def _median_sql(sorted_col: str, min_periods: int) -> str:
+    """Same as :func:`_median_of_sorted`, as one SQL expression."""
+    v = f"`{sorted_col}`"
+    lo = f"element_at({v}, CAST(floor((size({v}) - 1) / 2) AS INT) + 1)"
+    hi = f"element_at({v}, CAST(ceil((size({v}) - 1) / 2) AS INT) + 1)"
+    return f"CASE WHEN size({v}) >= {int(min_periods)} THEN 0.5D * {lo} + 0.5D * {hi} END"
+
+
 def rolling_mean(x, w, k: int) -> Column:
     """Mean of the last ``k`` rows, at least one value."""
     return F.avg(_c(x)).over(trailing(w, k))
@@ -69,11 +77,11 @@ def with_robust_z(df: DataFrame, specs: dict, w, window: int = ROLL_WINDOW,
     row's own rolling median. Two stacked Window nodes on one partitioning."""
     df = df.withColumns({f"{n}_x": e for n, e in specs.items()})
     df = with_rolling_medians(df, {f"{n}_med": F.col(f"{n}_x") for n in specs}, w, window, min_periods)
-    df = df.withColumns({f"{n}_dev": F.abs(F.col(f"{n}_x") - F.col(f"{n}_med")) for n in specs})
+    df = df.withColumns({f"{n}_dev": F.expr(f"abs(`{n}_x` - `{n}_med`)") for n in specs})
     df = with_rolling_medians(df, {f"{n}_mad0": F.col(f"{n}_dev") for n in specs}, w, window, min_periods)
-    df = df.withColumns({f"{n}_mad": F.lit(MAD_SCALE) * F.col(f"{n}_mad0") for n in specs}).drop(
+    df = df.withColumns({f"{n}_mad": F.expr(f"CAST({MAD_SCALE!r} AS DOUBLE) * `{n}_mad0`") for n in specs}).drop(
         *[f"{n}_mad0" for n in specs])
-    return df.withColumns({f"{n}_z": (F.col(f"{n}_x") - F.col(f"{n}_med")) / (F.col(f"{n}_mad") + F.lit(EPS))
+    return df.withColumns({f"{n}_z": F.expr(f"(`{n}_x` - `{n}_med`) / (`{n}_mad` + CAST({EPS!r} AS DOUBLE))")
                            for n in specs})
 
 
