@@ -30,40 +30,55 @@ def _mom_sql(now: str, avg: str) -> str:
             f"THEN LEAST(GREATEST(-({now} - {avg}) / ({avg} + 1e-9), 0.0), 1.0) * 0.1 + 0.0 ELSE 0.0 END")
 
 
-def _list(items: list, default: str, limit: int | None = None) -> str:
+def _filtered(items: list, limit: int | None = None) -> str:
     f = f"list_filter([{', '.join(items)}], lambda x: x IS NOT NULL)"
-    if limit:
-        f = f"list_slice({f}, 1, {limit})"
-    return f"array_to_string(CASE WHEN len({f}) = 0 THEN ['{default}'] ELSE {f} END, ' | ')"
+    return f"list_slice({f}, 1, {limit})" if limit else f
 
 
-def _expl_sql() -> str:
+def _or_default(lst: str, default: str) -> str:
+    return f"(CASE WHEN len({lst}) = 0 THEN ['{default}'] ELSE {lst} END)"
+
+
+def expl_list_sql() -> str:
     from storewatch.constants import EXPLAIN_CUSTOMER, EXPLAIN_DEFAULT, EXPLAIN_MARKET, EXPLAIN_SALES
-    return _list([f"CASE WHEN Sales_Risk > 0.05 THEN '{EXPLAIN_SALES}' END",
-                  f"CASE WHEN Customer_Risk > 0.05 THEN '{EXPLAIN_CUSTOMER}' END",
-                  f"CASE WHEN Market_Risk > 0.55 THEN '{EXPLAIN_MARKET}' END"], EXPLAIN_DEFAULT)
+    return _or_default(_filtered([f"CASE WHEN Sales_Risk > 0.05 THEN '{EXPLAIN_SALES}' END",
+                                  f"CASE WHEN Customer_Risk > 0.05 THEN '{EXPLAIN_CUSTOMER}' END",
+                                  f"CASE WHEN Market_Risk > 0.55 THEN '{EXPLAIN_MARKET}' END"]), EXPLAIN_DEFAULT)
 
 
-def _rec_sql() -> str:
+def rec_list_sql() -> str:
     from storewatch.constants import (RECOMMEND_CUSTOMER, RECOMMEND_DEFAULT, RECOMMEND_MARKET, RECOMMEND_RED,
                                       RECOMMEND_SALES)
     items = ([f"CASE WHEN Sales_Risk > 0.05 THEN '{t}' END" for t in RECOMMEND_SALES]
              + [f"CASE WHEN Customer_Risk > 0.05 THEN '{t}' END" for t in RECOMMEND_CUSTOMER]
              + [f"CASE WHEN Market_Risk > 0.55 THEN '{t}' END" for t in RECOMMEND_MARKET]
              + [f"CASE WHEN alert = 'RED' THEN '{RECOMMEND_RED}' END"])
-    return _list(items, RECOMMEND_DEFAULT, 5)
+    return _or_default(_filtered(items, 5), RECOMMEND_DEFAULT)
 
 
-QS_SQL = f"""{REQUEST_SQL},
-rq0 AS (SELECT *, {r6s(_mom_sql('sales_1m', 'sales_3m_avg'))} AS Sales_Risk,
+def _expl_sql() -> str:
+    return f"array_to_string({expl_list_sql()}, ' | ')"
+
+
+def _rec_sql() -> str:
+    return f"array_to_string({rec_list_sql()}, ' | ')"
+
+
+def qs_ctes(src: str) -> str:
+    """Rule score CTEs ``rq0``/``rq1``/``rq`` over any relation with the request columns."""
+    return f"""rq0 AS (SELECT *, {r6s(_mom_sql('sales_1m', 'sales_3m_avg'))} AS Sales_Risk,
   {r6s(_mom_sql('cust_1m', 'cust_3m_avg'))} AS Customer_Risk,
-  {r6s(f"LEAST(GREATEST({_BASE_CASE} + CASE WHEN delivery_share IS NOT NULL THEN 0.02 * (delivery_share - 0.5) ELSE 0.0 END + CASE WHEN region_code LIKE '%구' THEN 0.002 ELSE 0.0 END, 0.45), 0.65)")} AS Market_Risk FROM req),
+  {r6s(f"LEAST(GREATEST({_BASE_CASE} + CASE WHEN delivery_share IS NOT NULL THEN 0.02 * (delivery_share - 0.5) ELSE 0.0 END + CASE WHEN region_code LIKE '%구' THEN 0.002 ELSE 0.0 END, 0.45), 0.65)")} AS Market_Risk FROM {src}),
 rq1 AS (SELECT *, 0.4 * Sales_Risk + 0.3 * Customer_Risk + 0.3 * Market_Risk AS sc FROM rq0),
 rq AS (SELECT *, {r6s('sc')} AS risk_score, LEAST(GREATEST(sc, 0.0), 1.0) AS p_final,
   CASE WHEN LEAST(GREATEST(sc, 0.0), 1.0) >= 0.9 THEN 'RED' WHEN LEAST(GREATEST(sc, 0.0), 1.0) >= 0.7 THEN 'ORANGE'
   ELSE 'GREEN' END AS alert FROM rq1)"""
 
 
+QS_SQL = f"""{REQUEST_SQL},
+{qs_ctes('req')}"""
+
+
 @register("validate_requests", f"""WITH {panel_ctes()}, {REQUEST_SQL}
 SELECT store_id, target_month, len(r) = 0 AS valid, array_to_string(r, ',') AS reasons FROM (
   SELECT store_id, target_month, list_filter([

@@ -131,7 +131,36 @@ def q_missing_slots(spark, sf):
                     F.concat_ws(" / ", "questions").alias("questions"))
 
 
-@register("chat_reply")
+def _pct_sql(e: str) -> str:
+    """'%.1f%%' of 100 * e, rounded half-up on the shortest decimal form first (as the Spark side does)."""
+    return f"printf('%.1f%%', CAST(ROUND(CAST(CAST(({e}) * 100.0 AS VARCHAR) AS DECIMAL(38, 18)), 1) AS DOUBLE))"
+
+
+def _bullets_sql(lst: str, n: int) -> str:
+    return f"array_to_string(list_transform(list_slice({lst}, 1, {n}), lambda x: '• ' || x), chr(10))"
+
+
+def _reply_sql() -> str:
+    from storewatch.plans.q_requests import expl_list_sql, qs_ctes, rec_list_sql
+    emoji = "CASE alert " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ALERT_EMOJI.items()) + " ELSE '⚪' END"
+    nl = "chr(10)"
+    text = (f"{emoji} || ' **위험도: ' || {_pct_sql('p_final')} || '** (경보: ' || alert || ')' || {nl} || {nl} "
+            f"|| '📊 세부 위험도:' || {nl} || '- 매출: ' || {_pct_sql('Sales_Risk')} || {nl} || '- 고객: ' "
+            f"|| {_pct_sql('Customer_Risk')} || {nl} || '- 시장: ' || {_pct_sql('Market_Risk')} || {nl} || {nl} "
+            f"|| '💡 주요 인사이트:' || {nl} || {_bullets_sql('ex', 3)} || {nl} || {nl} || '🎯 개선 제안:' || {nl} "
+            f"|| {_bullets_sql('rc', 2)}")
+    return f"""WITH {panel_ctes()}, {_DLG_SQL},
+ms AS (SELECT *, {_missing_sql()} AS missing FROM st),
+ms2 AS (SELECT *, {_questions_sql('missing')} AS questions FROM ms),
+{qs_ctes('ms2')},
+rp AS (SELECT *, {expl_list_sql()} AS ex FROM rq),
+rp2 AS (SELECT *, {rec_list_sql()} AS rc FROM rp)
+SELECT session_id, turn, len(missing) > 0 AS needs_more_info,
+  CASE WHEN len(missing) > 0 THEN '정보를 더 알려주세요: ' || array_to_string(questions, ', ') ELSE trim({text}) END AS reply
+FROM rp2"""
+
+
+@register("chat_reply", _reply_sql())
 def q_chat_reply(spark, sf):
     """Reply text per dialogue turn (asks for missing slots, or the scored summary)."""
     d = chat_reply(_state(spark, sf))
