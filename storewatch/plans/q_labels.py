@@ -89,7 +89,37 @@ def q_nlargest_label(spark, sf):
     return nlargest_label(scored(spark, sf, with_preds=False), 50).select(KEY_MCT, KEY_YM, *r6("p_final"), "y")
 
 
-@register("label_cascade")
+def _f2(cond: str) -> str:
+    return f"CAST(COALESCE({cond}, false) AS INTEGER)"
+
+
+_CASCADE_SQL = f"""WITH {scored_ctes(False)}, {_LB}, {_CL},
+pxs AS (SELECT lb.ENCODED_MCT, lb.TA_YM,
+  TRY_CAST(NULLIF(regexp_extract(lb.RC_M1_SAA, '(\\d+)', 1), '') AS DOUBLE) AS saa,
+  TRY_CAST(NULLIF(regexp_extract(lb.RC_M1_UE_CUS_CN, '(\\d+)', 1), '') AS DOUBLE) AS cus,
+  sm.r_share AS cxl, lb.M12_SME_RY_ME_MCT_RAT AS indme, lb.M12_SME_BZN_ME_MCT_RAT AS bznme
+  FROM lb LEFT JOIN sm ON CAST(sm.suppkey AS VARCHAR) = lb.ENCODED_MCT AND sm.month = lb.TA_YM),
+px AS (SELECT *, saa - LAG(saa) OVER w AS dSAA, cus - LAG(cus) OVER w AS dCUS FROM pxs
+  WINDOW w AS (PARTITION BY ENCODED_MCT ORDER BY TA_YM)),
+pxy AS (SELECT ENCODED_MCT, TA_YM, CAST({_f2('dSAA <= -10')} + {_f2('dCUS <= -10')} + {_f2('cxl >= 90')}
+  + {_f2('indme >= 80')} + {_f2('bznme >= 80')} >= 2 AS INTEGER) AS y FROM px),
+tq AS (SELECT lb.ENCODED_MCT, lb.TA_YM, COALESCE(a.p_final, 0.0) AS pf FROM alerted a
+  RIGHT JOIN lb ON a.ENCODED_MCT = lb.ENCODED_MCT AND a.TA_YM = lb.TA_YM),
+tqy AS (SELECT ENCODED_MCT, TA_YM, CAST(pf >= (SELECT quantile_cont(pf, 0.9) FROM tq) AS INTEGER) AS y FROM tq),
+nl AS (SELECT ENCODED_MCT, TA_YM, CAST(row_number() OVER (ORDER BY p_final DESC, ENCODED_MCT, TA_YM) <= 50 AS INTEGER)
+  AS y FROM alerted),
+choice AS (SELECT CASE WHEN (SELECT COUNT(DISTINCT y) FROM cl) >= 2 THEN 'closure'
+  WHEN (SELECT COUNT(DISTINCT y) FROM pxy) >= 2 AND (SELECT SUM(y) FROM pxy) > 0 THEN 'proxy'
+  WHEN (SELECT COUNT(DISTINCT y) FROM tqy) >= 2 THEN 'topq' ELSE 'nlargest' END AS src)
+SELECT cl.ENCODED_MCT, cl.TA_YM, CAST(CASE src WHEN 'closure' THEN cl.y WHEN 'proxy' THEN pxy.y WHEN 'topq' THEN tqy.y
+  ELSE nl.y END AS INTEGER) AS y, src AS source
+FROM cl CROSS JOIN choice
+LEFT JOIN pxy ON cl.ENCODED_MCT = pxy.ENCODED_MCT AND cl.TA_YM = pxy.TA_YM
+LEFT JOIN tqy ON cl.ENCODED_MCT = tqy.ENCODED_MCT AND cl.TA_YM = tqy.TA_YM
+LEFT JOIN nl ON cl.ENCODED_MCT = nl.ENCODED_MCT AND cl.TA_YM = nl.TA_YM"""
+
+
+@register("label_cascade", _CASCADE_SQL)
 def q_label_cascade(spark, sf):
     p = panel(spark, sf)
     return label_cascade(label_base(p.usage, p.customers), _proxy_base(spark, sf), p.merchants,
