@@ -20,7 +20,10 @@ def _scratch(spark, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}/{uuid.uuid4().hex}"
 
 
-@register("read_csv_encoding")
+@register("read_csv_encoding", f"""WITH {panel_ctes()}
+SELECT w.written, w.detected, (SELECT COUNT(*) FROM ds2) AS n, (SELECT COUNT(*) FROM ds2 WHERE RC_M1_SAA IN
+  ({", ".join(f"'{k}'" for k in BIN2RANK)})) AS n_known_labels
+FROM (VALUES ('utf-8', 'utf-8'), ('cp949', 'cp949'), ('euc-kr', 'cp949')) w(written, detected)""")
 def q_read_csv_encoding(spark, sf):
     """The usage table (Korean bin labels) written as UTF-8, CP949 and EUC-KR CSV, read back with detection:
     detected encoding, rows, and rows whose label is a known bin (all of them when decoded right)."""

@@ -13,7 +13,7 @@ from storewatch.plans.oracle_panel import panel_ctes
 from storewatch.plans.oracle_risk import r6s, scored_ctes
 from storewatch.plans.q_requests import QS_SQL
 from storewatch.session import ensure_checkpoint_dir
-from storewatch.sources.requests import request_table
+from storewatch.sources.requests import REQUEST_SQL, request_table
 from storewatch.sources.tables import Tables
 from storewatch.streaming.streams import (read_stream_like, run_available_now, stream_dedup_requests,
                                           stream_persistence_alerts, stream_quickscore, stream_slot_sessions,
@@ -49,15 +49,17 @@ def q_stream_slot_sessions(spark, sf):
     return run_available_now(stream_slot_sessions(src), base, "sessions")
 
 
-@register("stream_dedup_requests")
+@register("stream_dedup_requests", f"""WITH {panel_ctes()}, {REQUEST_SQL}
+SELECT store_id, target_month FROM req""")
 def q_stream_dedup_requests(spark, sf):
-    """Every request plus a repeat two minutes later; repeats within five minutes are suppressed."""
+    """Every request plus a repeat two minutes later; repeats within five minutes are suppressed, so each
+    request comes out once (which copy survives is not fixed, so only the request keys are returned)."""
     base = _base(spark)
     r = _requests_with_ts(spark, sf)
     both = r.unionByName(r.withColumn("ts", F.col("ts") + F.expr("INTERVAL 2 MINUTES")))
     src = read_stream_like(spark, both, f"{base}/requests")
     out = run_available_now(stream_dedup_requests(src), base, "dedup")
-    return out.select("store_id", "target_month", "ts", "payload")
+    return out.select("store_id", "target_month")
 
 
 @register("stream_usage_windows", """
