@@ -159,6 +159,19 @@ def q_history(spark, sf):
             .select("store_id", "target_month", *r6("p_final"), "alert", "created_at", "rn"))
 
 
+@register("history_latest", f"""WITH {panel_ctes()}, {QS_SQL},
+h AS (SELECT store_id, target_month, p_final, alert, CAST(strptime(target_month || '-01', '%Y-%m-%d') AS TIMESTAMP)
+  AS created_at FROM rq)
+SELECT store_id, target_month, {r6s('p_final')} AS p_final, alert, created_at FROM h
+ORDER BY created_at DESC, store_id LIMIT 100""")
+def q_history_latest(spark, sf):
+    """Newest 100 predictions over all stores (no store filter): a TakeOrdered top-k."""
+    from storewatch.operators.reports import top_k
+    h = _history(spark, sf)
+    return top_k(h, "created_at", 100, tie_cols=("store_id",)).select(
+        "store_id", "target_month", *r6("p_final"), "alert", "created_at")
+
+
 @register("history_range", f"""WITH {panel_ctes()}, {QS_SQL}
 SELECT store_id, COUNT(*) AS total_count, LEAST(COUNT(*), 100) AS returned, COUNT(*) > 100 AS has_more FROM rq
 WHERE target_month BETWEEN '1996-01' AND '1998-12' GROUP BY store_id""")
