@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storewatch.constants import EPS, LOGIT_CLIP, VERY_NEGATIVE_SV
+from storewatch.constants import LOGIT_CLIP, VERY_NEGATIVE_SV
 
 
 def _c(x) -> Column:
@@ -83,12 +83,5 @@ def col_or_default(df: DataFrame, name: str, default) -> Column:
     return F.lit(default).cast("double") if default is not None else F.lit(None).cast("double")
 
 
-def hhi_expr(weights: list) -> Column:
-    """Sum of squared shares after normalising by the total (+EPS)."""
-    ws = [F.coalesce(_c(w).cast("double"), F.lit(0.0)) for w in weights]
-    total = sum(ws[1:], ws[0]) + F.lit(EPS)
-    return sum([(w / total) * (w / total) for w in ws[1:]], (ws[0] / total) * (ws[0] / total))
-
-
 def round6(x) -> Column:
     return F.round(_c(x), 6)

@@ -24,10 +24,6 @@ def month_lenient(x, input_type: str = "string") -> Column:
     return F.trunc(parsed.cast("date"), "MM")
 
 
-def month_coerce(df_col_type: str, x) -> Column:
-    return month_lenient(x, df_col_type)
-
-
 def horizon_end(month, k: int) -> Column:
     """Month end of ``month`` plus ``k`` months (clamped to the month's last valid day)."""
     return F.add_months(F.last_day(_c(month)), k)

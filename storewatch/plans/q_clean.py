@@ -23,10 +23,6 @@ from storewatch.plans.oracle_risk import zero01 as sql_zero01
 
 
 # --- B1 ----------------------------------------------------------------------------------------
-def _sentinel_src():
-    return F.when(F.col("DLV_SAA_RAT") < 5, F.lit("-999999")).otherwise(F.col("DLV_SAA_RAT").cast("string"))
-
-
 def _sql_num(e: str) -> str:
     return (f"(CASE WHEN TRY_CAST({e} AS DOUBLE) <= -900000 OR isnan(TRY_CAST({e} AS DOUBLE)) THEN NULL "
             f"ELSE TRY_CAST({e} AS DOUBLE) END)")
