@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -41,19 +42,53 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):  # local-cluster[...] has executors of its own
         raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...) for cluster runs")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="storewatch-ckpt-"))
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df):
+def new_folder(spark: SparkSession, kind: str = "tables") -> str:
+    """A fresh folder name under the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}/{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote, through the file system that holds it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def cut_lineage(df, scope: Scope | None = None):
     """Write ``df`` as a parquet table under the shared checkpoint folder and read it back.
 
     Later stages and task retries (a lost executor) read fixed data instead of recomputing the lineage;
     one write job (``Dataset.checkpoint`` would run the plan twice), and downstream scans get column
-    pruning and filter push-down."""
+    pruning and filter push-down.  ``scope`` takes the table over and drops it when it closes."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = scope.folder() if scope else new_folder(spark)
     df.write.mode("error").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+class Scope:
+    """Owner of intermediate tables: ``with Scope(spark) as s: t = s.table(df)``; all are dropped at the end.
+
+    A frame that still reads one of them must be materialised outside the scope before it closes."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def folder(self) -> str:
+        self.paths.append(new_folder(self.spark))
+        return self.paths[-1]
+
+    def table(self, df):
+        return cut_lineage(df, self)
+
+    def __enter__(self) -> Scope:
+        return self
+
+    def __exit__(self, *exc) -> None:
+        while self.paths:
+            remove_folder(self.spark, self.paths.pop())
