@@ -4,8 +4,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from storewatch.llm import url_filter
+from storewatch.llm import source_mix, topk, url_filter, warc
+from storewatch.session import cut_lineage, new_folder
 from storewatch.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +41,67 @@ select page_id, host, path, rule, coalesce(v, 'allow') as verdict from s left jo
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url against the five rules; a url that is not listed is allowed."""
     return url_filter.url_verdicts(read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+MIX_WEIGHTS, MIX_EPOCHS, MIX_SEED = (5, 2, 1), 3, 17
+
+
+@_register("""
+with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,
+             md5('17:' || coalesce(doc_id::varchar, '')) as o from documents),
+s as (select source, sum(size)::bigint as source_size from d group by source),
+w as (select *, 3 * source_size as cap,
+        [5, 2, 1][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int]::bigint as weight,
+        row_number() over (order by source nulls last) as place from s),
+l as (select *, (sum(source_size) over () - coalesce(sum(cap) over b, 0))::bigint::double
+               / (sum(weight) over () - coalesce(sum(weight) over b, 0))::bigint as lev
+      from w window b as (order by cap / weight, place rows between unbounded preceding and 1 preceding)),
+t as (select source, source_size, least(cap::double, weight * max(lev) over ()) as target from l),
+f as (select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as whole from t),
+g as (select *, round(target - whole * source_size)::bigint as budget from f),
+r as (select d.doc_id, d.size, g.*, sum(d.size) over (partition by d.source order by o, doc_id, size rows unbounded preceding) as run
+      from d join g on d.source is not distinct from g.source)
+select doc_id, size, source_size, round(target, 6) as target,
+  (size * (whole + case when 2 * run - size <= 2 * budget then 1 else 0 end))::bigint as taken from r
+""")
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix with source weights 5, 2, 1 (repeating) and at most 3 epochs takes of each document."""
+    plan = source_mix.mix_plan(read_table(spark, sf_dir, "documents"), weights=MIX_WEIGHTS, max_epochs=MIX_EPOCHS,
+                               seed=MIX_SEED)
+    return plan.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+@_register("""
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+           where embedding is not null and vec_id is not null
+             and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.e, c.e)::bigint as score
+      from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from p)
+select query_id, rank, vec_id, score from r where rank <= 5
+""")
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 vectors of highest integer inner product for every vector whose id is divisible by 50."""
+    vecs = read_table(spark, sf_dir, "embeddings").select("vec_id", topk.quantised(F.col("embedding"), 256).alias("vec"))
+    return topk.top_k(vecs.filter(F.col("vec_id") % 50 == 0), vecs, 5, id_col="vec_id")
+
+
+@_register("""
+with p as (select page_id, coalesce(html, '') as html from pages),
+h as (select page_id, html, strlen(html)::bigint as payload_bytes, sha1(html) as hex from p),
+b as (select *, list_aggregate(list_transform(range(8), lambda i: (
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, (i * 5 + 1)::int, 5))::int >> 15) & 31) + 1, 1) ||
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, (i * 5 + 1)::int, 5))::int >> 10) & 31) + 1, 1) ||
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, (i * 5 + 1)::int, 5))::int >> 5) & 31) + 1, 1) ||
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(hex, (i * 5 + 1)::int, 5))::int & 31) + 1, 1))),
+        'string_agg', '') as payload_digest, max(page_id) over (partition by html) as holder from h)
+select page_id, payload_bytes, payload_digest, case when page_id = holder then 'response' else 'revisit' end as record_type,
+  case when page_id <> holder then holder end as refers_to from b
+""")
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as Zstandard WARC archives (equal payloads once, the rest revisits) and read back."""
+    manifest = cut_lineage(warc.write_archives(warc.mark_revisits(read_table(spark, sf_dir, "pages")),
+                                               new_folder(spark, "warc")))
+    files = manifest.repartition(max(1, manifest.count()), F.col("path"))
+    return warc.read_archives(files, payloads=False).select("page_id", "payload_bytes", "payload_digest",
+                                                            "record_type", "refers_to")
