@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storewatch.llm import source_mix, topk, url_filter, warc
+from storewatch.llm import packing, source_mix, token_file, topk, url_filter, warc
 from storewatch.session import cut_lineage, new_folder
 from storewatch.sources.tables import read_table
 
@@ -105,3 +105,24 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = manifest.repartition(max(1, manifest.count()), F.col("path"))
     return warc.read_archives(files, payloads=False).select("page_id", "payload_bytes", "payload_digest",
                                                             "record_type", "refers_to")
+
+
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@_register()
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    packed = packing.pack(read_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), 2048)
+    return packed.drop("ids")
+
+
+@_register()
+def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as bit-packed token id files in doc_id order, read back: position, length and checksum of each."""
+    manifest = cut_lineage(token_file.write_tokens(read_table(spark, sf_dir, "documents"), new_folder(spark, "tokens"),
+                                                   _vocabulary("byte_bpe_50k.json")))
+    return token_file.read_tokens(manifest, digest_only=True).drop("ids")
