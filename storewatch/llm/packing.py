@@ -134,7 +134,7 @@ def _best_fit(left: np.ndarray, groups: list[Group], capacity: int) -> list[Grou
 
 
 def plan(histogram: np.ndarray, capacity: int, classes: int = CLASSES, most: int = 4,
-         rounds: int = 6) -> list[Group]:
+         rounds: int = 1) -> list[Group]:
     """Groups of equal sequences that hold ``histogram[n]`` pieces of each length n.
 
     The number of groups is bounded by distinct lengths x patterns used (at most ``classes`` a round) plus a

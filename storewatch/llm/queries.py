@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storewatch.llm import packing, source_mix, token_file, topk, url_filter, warc
+from storewatch.llm import packing, source_mix, substring, token_file, topk, url_filter, warc
 from storewatch.session import cut_lineage, new_folder
 from storewatch.sources.tables import read_table
 
@@ -43,6 +43,30 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(read_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+WORD = source_mix.WORD
+
+
+@_register("""
+with d as (select row_number() over () as k, coalesce(doc_id, 9223372036854775807) as id, doc_id,
+             coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) as w from documents),
+p as (select k, id, unnest(range(len(w) - 12)) as s, w from d where len(w) >= 13),
+g as (select k, id, s, array_to_string(w[s + 1 : s + 13], ' ') as run from p),
+m as (select run, min(id) as first from g group by run having count(*) > 1),
+c as (select distinct g.k, g.s + o.o as pos from g join m using (run), (select unnest(range(13)) as o) o where g.id > m.first),
+x as (select k, count(*) as n, list(pos) as gone from c group by k)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_removed,
+  sha256(case when gone is null then array_to_string(w, ' ')
+         else array_to_string(list_filter(w, lambda t, i: not list_contains(gone, i - 1)), ' ') end) as kept_sha256
+from d left join x using (k)
+""")
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that are left of every document once passages of 13 words or more that an earlier one has are cut."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = substring.remove_repeats(docs, min_words=13)
+    kept = F.array_join(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0)), " ")
+    return done.select("doc_id", "repeats.n_words", "repeats.n_removed", F.sha2(kept, 256).alias("kept_sha256"))
+
+
 MIX_WEIGHTS, MIX_EPOCHS, MIX_SEED = (5, 2, 1), 3, 17
 
 
