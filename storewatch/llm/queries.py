@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storewatch.llm import packing, source_mix, substring, token_file, topk, url_filter, warc
+from storewatch.llm import jaccard, packing, source_mix, substring, token_file, topk, url_filter, warc
 from storewatch.session import cut_lineage, new_folder
 from storewatch.sources.tables import read_table
 
@@ -137,6 +137,29 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@_register("""
+with recursive d as (select coalesce(doc_id, 9223372036854775807) as id, doc_id,
+    coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\\x20\\x09-\\x0D]+'), []) as w from documents),
+s as (select id, doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+        else list_distinct(list_transform(range(len(w) - 2), lambda i: array_to_string(w[i + 1 : i + 3], ' '))) end as g from d),
+o as (select *, list_sort(g) as og from s),
+c as (select og, min(id) as node, any_value(len(g)) as n from o where len(g) > 0 group by og),
+t as (select node, n, unnest(og) as g from c),
+p as (select a.node as x, b.node as y, count(*) as k, any_value(a.n) as n1, any_value(b.n) as n2
+      from t a join t b on a.g = b.g and a.node < b.node and 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) group by 1, 2),
+e as (select x, y from p where 100 * k >= 90 * (n1 + n2 - k)),
+b as (select x, y from e union select y, x from e),
+r as (select node as x, node as y from c union select r.x, b.y from r join b on r.y = b.x),
+m as (select x as node, min(y) as comp from r group by x)
+select o.doc_id, len(o.g)::bigint as n_shingles, coalesce(m.comp, o.doc_id) as component_id
+from o left join c on o.og = c.og left join m using (node)
+""")
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked by a Jaccard similarity of 0.9 or more of their 3-word shingles."""
+    return jaccard.similar_groups(read_table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 @_register()
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
