@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storewatch.llm import jaccard, packing, source_mix, substring, token_file, topk, url_filter, warc
+from storewatch.llm import jaccard, near_vectors, packing, source_mix, substring, token_file, topk, url_filter, warc
 from storewatch.session import cut_lineage, new_folder
 from storewatch.sources.tables import read_table
 
@@ -137,6 +137,24 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@_register("""
+with recursive v as (select vec_id, embedding::double[] as e from embeddings where embedding is not null and vec_id is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n as (select vec_id, e, sqrt(list_dot_product(e, e)) as r from v),
+l as (select a.vec_id as x, b.vec_id as y from n a join n b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+      and list_dot_product(a.e, b.e) / (a.r * b.r) >= 0.9),
+r as (select vec_id as x, vec_id as y from embeddings union select r.x, l.y from r join l on r.y = l.x),
+m as (select x as vec_id, min(y) as component_id from r group by x),
+k as (select x as vec_id, count(*) as n from l group by x)
+select m.vec_id, coalesce(k.n, 0)::bigint as n_links, component_id, m.vec_id = component_id as kept
+from m left join k using (vec_id)
+""")
+def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings linked by a cosine of 0.9 or more: number of links and component of every vector."""
+    return near_vectors.near_vectors(read_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 @_register("""
 with recursive d as (select coalesce(doc_id, 9223372036854775807) as id, doc_id,
     coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
