@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storewatch.llm import jaccard, near_vectors, packing, source_mix, substring, token_file, topk, url_filter, warc
+from storewatch.llm import jaccard, near_vectors, packing, quality, source_mix, substring, token_file, topk, url_filter, warc
 from storewatch.session import cut_lineage, new_folder
 from storewatch.sources.tables import read_table
 
@@ -191,3 +191,13 @@ def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = cut_lineage(token_file.write_tokens(read_table(spark, sf_dir, "documents"), new_folder(spark, "tokens"),
                                                    _vocabulary("byte_bpe_50k.json")))
     return token_file.read_tokens(manifest, digest_only=True).drop("ids")
+
+
+@_register()
+def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by a conditional random field over its lines."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit_quality(docs, read_table(spark, sf_dir, "labels"))
+    done = quality.score_quality(docs, model, threshold=0.3)
+    return done.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "quality_of_text.score",
+                       "quality_of_text.predicted")
