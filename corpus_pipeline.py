@@ -1,7 +1,75 @@
-"""Corpus pipeline (stages follow)."""
+"""From raw documents to packed training sequences: five stages, each one operator of ``storewatch.llm``.
+
+A stage takes (spark, docs, sf_dir) and returns a frame; its rows are written as Parquet and reread as the
+next stage's ``docs``.  All but the last return the columns of ``documents``.
+"""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from storewatch.llm import jaccard, packing, quality, source_mix, substring
+from storewatch.session import cut_lineage, ship_package
+from storewatch.sources.tables import read_table
+
+QUALITY_THRESHOLD = 0.3
+NEAR_WORDS, NEAR_SIMILARITY = 5, 80  # shingle length, Jaccard in hundredths
+REPEAT_WORDS = 50
+MIX_WEIGHTS, MIX_EPOCHS, MIX_SEED = (5, 2, 1), 3, 17
+SEQUENCE_TOKENS, VOCABULARY = 2048, "word_bpe_49k.json"
+
+#: Trained and hash-defined stages have no SQL form; the tests hold the stages against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score (conditional random field over lines) reaches the threshold."""
+    ship_package(spark)
+    model = quality.fit_quality(docs, read_table(spark, sf_dir, "labels"))
+    scored = quality.score_quality(docs, model, threshold=QUALITY_THRESHOLD)
+    return scored.filter("quality_of_text.predicted = 1").select(docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest id of each group of near duplicates; rows that repeat an id count as one document."""
+    ship_package(spark)
+    groups = jaccard.similar_groups(docs, n=NEAR_WORDS, num=NEAR_SIMILARITY, den=100)
+    stay = groups.filter("row_key = group_key").select(F.col("row_key").alias("_key")).distinct()
+    rows = docs.withColumn("_key", jaccard.row_key("doc_id", "text")).join(stay, "_key", "left_semi")
+    one = rows.groupBy("_key").agg(F.min(F.struct(*[c for c in docs.columns])).alias("_row"))
+    return one.select("_row.*")
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier document has; those left without a word go."""
+    ship_package(spark)
+    cut = substring.remove_repeats(docs, min_words=REPEAT_WORDS)
+    left = cut.filter("repeats.n_removed = 0 or repeats.n_removed < repeats.n_words")
+    return left.withColumn("n_chars", F.when(F.col("repeats.n_removed") > 0, F.length("text").cast("long"))
+                           .otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    ship_package(spark)
+    return source_mix.mix(docs, weights=MIX_WEIGHTS, max_epochs=MIX_EPOCHS, seed=MIX_SEED)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their place in the training sequences."""
+    import public_tokenizers
+
+    ship_package(spark)
+    return packing.pack(docs, public_tokenizers.path(VOCABULARY), SEQUENCE_TOKENS).drop("ids")
+
+
+STAGES = [("quality classifier", good_quality), ("n-gram Jaccard join", one_of_each_group),
+          ("substring dedup", without_repeats), ("mixing sources", mixed), ("best-fit packing", packed)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the last stage over all of ``documents``."""
+    docs = read_table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = cut_lineage(stage(spark, docs, sf_dir))
+    return docs

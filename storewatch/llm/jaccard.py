@@ -20,8 +20,9 @@ documents whose prefixes are shared enough to have a partner at all.  Posting li
 and pass through sorts, windows and joins that spill; nothing is collected but the bucket counts.
 
 Defined cases: null, empty or blank texts have an empty set and link with nothing; with fewer than n words
-the whole sequence is the one shingle; rows that repeat an id share a component; a null id counts as the
-largest and is returned as null; an empty table gives an empty result; other columns are not read.
+the whole sequence is the one shingle; rows that repeat an id share a component; rows without an id are told
+apart by their text, count as larger than any id (ids must be below 2^62) and are returned with a null id, a component of only such rows
+with a null component_id; an empty table gives an empty result; other columns are not read.
 """
 from __future__ import annotations
 
@@ -41,7 +42,7 @@ SLICE = 4 << 20
 BUCKET_BITS, PIECE = 20, 4096
 MATCHES = (1, 2, 4, 8, 16, 32, 64)  # the l a document can choose from
 VERIFY_COST = 8.0                   # of one candidate, in postings
-NO_ID = 2**63 - 1
+NO_ID = 2**62  # keys of rows without an id start here
 
 
 def shingles(col: pa.Array, n: int, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,16 +196,22 @@ def _fits(n1: Column, n2: Column, num: int, den: int) -> Column:
     return den * F.least(n1, n2) >= num * F.greatest(n1, n2)
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """The id; without one, a key above all ids made from the text."""
+    own = F.lit(NO_ID) + F.pmod(F.xxhash64(F.col(text_col).cast("string")), F.lit(NO_ID - 1))
+    return F.coalesce(F.col(id_col).cast("long"), own)
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80,
                    den: int = 100, lower: bool = True) -> DataFrame:
-    """id, n_shingles, component_id (smallest id reachable by links of Jaccard >= num / den) of every row."""
+    """id, n_shingles, component_id (smallest id reachable by links of Jaccard >= num / den) of every row, and
+    row_key, group_key: the same for rows without an id (see :func:`row_key`)."""
     if not 0 < num <= den or n < 1:
         raise ValueError("n must be positive and the threshold in (0, 1]")
     spark = docs.sparkSession
     packed.limit_batches(spark)
     parts = packed.partitions(spark)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"),
-                       F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(row_key(id_col, text_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     with Scope(spark) as scope:
         made = scope.table(prefixes(rows, n, num, den, lower))
         info = made.select("id", "n", "s1", "s2")
@@ -228,9 +235,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         links = links.unionByName(_cross_links(lists, sets, found, num, den, scope))
         found = components(links, scope)
         labels = classes.join(found, "node", "left").select("n", "s1", "s2", F.coalesce("component", "node").alias("component"))
+        group = F.coalesce("component", "id")
+        known = lambda c: F.when(c < NO_ID, c)
         return cut_lineage(info.join(labels, ["n", "s1", "s2"], "left").select(
-            F.nullif("id", F.lit(NO_ID)).alias(id_col), F.col("n").alias("n_shingles"),
-            F.nullif(F.coalesce("component", "id"), F.lit(NO_ID)).alias("component_id")))
+            known(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), known(group).alias("component_id"),
+            F.col("id").alias("row_key"), group.alias("group_key")))
 
 
 def _near_links(lists: DataFrame, sets: DataFrame, num: int, den: int, scope: Scope) -> DataFrame:

@@ -175,7 +175,8 @@ from o left join c on o.og = c.og left join m using (node)
 """)
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents linked by a Jaccard similarity of 0.9 or more of their 3-word shingles."""
-    return jaccard.similar_groups(read_table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+    groups = jaccard.similar_groups(read_table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+    return groups.select("doc_id", "n_shingles", "component_id")
 
 
 @_register()
