@@ -166,7 +166,7 @@ def train(features: np.ndarray, starts: np.ndarray, label: np.ndarray, rounds: i
     mean, scale = np.zeros(features.shape[1]), np.ones(features.shape[1])
     if len(features):
         mean[1:], scale[1:] = features[:, 1:].mean(axis=0), np.maximum(features[:, 1:].std(axis=0), 1e-3)
-    model = Model(np.zeros(features.shape[1]), np.zeros((2, 2)), mean, scale, share, 0 < share < 1)
+    model = Model(np.zeros(features.shape[1]), np.zeros((2, 2)), mean, scale, share, len(label) > 0 and 0 < share < 1)
     if not model.fitted:
         return model
     x = np.clip((features - mean) / scale, -6, 6)
