@@ -41,7 +41,7 @@ class Level:
     salt: int
 
     def passes(self, key: Column) -> Column:
-        table = F.array(*[F.lit(w) for w in self.words]) if len(self.words) < 64 else F.lit(list(self.words))
+        table = F.lit(list(self.words)).cast("array<bigint>")
         hit = F.lit(True)
         for pos in _positions(key, self.bits, self.hashes, self.salt):
             word = F.element_at(table, (F.shiftright(pos, 6) + 1).cast("int"))
