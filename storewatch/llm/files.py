@@ -7,6 +7,7 @@ from __future__ import annotations
 import uuid
 
 import pyarrow.fs as pafs
+from pyspark.sql import DataFrame
 
 
 def open_output(folder: str, suffix: str):
@@ -21,3 +22,8 @@ def open_input(uri: str):
     """Random-access stream of a file."""
     system, path = pafs.FileSystem.from_uri(uri)
     return system.open_input_file(path)
+
+
+def one_task_each(manifest: DataFrame) -> DataFrame:
+    """The files of a manifest dealt to tasks of their own."""
+    return manifest.repartition(max(1, manifest.count()), "path")

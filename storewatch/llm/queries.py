@@ -126,8 +126,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as Zstandard WARC archives (equal payloads once, the rest revisits) and read back."""
     manifest = cut_lineage(warc.write_archives(warc.mark_revisits(read_table(spark, sf_dir, "pages")),
                                                new_folder(spark, "warc")))
-    files = manifest.repartition(max(1, manifest.count()), F.col("path"))
-    return warc.read_archives(files, payloads=False).select("page_id", "payload_bytes", "payload_digest",
+    return warc.read_archives(manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest",
                                                             "record_type", "refers_to")
 
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storewatch.llm.files import open_input, open_output
+from storewatch.llm.files import one_task_each, open_input, open_output
 from storewatch.llm.tokens import token_ids, vocab_size
 from storewatch.llm.words import row_slices
 
@@ -198,5 +198,5 @@ def read_tokens(manifest: DataFrame, digest_only: bool = False, batch_ids: int =
                             "ids": [None] * len(parts) if digest_only else parts}, schema=schema)
                         lo = hi
 
-    return (files.select("path", "docs", "ids", "base").mapInArrow(
-        read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<long>"))
+    return one_task_each(files.select("path", "docs", "ids", "base")).mapInArrow(
+        read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<long>")

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storewatch.llm.files import open_input, open_output
+from storewatch.llm.files import one_task_each, open_input, open_output
 
 # Fixed values of the format.
 SKIPPABLE_MAGIC = 0x184D2A5D
@@ -258,4 +258,4 @@ def read_archives(manifest: DataFrame, payloads: bool = True, batch_bytes: int =
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return manifest.select("path", "records", "payload_bytes").mapInArrow(read, RECORDS)
+    return one_task_each(manifest.select("path", "records", "payload_bytes")).mapInArrow(read, RECORDS)
