@@ -47,6 +47,41 @@ def pack_entries(bucket: np.ndarray, kind: int, ids: np.ndarray, keys: np.ndarra
                       for n, v in zip("abc", values, strict=True)}}
 
 
+class Outbox:
+    """Collects (id, key, value) entries for documents and packs them by document bucket, many at a time.
+
+    Rows then follow the number of entries, not the number of packed rows that they came from."""
+
+    def __init__(self, parts: int, limit: int = 1 << 20):
+        self.parts, self.limit, self.held, self.size = parts, limit, [], 0
+
+    def add(self, kind: int, ids: np.ndarray, keys: np.ndarray, values: np.ndarray) -> Iterator[dict]:
+        if len(ids):
+            self.held.append((np.full(len(ids), kind, np.int8), ids, keys, values))
+            self.size += len(ids)
+        if self.size >= self.limit:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[dict]:
+        if not self.held:
+            return
+        kind, ids, keys, values = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        self.held, self.size = [], 0
+        bucket = (keys.astype(np.uint64) % np.uint64(self.parts)).astype(np.int64)
+        order = np.lexsort((keys, ids, bucket, kind))
+        kind, ids, keys, values, bucket = kind[order], ids[order], keys[order], values[order], bucket[order]
+        cut = (np.diff(bucket) != 0) | (np.diff(kind) != 0)
+        edges = np.concatenate([[0], np.flatnonzero(cut) + 1, [len(ids)]])
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            for at in range(int(lo), int(hi), CHUNK):
+                part = slice(at, min(at + CHUNK, int(hi)))
+                new = np.ones(part.stop - at, bool)
+                new[1:] = (np.diff(ids[part]) != 0) | (np.diff(keys[part]) != 0)
+                yield {"bucket": int(bucket[at]), "kind": int(kind[at]), "ids": ids[part][new].astype("<i8").tobytes(),
+                       "keys": keys[part][new].astype("<i8").tobytes(), "doc": (np.cumsum(new) - 1).astype("<u2").tobytes(),
+                       "a": np.ascontiguousarray(values[part], "<u8").tobytes(), "b": None, "c": None}
+
+
 def batches_of(rows: Iterator[dict], limit: int = 4 << 20, schema: pa.Schema = _ARROW) -> Iterator[pa.RecordBatch]:
     """Record batches of about ``limit`` bytes."""
     held, size = [], 0

@@ -48,10 +48,6 @@ def _code(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | (hashes & _LOW)
 
 
-def _doc_bucket(keys: np.ndarray, parts: int) -> np.ndarray:
-    return (keys.astype(np.uint64) % np.uint64(parts)).astype(np.int64)
-
-
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Slices of (id, key, text, ...) batches of bounded text size."""
     for batch in batches:
@@ -103,7 +99,7 @@ def _probe(anchors: DataFrame, parts: int) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def entries() -> Iterator[dict]:
-            bucket, refs, table = None, [], None
+            bucket, refs, table, out = None, [], None, packed.Outbox(parts)
             for row in packed.rows_of(batches):
                 if row["bucket"] != bucket:
                     bucket, refs, table = row["bucket"], [], None
@@ -129,8 +125,8 @@ def _probe(anchors: DataFrame, parts: int) -> DataFrame:
                 else:
                     hit = same & (high[place] > mine)
                 full = code[hit].astype("<u8") | np.uint64(bucket << 32)
-                yield from packed.pack_entries(_doc_bucket(keys, parts)[doc[hit]], PROBE if row["kind"] == PROBE else REF,
-                                               ids, keys, doc[hit], full)
+                yield from out.add(PROBE if row["kind"] == PROBE else REF, mine[hit], keys[doc[hit]], full)
+            yield from out.flush()
 
         yield from packed.batches_of(entries())
 
@@ -190,7 +186,7 @@ def _confirm(extensions: DataFrame, parts: int) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def entries() -> Iterator[dict]:
-            bucket, refs, table = None, [], None
+            bucket, refs, table, out = None, [], None, packed.Outbox(parts)
             for row in packed.rows_of(batches):
                 if row["bucket"] != bucket:
                     bucket, refs, table = row["bucket"], [], None
@@ -215,8 +211,9 @@ def _confirm(extensions: DataFrame, parts: int) -> DataFrame:
                     open_ = open_[~same]
                     place[open_] += 1
                     open_ = open_[place[open_] < len(known)]
-                yield from packed.pack_entries(_doc_bucket(keys, parts)[doc[repeated]], PROBE, ids, keys, doc[repeated],
-                                               np.frombuffer(row["c"], "<u4")[repeated].astype("<u8"))
+                yield from out.add(PROBE, ids[doc[repeated]], keys[doc[repeated]],
+                                   np.frombuffer(row["c"], "<u4")[repeated].astype("<u8"))
+            yield from out.flush()
 
         yield from packed.batches_of(entries())
 
