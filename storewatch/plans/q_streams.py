@@ -7,15 +7,16 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from storewatch.operators.dialogue import dialogue_table, parse_messages
+from storewatch.operators.dialogue import SLOTS, dialogue_table, parse_messages
 from storewatch.plans.catalog import panel, r6, register, scored
 from storewatch.plans.oracle_panel import panel_ctes
 from storewatch.plans.oracle_risk import r6s, scored_ctes
 from storewatch.plans.q_requests import QS_SQL
+from storewatch.plans.q_text import _DLG_SQL
 from storewatch.session import ensure_checkpoint_dir
 from storewatch.sources.requests import REQUEST_SQL, request_table
 from storewatch.sources.tables import Tables
-from storewatch.streaming.streams import (read_stream_like, run_available_now, stream_dedup_requests,
+from storewatch.streaming.streams import (DELETE_MESSAGE, closing_row, read_stream_like, run_available_now, stream_dedup_requests,
                                           stream_persistence_alerts, stream_quickscore, stream_slot_sessions,
                                           stream_slow_requests, stream_usage_windows, usage_events)
 
@@ -34,19 +35,30 @@ SELECT store_id, target_month, Sales_Risk, Customer_Risk, Market_Risk, risk_scor
 FROM rq""")
 def q_stream_quickscore(spark, sf):
     base = _base(spark)
-    src = read_stream_like(spark, _requests_with_ts(spark, sf), f"{base}/requests")
+    src = read_stream_like(spark, _requests_with_ts(spark, sf), f"{base}/requests", "ts")
     out = run_available_now(stream_quickscore(src), base, "quickscore")
     return out.select("store_id", "target_month", "Sales_Risk", "Customer_Risk", "Market_Risk", "risk_score",
                       *r6("p_final"), "alert")
 
 
-@register("stream_slot_sessions")
+_DELETED = "(CAST(regexp_extract(session_id, '^([0-9]+)', 1) AS BIGINT) % 3 = 0 AND turn = 1)"
+
+
+@register("stream_slot_sessions", f"""WITH {panel_ctes()}, {_DLG_SQL},
+x AS (SELECT * EXCLUDE (message), CASE WHEN {_DELETED} THEN '{DELETE_MESSAGE}' ELSE message END AS message FROM pdm),
+d AS (SELECT *, max(CASE WHEN message = '{DELETE_MESSAGE}' THEN turn END) OVER (PARTITION BY session_id) AS gone FROM x)
+SELECT session_id, max(turn) AS turn,
+  {', '.join(f"arg_max({s}, turn) FILTER (WHERE {s} IS NOT NULL AND turn > coalesce(gone, -1)) AS {s}" for s in SLOTS)}
+FROM d GROUP BY session_id""")
 def q_stream_slot_sessions(spark, sf):
-    """Dialogue turns of every request session through the TTL session state (one row per turn)."""
+    """Dialogue turns of every request session (a third of the stores delete theirs at the second turn) through the
+    session state; final slots of every expired session."""
     base = _base(spark)
     turns = parse_messages(dialogue_table(request_table(panel(spark, sf))))
-    src = read_stream_like(spark, turns, f"{base}/turns")
-    return run_available_now(stream_slot_sessions(src), base, "sessions")
+    gone = (F.regexp_extract("session_id", "^([0-9]+)", 1).cast("long") % 3 == 0) & (F.col("turn") == 1)
+    turns = turns.withColumn("message", F.when(gone, DELETE_MESSAGE).otherwise(F.col("message")))
+    src = read_stream_like(spark, turns, f"{base}/turns", "ts", closing=closing_row(turns, "ts", "3 DAYS", turn=0, message=""))
+    return run_available_now(stream_slot_sessions(src), base, "sessions").select("session_id", "turn", *SLOTS)
 
 
 @register("stream_dedup_requests", f"""WITH {panel_ctes()}, {REQUEST_SQL}
@@ -57,7 +69,7 @@ def q_stream_dedup_requests(spark, sf):
     base = _base(spark)
     r = _requests_with_ts(spark, sf)
     both = r.unionByName(r.withColumn("ts", F.col("ts") + F.expr("INTERVAL 2 MINUTES")))
-    src = read_stream_like(spark, both, f"{base}/requests")
+    src = read_stream_like(spark, both, f"{base}/requests", "ts")
     out = run_available_now(stream_dedup_requests(src), base, "dedup")
     return out.select("store_id", "target_month")
 
@@ -66,12 +78,13 @@ def q_stream_dedup_requests(spark, sf):
 WITH e AS (SELECT event_type AS endpoint, value AS response_time, CAST(ts AS TIMESTAMP) AS created_at FROM events)
 SELECT date_trunc('day', created_at) AS window_start, date_trunc('day', created_at) + INTERVAL 1 DAY AS window_end,
   endpoint, COUNT(*) AS count, ROUND(AVG(response_time), 6) AS avg_response_time FROM e
-GROUP BY 1, 2, 3 HAVING date_trunc('day', created_at) + INTERVAL 1 DAY <= (SELECT MAX(created_at) FROM e) - INTERVAL 1 DAY""")
+GROUP BY 1, 2, 3""")
 def q_stream_usage_windows(spark, sf):
     """Daily requests / mean response time per endpoint; a day is emitted once the watermark (latest event
-    minus one day) has passed its end."""
+    minus one day) has passed its end; the replay ends with a record that lets the newest days out."""
     base = _base(spark)
-    src = read_stream_like(spark, usage_events(Tables(spark, sf).events), f"{base}/events")
+    events = usage_events(Tables(spark, sf).events)
+    src = read_stream_like(spark, events, f"{base}/events", "created_at", closing=closing_row(events, "created_at", "4 DAYS"))
     out = run_available_now(stream_usage_windows(src), base, "usage")
     return out.select("window_start", "window_end", "endpoint", "count", *r6("avg_response_time"))
 
@@ -81,7 +94,7 @@ SELECT event_type AS endpoint, value AS response_time, user_id AS api_key, CAST(
 FROM events WHERE value > 1.0""")
 def q_stream_slow_requests(spark, sf):
     base = _base(spark)
-    src = read_stream_like(spark, usage_events(Tables(spark, sf).events), f"{base}/events")
+    src = read_stream_like(spark, usage_events(Tables(spark, sf).events), f"{base}/events", "created_at")
     return run_available_now(stream_slow_requests(src), base, "slow")
 
 
@@ -95,6 +108,6 @@ def q_stream_persistence_alerts(spark, sf):
     base = _base(spark)
     s = scored(spark, sf).select(F.col("ENCODED_MCT").alias("store_id"), F.col("TA_YM").cast("timestamp").alias("ts"),
                                  "p_final")
-    src = read_stream_like(spark, s, f"{base}/scores")
+    src = read_stream_like(spark, s, f"{base}/scores", "ts")
     out = run_available_now(stream_persistence_alerts(src), base, "persistence")
     return out.select("store_id", "ts", *r6("p_final", "pbar"), "alert")

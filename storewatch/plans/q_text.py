@@ -66,13 +66,14 @@ def _utterances(spark, sf):
 
 
 @register("parse_money", f"""WITH {panel_ctes()}, {_UTT_SQL},
-tok AS (SELECT session_id, target_month, NULLIF(regexp_extract(message, '[0-9][0-9,.]*\\s*(원|만원|천만원|억원)', 0), '')
-  AS token FROM utt)
-SELECT session_id, target_month, token, {_money_sql('token')} AS won FROM tok""")
+lst AS (SELECT session_id, target_month, regexp_extract_all(message, '[0-9][0-9,.]*\\s*(원|만원|천만원|억원)', 0) AS t FROM utt),
+tok AS (SELECT session_id, target_month, unnest(range(len(t)))::INTEGER AS pos, unnest(t) AS token FROM lst)
+SELECT session_id, target_month, pos, token, {_money_sql('token')} AS won FROM tok""")
 def q_parse_money(spark, sf):
+    """Every amount of every message, in order of appearance."""
     u = _utterances(spark, sf)
-    tok = F.regexp_extract("message", r"(?U)[0-9][0-9,.]*\s*(원|만원|천만원|억원)", 0)
-    d = u.select("session_id", "target_month", F.when(tok == "", None).otherwise(tok).alias("token"))
+    tok = F.regexp_extract_all("message", F.lit(r"(?U)[0-9][0-9,.]*\s*(원|만원|천만원|억원)"), F.lit(0))
+    d = u.select("session_id", "target_month", F.posexplode(tok).alias("pos", "token"))
     return d.withColumn("won", money_value(F.col("token")))
 
 
@@ -95,7 +96,8 @@ dlg AS (SELECT store_id || '/' || target_month AS session_id, unnest([0, 1, 2])
   '최근 3개월 평균 매출 ' || CAST(CAST(ROUND(sales_3m_avg / 10000) AS BIGINT) AS VARCHAR) || '만원',
   '아 지난달 매출 ' || CAST(CAST(ROUND(sales_1m * 1.1 / 10000) AS BIGINT) AS VARCHAR) || '만원으로 정정할게요'])
   AS message FROM req),
-pd AS (SELECT session_id, turn, {parse_sql('message')} FROM dlg),
+pdm AS (SELECT session_id, turn, message, {parse_sql('message')} FROM dlg),
+pd AS (SELECT * EXCLUDE (message) FROM pdm),
 st AS (SELECT session_id, turn,
   {', '.join(f"last({s} IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {s}" for s in SLOTS)}
   FROM pd)"""

@@ -1,14 +1,16 @@
 """Structured Streaming versions of the request-side behaviour.
 
 - S1 ``stream_quickscore``: score each arriving request, append to a sink.
-- S2 ``stream_slot_sessions``: per-session slot state with a 24 h TTL renewed on every message and an
-  explicit delete message; ``applyInPandasWithState`` with an event-time timeout (message time +
-  24 h, against the watermark; deterministic, and an ``availableNow`` run ends when the input does).
+- S2 ``stream_slot_sessions``: slot state of a session with a 24 h TTL renewed by every message and an explicit
+  delete message: an event-time session window, its aggregates are the state (JVM only); a row per session comes
+  out when the watermark passes its expiry.
 - S3 ``stream_dedup_requests``: repeats of the same payload within 5 minutes are suppressed
-  (``dropDuplicatesWithinWatermark``).
+  (``dropDuplicatesWithinWatermark`` on the payload columns themselves).
 - S4 ``stream_usage_windows``: requests and mean response time per endpoint per day (tumbling window,
   watermark, append mode).
-- S5 ``stream_persistence_alerts``: per store, the last three scores in state; alert on each arrival.
+- S5 ``stream_persistence_alerts``: per store, the last three scores in state; alert on each arrival (scores
+  arriving late are rated against the state of their arrival; rows without a score get no alert and leave no
+  trace in the state).
 - S6 ``stream_slow_requests``: requests slower than 1 s.
 
 Every function takes a streaming DataFrame and returns one; :func:`run_available_now` drains a source
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,106 +31,81 @@ from storewatch.constants import REQUIRED_SLOTS, THRESHOLDS
 from storewatch.operators.dialogue import SLOTS
 from storewatch.operators.quickscore import quickscore
 
-SESSION_TTL_MS = 24 * 3600 * 1000   # 24 h, renewed at every save
 DELETE_MESSAGE = "__delete__"
 SLOW_SECONDS = 1.0
 
 
-def run_available_now(stream: DataFrame, base: str, name: str, mode: str = "append",
-                      timeout_s: int = 600) -> DataFrame:
-    """Process everything available, stop, and read the file sink back."""
+def run_available_now(stream: DataFrame, base: str, name: str, mode: str = "append") -> DataFrame:
+    """Process everything available, however long it takes, and read the file sink back."""
     spark = stream.sparkSession
     out, ckpt = f"{base}/{name}/out", f"{base}/{name}/_checkpoint"
     q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
          .outputMode(mode).trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError(f"stream {name} did not finish in {timeout_s}s")
-    if q.exception():
-        raise RuntimeError(str(q.exception()))
-    return spark.read.parquet(out)
-
-
-def read_stream_like(spark: SparkSession, batch: DataFrame, path: str, max_files: int | None = None) -> DataFrame:
-    """Land a batch table as parquet files and open them as a file stream (optionally bounded files per
-    trigger; unbounded means one micro-batch for an availableNow run)."""
-    batch.write.mode("overwrite").parquet(path)
-    reader = spark.readStream.schema(spark.read.parquet(path).schema)
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
+    q.awaitTermination()     # raises what the stream raised
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def read_stream_like(spark: SparkSession, batch: DataFrame, path: str, time_col: str, slices: int = 4,
+                     files: int = 4, closing: DataFrame | None = None) -> DataFrame:
+    """Land a batch table in order of ``time_col`` as ``slices`` sets of ``files`` files each, and open them as a file
+    stream that takes one set per micro-batch, so that state really crosses batches.
+
+    ``closing``: rows landed last, with times beyond everything else; they move the watermark so that every
+    window of the table ends and comes out (their own windows never do)."""
+    seconds = F.col(time_col).cast("timestamp").cast("double")
+    lo, hi = batch.agg(F.min(seconds), F.max(seconds)).first()
+    step = ((hi or 0.0) - (lo or 0.0)) / slices or 1.0
+    part = F.coalesce(F.least(F.floor((seconds - F.lit(lo or 0.0)) / F.lit(step)), F.lit(slices - 1)), F.lit(0))
+    parts = [batch.where(part == i) for i in range(slices)] + ([closing] if closing is not None else [])
+    for rows in parts:
+        rows.repartition(files).write.mode("append").option("maxRecordsPerFile", 0).parquet(path)
+    reader = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", files)
     return reader.parquet(path)
 
 
+def closing_row(batch: DataFrame, time_col: str, gap: str, **values) -> DataFrame:
+    """One row of the table's schema, ``gap`` behind its latest time (the other columns null unless given)."""
+    last = batch.agg(F.max(F.col(time_col).cast("timestamp")).alias("t")).select(
+        (F.col("t") + F.expr(f"INTERVAL {gap}")).alias("t")).where(F.col("t").isNotNull())
+    cols = [F.col("t").cast(f.dataType).alias(f.name) if f.name == time_col
+            else F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in batch.schema.fields]
+    return last.select(*cols)
+
+
 # --- S1 ------------------------------------------------------------------------------------------
 def stream_quickscore(requests: DataFrame) -> DataFrame:
     q = quickscore(requests)
     return q.select("store_id", "target_month", "ts", "Sales_Risk", "Customer_Risk", "Market_Risk", "risk_score",
                     "p_final", "alert", F.concat_ws(" | ", "explanations").alias("explanations"),
                     F.concat_ws(" | ", "recommendations").alias("recommendations"),
-                    F.xxhash64("store_id", "target_month", "ts").alias("id"))
+                    F.sha2(F.to_json(F.struct("store_id", "target_month", "ts")), 256).alias("id"))
 
 
 # --- S2 ------------------------------------------------------------------------------------------
-SESSION_OUT = T.StructType([T.StructField("session_id", T.StringType()), T.StructField("turn", T.IntegerType())]
-                           + [T.StructField(s, T.DoubleType() if s not in ("industry_code", "region_code")
-                                            else T.StringType()) for s in SLOTS]
-                           + [T.StructField("missing", T.StringType()), T.StructField("event", T.StringType())])
-SESSION_STATE = T.StructType([T.StructField(s, T.StringType()) for s in SLOTS])
-
-
-def _session_update(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    (session_id,) = key
-    if state.hasTimedOut:
-        state.remove()
-        yield pd.DataFrame([{"session_id": session_id, "turn": None, "event": "expired"}], columns=[
-            f.name for f in SESSION_OUT.fields])
-        return
-    slots = {s: None for s in SLOTS}
-    if state.exists:
-        for s, v in zip(SLOTS, state.get):
-            slots[s] = v
-    rows = []
-    msgs = pd.concat(list(pdfs)).sort_values("turn")
-    deleted = False
-    last_ms = int(pd.Timestamp(msgs["ts"].max()).timestamp() * 1000)
-    for rec in msgs.itertuples(index=False):
-        if rec.message == DELETE_MESSAGE:
-            slots = {s: None for s in SLOTS}
-            deleted = True
-            rows.append({"session_id": session_id, "turn": int(rec.turn), "event": "deleted"})
-            continue
-        deleted = False
-        for s in SLOTS:
-            v = getattr(rec, s)
-            if v is not None and not (isinstance(v, float) and pd.isna(v)):
-                slots[s] = v if s in ("industry_code", "region_code") else float(v)
-        missing = [s for s in REQUIRED_SLOTS if slots[s] is None]
-        rows.append({"session_id": session_id, "turn": int(rec.turn), **slots, "missing": ",".join(missing),
-                     "event": "updated"})
-    if deleted:
-        state.remove()
-    else:
-        state.update(tuple(None if slots[s] is None else str(slots[s]) for s in SLOTS))
-        expiry = last_ms + SESSION_TTL_MS
-        if expiry > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(expiry)
-    yield pd.DataFrame(rows, columns=[f.name for f in SESSION_OUT.fields])
-
-
-def stream_slot_sessions(parsed_turns: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """``parsed_turns``: session_id, turn, ts, message + the seven parsed slot columns."""
-    return parsed_turns.withWatermark("ts", lateness).groupBy("session_id").applyInPandasWithState(
-        _session_update, SESSION_OUT, SESSION_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+def stream_slot_sessions(parsed_turns: DataFrame, ttl: str = "24 hours", lateness: str = "1 hour") -> DataFrame:
+    """``parsed_turns``: session_id, turn, ts, message + the seven parsed slot columns.
+
+    One row per expired session: its last turn, the last non-missing value of every slot after the last delete
+    message, the required slots still missing, and the expiry time (last message + ttl)."""
+    deleted = F.max(F.when(F.col("message") == DELETE_MESSAGE, F.col("turn"))).alias("_deleted")
+    aggs = []
+    for s in SLOTS:
+        told = F.when(F.col(s).isNotNull() & (F.col("message") != DELETE_MESSAGE), F.col("turn"))
+        aggs += [F.max_by(F.col(s), told).alias(f"_v_{s}"), F.max(told).alias(f"_t_{s}")]
+    state = (parsed_turns.withWatermark("ts", lateness)
+             .groupBy("session_id", F.session_window("ts", ttl).alias("w"))
+             .agg(F.max("turn").alias("turn"), deleted, *aggs))
+    slots = {s: F.when(F.col(f"_t_{s}") > F.coalesce("_deleted", F.lit(-1)), F.col(f"_v_{s}")) for s in SLOTS}
+    filled = state.select("session_id", "turn", *[v.alias(s) for s, v in slots.items()], F.col("w.end").alias("expired_at"))
+    missing = F.concat_ws(",", *[F.when(F.col(s).isNull(), F.lit(s)) for s in REQUIRED_SLOTS])
+    return filled.withColumn("missing", missing)
 
 
 # --- S3 ------------------------------------------------------------------------------------------
 def stream_dedup_requests(requests: DataFrame, within: str = "5 minutes") -> DataFrame:
-    payload = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in
-                           ("store_id", "target_month", "region_code", "industry_code", "delivery_share", "sales_1m",
-                            "sales_3m_avg", "cust_1m", "cust_3m_avg")])
-    return (requests.withColumn("payload", payload).withWatermark("ts", within)
-            .dropDuplicatesWithinWatermark(["payload"]))
+    payload = ["store_id", "target_month", "region_code", "industry_code", "delivery_share", "sales_1m",
+               "sales_3m_avg", "cust_1m", "cust_3m_avg"]
+    return requests.withWatermark("ts", within).dropDuplicatesWithinWatermark(payload)
 
 
 # --- S4 / S6 -------------------------------------------------------------------------------------
@@ -159,22 +137,18 @@ def _persistence_update(key, pdfs: Iterator[pd.DataFrame], state: GroupState) ->
     (store_id,) = key
     k = int(THRESHOLDS["persistence_k"])
     last = list(state.get[0]) if state.exists else []
-    rows = []
-    for rec in pd.concat(list(pdfs)).sort_values("ts").itertuples(index=False):
-        p = float(rec.p_final)
-        last = (last + [p])[-k:]
-        pbar = sum(last) / len(last)
-        if p >= THRESHOLDS["red"] and pbar >= THRESHOLDS["red"] - THRESHOLDS["delta"]:
-            a = "RED"
-        elif p >= THRESHOLDS["orange"]:
-            a = "ORANGE"
-        elif p >= THRESHOLDS["yellow"]:
-            a = "YELLOW"
-        else:
-            a = "GREEN"
-        rows.append({"store_id": store_id, "ts": rec.ts, "p_final": p, "pbar": pbar, "alert": a})
+    for pdf in pdfs:                                  # one Arrow batch at a time: a long history never piles up
+        rows = pdf.dropna(subset=["p_final"]).sort_values("ts")
+        if rows.empty:
+            continue
+        p = pd.Series([*last, *rows["p_final"]], dtype="float64")
+        pbar = p.rolling(k, min_periods=1).mean().to_numpy()[len(last):]
+        now = rows["p_final"].to_numpy()
+        red = (now >= THRESHOLDS["red"]) & (pbar >= THRESHOLDS["red"] - THRESHOLDS["delta"])
+        alert = np.select([red, now >= THRESHOLDS["orange"], now >= THRESHOLDS["yellow"]], ["RED", "ORANGE", "YELLOW"], "GREEN")
+        last = p.iloc[-k:].tolist()
+        yield pd.DataFrame({"store_id": store_id, "ts": rows["ts"].to_numpy(), "p_final": now, "pbar": pbar, "alert": alert})
     state.update((last,))
-    yield pd.DataFrame(rows, columns=[f.name for f in ALERT_OUT.fields])
 
 
 def stream_persistence_alerts(scores: DataFrame) -> DataFrame:
