@@ -1,8 +1,8 @@
 """Isolation forest as Spark jobs (the one-class fallback model).
 
-1. sample: every row gets ``m`` copies (``m`` = 1 on large tables), each copy a tree id from a hash;
-   per tree the ``sample_size`` rows with the smallest hash are kept (window per tree: bounded by a
-   few hundred rows);
+1. sample: every row tries every tree with a hash against a rate that leaves about two samples' worth of rows per
+   tree, whatever the table size; per tree the ``sample_size`` rows with the smallest hash are kept
+   (window per tree: a few hundred rows; a table smaller than that is taken whole by every tree);
 2. grow: ``groupBy(tree).applyInPandas`` grows one isolation tree per group with numpy (<= 2*256-1 nodes);
 3. score: the forest (trees x nodes, a proven bound) is broadcast; ``mapInPandas`` walks all trees for a
    batch of rows at once and returns 2^(-E[h] / c(n)).
@@ -31,10 +31,11 @@ def _c(n: float) -> float:
     return 2.0 * (math.log(n - 1) + 0.5772156649015329) - 2.0 * (n - 1) / n
 
 
-def _grow(pdf: pd.DataFrame, n_features: int, max_depth: int, seed: int) -> pd.DataFrame:
+def _grow(pdf: pd.DataFrame, n_features: int, seed: int) -> pd.DataFrame:
     tree = int(pdf["tree"].iloc[0])
     x = np.array(pdf["x"].tolist(), dtype="float64").reshape(-1, n_features)
     rng = np.random.default_rng(seed * 100003 + tree)
+    max_depth = int(math.ceil(math.log2(max(len(x), 2))))
     nodes = []                                   # node, feature, threshold, left, right, size
 
     def build(idx: np.ndarray, depth: int) -> int:
@@ -66,18 +67,17 @@ def _grow(pdf: pd.DataFrame, n_features: int, max_depth: int, seed: int) -> pd.D
 def fit_forest(df: DataFrame, feature_cols: list, key_cols: list, n_trees: int = 400, sample_size: int = 256,
                seed: int = 42) -> DataFrame:
     """Grow the forest; returns the node table (tree, node, feature, threshold, left, right, size)."""
-    n = df.count()
-    copies = max(1, min(n_trees, math.ceil(n_trees * sample_size * 2 / max(n, 1))))
+    rate = min(1.0, 2.0 * sample_size / max(df.count(), 1))
     x = F.array(*[F.col(c).cast("double") for c in feature_cols])
     key = F.concat_ws("|", *[F.col(c).cast("string") for c in key_cols])
-    rows = df.select(key.alias("_key"), x.alias("x"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("_copy"))
-    rows = rows.withColumn("tree", (F.abs(F.xxhash64(F.lit(seed), "_key", "_copy")) % n_trees).cast("int"))
-    rows = rows.dropDuplicates(["tree", "_key"]).withColumn("_h", F.xxhash64(F.lit(seed + 1), "tree", "_key"))
-    w = Window.partitionBy("tree").orderBy("_h")
+    h = F.pmod(F.xxhash64(F.lit(seed), F.col("_key"), F.col("tree")), F.lit(1 << 52))
+    rows = (df.select(key.alias("_key"), x.alias("x"))
+            .withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1)))).withColumn("_h", h)
+            .where(F.col("_h") < F.lit(int(rate * (1 << 52)))))
+    w = Window.partitionBy("tree").orderBy("_h", "_key")
     sample = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= sample_size).select("tree", "x")
-    max_depth = int(math.ceil(math.log2(max(sample_size, 2))))
     nf = len(feature_cols)
-    return sample.groupBy("tree").applyInPandas(lambda p: _grow(p, nf, max_depth, seed), NODE_SCHEMA)
+    return sample.groupBy("tree").applyInPandas(lambda p: _grow(p, nf, seed), NODE_SCHEMA)
 
 
 def score_forest(df: DataFrame, forest: DataFrame, feature_cols: list, out: str = "anomaly",
@@ -90,7 +90,7 @@ def score_forest(df: DataFrame, forest: DataFrame, feature_cols: list, out: str
         part = nodes[nodes.tree == t]
         packed.append(tuple(part[c].to_numpy() for c in ("feature", "threshold", "left", "right", "size")))
     bc = df.sparkSession.sparkContext.broadcast(packed)
-    c_n = _c(sample_size)
+    c_n = _c(float(np.mean([p[4][0] for p in packed])))    # the rows the trees really hold
     c_table = np.array([_c(i) for i in range(2 * sample_size + 2)])
     nf = len(feature_cols)
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.DoubleType())])

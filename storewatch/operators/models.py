@@ -26,12 +26,17 @@ SLOT_COLUMNS = {"xgb": "pred_xgb", "lgbm": "pred_lgbm", "rf": "pred_rf", "gb": "
 
 @dataclass
 class ModelSizes:
-    """Reference sizes by default; tests pass small ones (boosting rounds are sequential jobs)."""
+    """Reference sizes by default; tests pass small ones (boosting rounds are sequential jobs).
+
+    The original grows forest trees without a depth limit; Spark's trees stop at 30 levels and cost memory per
+    level, so ``rf_depth`` is the deepest affordable one.  ``mlp_iterations`` are L-BFGS steps over all rows."""
     rf_trees: int = 400
+    rf_depth: int = 12
+    rf_bins: int = 64
     gb_rounds: int = 100
     xgb_rounds: int = 400
     lgbm_rounds: int = 500
-    mlp_epochs: int = 10
+    mlp_iterations: int = 100
     extra: dict = field(default_factory=dict)
 
 
@@ -42,12 +47,12 @@ def feature_columns(df: DataFrame) -> tuple[list, list]:
 
 
 def encoder_stages(cat: list) -> list:
-    """Categorical -> index (unseen -> extra index) -> one-hot with the extra slot dropped, so an unseen
-    category encodes as all zeros."""
+    """Categorical -> index by frequency (unseen -> one extra, last index) -> one-hot without the last slot, so an
+    unseen category encodes as all zeros."""
     stages = []
     for c in cat:
         stages.append(StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep"))
-        stages.append(OneHotEncoder(inputCol=f"{c}__idx", outputCol=f"{c}__oh", handleInvalid="keep", dropLast=True))
+        stages.append(OneHotEncoder(inputCol=f"{c}__idx", outputCol=f"{c}__oh", handleInvalid="error", dropLast=True))
     return stages
 
 
@@ -66,17 +71,18 @@ def class_weight_col(train: DataFrame, y: str = "y") -> DataFrame:
 
 def classifier(slot: str, sizes: ModelSizes, n_features: int, seed: int = 42):
     if slot == "rf":
-        return RandomForestClassifier(numTrees=sizes.rf_trees, seed=seed, weightCol="w", labelCol="y")
+        return RandomForestClassifier(numTrees=sizes.rf_trees, maxDepth=sizes.rf_depth, maxBins=sizes.rf_bins, seed=seed, weightCol="w", labelCol="y")
     if slot == "gb":
         return GBTClassifier(maxIter=sizes.gb_rounds, maxDepth=3, stepSize=0.1, seed=seed, labelCol="y")
     if slot == "xgb":
         return GBTClassifier(maxIter=sizes.xgb_rounds, maxDepth=5, stepSize=0.05, subsamplingRate=0.8,
                              featureSubsetStrategy="0.8", seed=seed, labelCol="y")
     if slot == "lgbm":
-        return GBTClassifier(maxIter=sizes.lgbm_rounds, maxDepth=5, stepSize=0.05, subsamplingRate=0.8,
-                             featureSubsetStrategy="0.8", seed=seed, labelCol="y")
+        # 31 leaves: depth 5; rows are not sampled (no sampling frequency is set), leaves keep 20 rows
+        return GBTClassifier(maxIter=sizes.lgbm_rounds, maxDepth=5, stepSize=0.05, subsamplingRate=1.0, minInstancesPerNode=20,
+                             featureSubsetStrategy="0.8", seed=seed + 1, labelCol="y")
     if slot == "dl":
-        return MultilayerPerceptronClassifier(layers=[n_features, 128, 64, 2], maxIter=max(1, sizes.mlp_epochs * 10),
+        return MultilayerPerceptronClassifier(layers=[n_features, 128, 64, 2], maxIter=sizes.mlp_iterations,
                                               blockSize=256, seed=seed, labelCol="y")
     if slot == "logit":
         return LogisticRegression(maxIter=200, weightCol="w", labelCol="y")

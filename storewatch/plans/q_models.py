@@ -68,16 +68,33 @@ register("model_mlp")(_slot_query("dl"))
 register("model_logit")(_slot_query("logit"))
 
 
-@register("one_hot")
+_CATS = ["HPSN_MCT_ZCD_NM", "HPSN_MCT_BZN_CD_NM"]
+_UNSEEN = "HPSN_MCT_ZCD_NM NOT IN ('0', '7')"    # categories that the fit never sees
+
+
+def _slots_sql(c: str) -> str:
+    return f"""s_{c} AS (SELECT {c}, row_number() OVER (ORDER BY count(*) DESC, {c}) AS slot FROM oh WHERE fit GROUP BY {c})"""
+
+
+def _vector_sql(c: str) -> str:
+    return (f"(SELECT string_agg(CASE WHEN s.{c} = oh.{c} THEN '1' ELSE '0' END, ',' ORDER BY s.slot) FROM s_{c} s) AS {c}_onehot")
+
+
+@register("one_hot", f"""WITH {panel_ctes()}, {_SPLIT},
+oh AS (SELECT sp.ENCODED_MCT, sp.TA_YM, m.HPSN_MCT_ZCD_NM, m.HPSN_MCT_BZN_CD_NM, sp.is_test = 0 AND {_UNSEEN} AS fit
+  FROM sp JOIN ds1 m ON sp.ENCODED_MCT = m.ENCODED_MCT),
+{_slots_sql(_CATS[0])}, {_slots_sql(_CATS[1])}
+SELECT ENCODED_MCT, TA_YM, HPSN_MCT_ZCD_NM, HPSN_MCT_BZN_CD_NM, {_vector_sql(_CATS[0])}, {_vector_sql(_CATS[1])} FROM oh""")
 def q_one_hot(spark, sf):
-    """Industry / area one-hot fitted on the training split; a category unseen in training -> zeros."""
+    """Industry / area one-hot fitted on the training split without two industries: slots by frequency, then name;
+    the unseen industries -> zeros. Vectors as text, one digit per slot."""
     lab, split = _labeled(spark, sf)
-    cats = panel(spark, sf).merchants.select(KEY_MCT, "HPSN_MCT_ZCD_NM", "HPSN_MCT_BZN_CD_NM")
+    cats = panel(spark, sf).merchants.select(KEY_MCT, *_CATS)
     d = lab.select(KEY_MCT, KEY_YM).join(cats, KEY_MCT).join(split.select(KEY_MCT, KEY_YM, "is_train"), [KEY_MCT, KEY_YM])
-    cat = ["HPSN_MCT_ZCD_NM", "HPSN_MCT_BZN_CD_NM"]
-    model = Pipeline(stages=encoder_stages(cat)).fit(d.where("is_train = 1"))
+    model = Pipeline(stages=encoder_stages(_CATS)).fit(d.where(f"is_train = 1 AND {_UNSEEN}"))
     out = model.transform(d)
-    return out.select(KEY_MCT, KEY_YM, *cat, *[vector_to_array(f"{c}__oh").alias(f"{c}_onehot") for c in cat])
+    digits = lambda c: F.concat_ws(",", F.transform(vector_to_array(f"{c}__oh"), lambda x: x.cast("int").cast("string")))
+    return out.select(KEY_MCT, KEY_YM, *_CATS, *[digits(c).alias(f"{c}_onehot") for c in _CATS])
 
 
 @register("preds_output")
