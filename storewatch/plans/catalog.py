@@ -28,10 +28,10 @@ def register(name: str, sql: str | None = None):
 
 def panel(spark: SparkSession, sf_dir: str, cancel_form: str = "bin") -> Panel:
     """Derived tables, built once per session and input folder (the store-month table is checkpointed)."""
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir, cancel_form)
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir)
     if key not in _PANELS:
-        _PANELS[key] = build_panel(spark, sf_dir, cancel_form)
-    return _PANELS[key]
+        _PANELS[key] = build_panel(spark, sf_dir)
+    return _PANELS[key].with_cancel(cancel_form)
 
 
 def scored(spark: SparkSession, sf_dir: str, with_preds: bool = True) -> DataFrame:

@@ -8,7 +8,7 @@ The store-month table is checkpointed once: every table below is derived from it
 """
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -78,7 +78,7 @@ def line_grain(t: Tables) -> DataFrame:
 
 
 def store_month(t: Tables) -> DataFrame:
-    """One row per (store, month) with the raw measures (checkpointed)."""
+    """One row per (store, month) with the raw measures."""
     g = line_grain(t)
     first = Window.partitionBy("suppkey", "cust")
     g = g.withColumn("first_m", F.min("month").over(first))
@@ -99,7 +99,7 @@ def store_month(t: Tables) -> DataFrame:
                lines_if(F.col("loc") == "RSD").alias("_rsd"), lines_if(F.col("loc") == "WP").alias("_wp"),
                lines_if(F.col("loc") == "FLP").alias("_flp"),
                F.min("nat").alias("nat"), F.min("reg").alias("reg")))
-    return cut_lineage(sm)
+    return sm
 
 
 @dataclass
@@ -110,27 +110,37 @@ class Panel:
     preds: DataFrame
     store_month: DataFrame
 
+    def with_cancel(self, form: str) -> Panel:
+        """The same tables with ``APV_CE_RAT`` as ``bin`` label (risk path) or ``number`` (label path)."""
+        source = {"bin": "APV_CE_RAT", "number": _CANCEL_NUMBER}[form]
+        cols = [F.col(source).alias("APV_CE_RAT") if c == "APV_CE_RAT" else F.col(c)
+                for c in self.usage.columns if c != _CANCEL_NUMBER]
+        return replace(self, usage=self.usage.select(*cols))
+
 
 def _month_index(c) -> F.Column:
     return F.year(c) * 12 + F.month(c)
 
 
-def build_panel(spark: SparkSession, sf_dir: str, cancel_form: str = "bin") -> Panel:
-    """ds1/ds2/ds3/preds in the reference's column layout. ``cancel_form``: ``bin`` (risk path) or
-    ``number`` (label path) for ``APV_CE_RAT``."""
+_CANCEL_NUMBER = "_APV_CE_RAT_number"
+
+
+def build_panel(spark: SparkSession, sf_dir: str) -> Panel:
+    """ds1/ds2/ds3/preds in the reference's column layout; ``usage`` holds both forms of ``APV_CE_RAT`` (choose one
+    with :meth:`Panel.with_cancel`)."""
     t = Tables(spark, sf_dir)
     sm = store_month(t)
     store = F.col("suppkey").cast("string")
     span = Window.partitionBy("suppkey")   # one store's months: bounded by the number of months
     sm = (sm.withColumn("first_store_m", F.min("month").over(span))
           .withColumn("last_store_m", F.max("month").over(span)))
-    global_last = sm.select(F.max("month")).scalar()
     sm = cut_lineage(sm.withColumns({   # every branch below (8 rank specs, peer aggregates) reads this
         "aov": F.round(F.col("sales") / F.col("txn"), 6),
         "ops_months": _month_index(F.col("month")) - _month_index(F.col("first_store_m")),
         "r_share": _share("r_n"),
         "f_share": _share("f_n"),
     }))
+    global_last = sm.select(F.max("month")).scalar()
     by_month = ["month"]
     ranked = with_percent_ranks(sm, ["suppkey", "month"], [
         ("pr_sales", by_month, "sales", False),
@@ -149,14 +159,13 @@ def build_panel(spark: SparkSession, sf_dir: str, cancel_form: str = "bin") -> P
     full = ranked.join(ind, ["nat", "month"], "left").join(area, ["reg", "month"], "left")
 
     ta_ym = F.date_format("month", "yyyyMM")
-    cancel = bin_label(F.col("pr_r")) if cancel_form == "bin" else F.col("r_share")
     usage = full.select(
         store.alias("ENCODED_MCT"), ta_ym.alias("TA_YM"),
         bin_label(F.col("pr_sales")).alias("RC_M1_SAA"),
         bin_label(F.col("pr_txn")).alias("RC_M1_TO_UE_CT"),
         bin_label(F.col("pr_cust")).alias("RC_M1_UE_CUS_CN"),
         bin_label(F.col("pr_aov")).alias("RC_M1_AV_NP_AT"),
-        cancel.alias("APV_CE_RAT"),
+        bin_label(F.col("pr_r")).alias("APV_CE_RAT"),
         bin_label(F.col("pr_ops")).alias("MCT_OPE_MS_CN"),
         F.col("f_share").alias("DLV_SAA_RAT"),
         F.round(F.lit(100.0) * F.col("sales") / F.col("ind_avg_sales"), 6).alias("M1_SME_RY_SAA_RAT"),
@@ -165,6 +174,7 @@ def build_panel(spark: SparkSession, sf_dir: str, cancel_form: str = "bin") -> P
         F.round(F.lit(100.0) * F.col("pr_area_sales"), 6).alias("M12_SME_BZN_SAA_PCE_RT"),
         F.round(F.col("ind_r"), 6).alias("M12_SME_RY_ME_MCT_RAT"),
         F.round(F.col("area_r"), 6).alias("M12_SME_BZN_ME_MCT_RAT"),
+        F.col("r_share").alias(_CANCEL_NUMBER),
     )
     age = [_share(f"_{c.split('_')[1]}_{c.split('_')[2]}").alias(c) for c in AGE_COLS]
     customers = sm.select(
