@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from storewatch.constants import CLOSE_DATE, KEY_MCT, KEY_YM
 from storewatch.functions.months import horizon_end
-from storewatch.operators.prepare import coerce_keys
+from storewatch.operators.prepare import coerce_keys, unique_keys
 from storewatch.operators.ranking import global_quantiles, value_ranks
 from storewatch.operators.reports import top_k
 from storewatch.operators.windows import store_window
@@ -14,12 +14,13 @@ from storewatch.operators.windows import store_window
 
 def label_base(ds2: DataFrame, ds3: DataFrame) -> DataFrame:
     """usage FULL OUTER JOIN customers on (store, month); keys coalesced, months parsed."""
-    return coerce_keys(ds2).join(coerce_keys(ds3), [KEY_MCT, KEY_YM], "full")
+    return unique_keys(coerce_keys(ds2)).join(unique_keys(coerce_keys(ds3)), [KEY_MCT, KEY_YM], "full")
 
 
 def closure_label(base: DataFrame, ds1: DataFrame, k_months: int = 3) -> DataFrame:
     """y = 1 when the store's close date falls after the month and within month end + k months."""
-    close = ds1.select(F.col(KEY_MCT).cast("string").alias(KEY_MCT), F.col(CLOSE_DATE).cast("date").alias(CLOSE_DATE))
+    close = unique_keys(ds1.select(F.col(KEY_MCT).cast("string").alias(KEY_MCT),
+                                   F.col(CLOSE_DATE).cast("date").alias(CLOSE_DATE)))
     d = base.join(close, KEY_MCT, "left")
     me, t0 = F.col(CLOSE_DATE), F.col(KEY_YM)
     cond = me.isNotNull() & (me > t0) & (me <= horizon_end(t0, k_months))

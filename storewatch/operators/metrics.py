@@ -55,7 +55,7 @@ def fit_medians(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def impute_medians(df: DataFrame, medians: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """coalesce(x, fitted median): the fitted table has one row per feature and travels as scalars."""
-    fills = {c: F.coalesce(F.col(c).cast("double"),
-                           medians.where(F.col("feature") == c).select("median").scalar()) for c in cols}
-    return df.withColumns(fills)
+    """coalesce(x, fitted median): the fitted table (one row per feature) travels as one scalar struct."""
+    fitted = medians.agg(*[F.max(F.when(F.col("feature") == c, F.col("median"))).alias(f"m{i}") for i, c in enumerate(cols)])
+    row = fitted.select(F.struct(*fitted.columns).alias("m")).scalar()
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), row.getField(f"m{i}")) for i, c in enumerate(cols)})

@@ -97,11 +97,12 @@ def group_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str, pr
 
 def global_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
                      num_partitions: int | None = None) -> list:
-    """Exact quantiles over the whole table as scalar-subquery Columns (usable in any expression: no
-    join, no cross product)."""
+    """Exact quantiles over the whole table as Columns: fields of one scalar-subquery struct (usable in any
+    expression: no join, no cross product, one ranking for all of them)."""
     names = [f"q{i}" for i in range(len(probs))]
     q = group_quantiles(df, [], value_col, probs, names=names, num_partitions=num_partitions)
-    return [q.select(n).scalar() for n in names]
+    row = q.select(F.struct(*names).alias("q")).scalar()
+    return [row.getField(n) for n in names]
 
 
 def with_percent_rank(df: DataFrame, group_cols: Sequence[str], value_col: str, out_col: str,
@@ -129,7 +130,8 @@ def with_percent_ranks(df: DataFrame, key_cols: Sequence[str], specs: Sequence[t
     keys = list(key_cols)
     parts = []
     for i, (_, gcols, vcol, desc) in enumerate(specs):
-        grp = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in gcols]) if gcols else F.lit("")
+        known = [F.col(c).isNotNull() for c in gcols]     # a row without its group key is not ranked
+        grp = F.when(reduce(lambda a, b: a & b, known), F.to_json(F.struct(*gcols))) if gcols else F.lit("")
         v = (-F.col(vcol) if desc else F.col(vcol)).cast("double")
         parts.append(df.select(*keys, F.lit(i).alias("_spec"), grp.alias("_grp"), v.alias("_v")))
     stacked = reduce(DataFrame.unionByName, parts)

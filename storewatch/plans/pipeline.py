@@ -16,20 +16,19 @@ OUTPUT_COLS = [KEY_MCT, KEY_YM, "Sales_Risk", "Customer_Risk", "Market_Risk", "R
                "Alert"]
 
 
-def run_pipeline(ds1: DataFrame, ds2: DataFrame, ds3: DataFrame, preds: DataFrame | None = None,
-                 calib: DataFrame | None = None, alert_groups: list | None = None, lenient_bins: bool = False,
-                 bins_after_clean: bool = False, renormalize: bool = False, boundary: str = "store") -> DataFrame:
-    """Score every store-month.
+def score_rows(ds1: DataFrame, ds2: DataFrame, ds3: DataFrame, preds: DataFrame | None = None,
+               calib: DataFrame | None = None, keep: tuple = (), lenient_bins: bool = False,
+               bins_after_clean: bool = False, renormalize: bool = False, boundary: str = "store") -> DataFrame:
+    """Risks, ``p_model`` and ``p_final`` of every store-month, without alerts; lazy, nothing is written.
 
     ``preds``: optional (store, month, pred_*) table -> ``p_model``; without it ``p_model`` = 0.
     ``calib``: optional (store, month, y) table; when given, a least-squares Platt fit on it calibrates
     ``p_model`` before the blend, otherwise the score is only clipped.
-    ``alert_groups``: requested quantile groups; the default asks for industry, which is not carried
-    into the risk frame, so alerts fall back to month (as the original flow does).
+    ``keep``: further joined columns to carry.
     ``boundary``: ``store`` windows (default) or ``global`` (rolling across store boundaries, parity).
     """
     df = normalize_bins(load_and_join(ds1, ds2, ds3, bins_after_clean=bins_after_clean), lenient=lenient_bins)
-    keep = [c for c in (alert_groups or []) if c in df.columns and c not in (KEY_MCT, KEY_YM)]
+    keep = [c for c in keep if c in df.columns and c not in (KEY_MCT, KEY_YM)]
     risks = compute_all_risks(df, keep=tuple(keep), boundary=boundary)
     if preds is None:
         risks = risks.withColumn("p_model", F.lit(0.0))
@@ -45,7 +44,17 @@ def run_pipeline(ds1: DataFrame, ds2: DataFrame, ds3: DataFrame, preds: DataFram
         else:
             p_cal = clip01(F.col("p_model"))   # unfitted calibrator: clip only
     risks = risks.withColumn("p_final", blend(p_cal, F.col("RiskScore"), LAMBDA_BLEND))
+    return risks.select(KEY_MCT, KEY_YM, *keep, *RISK_COLS, "p_model", "p_final")
+
+
+def run_pipeline(ds1: DataFrame, ds2: DataFrame, ds3: DataFrame, preds: DataFrame | None = None,
+                 alert_groups: list | None = None, **options) -> DataFrame:
+    """Score every store-month (:func:`score_rows`, which takes ``options``) and label it with an alert.
+
+    ``alert_groups``: requested quantile groups; the default asks for industry, which is not carried
+    into the risk frame, so alerts fall back to month (as the original flow does)."""
+    risks = score_rows(ds1, ds2, ds3, preds, keep=tuple(alert_groups or ()), **options)
     # the alert thresholds need a full pass over the scores; checkpoint so the scoring is computed once
-    risks = cut_lineage(risks.select(KEY_MCT, KEY_YM, *keep, *RISK_COLS, "p_model", "p_final"))
+    risks = cut_lineage(risks)
     out = assign_alert_by_quantile(risks, group_cols=alert_groups or ["HPSN_MCT_ZCD_NM"], score_col="p_final")
     return out.select(*OUTPUT_COLS)

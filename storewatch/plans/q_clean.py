@@ -6,11 +6,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from storewatch.constants import KEY_MCT
+from storewatch.constants import KEY_MCT, KEY_YM
 from storewatch.functions.bins import bin_rank, with_bin_rank_lenient
 from storewatch.functions.core import (clip01, logistic, logit, nanmax, relu_minus, safe_null, to_percent,
                                        zero01)
 from storewatch.functions.months import month_lenient, month_strict
+from storewatch.operators.prepare import key_report
 from storewatch.plans.catalog import panel, r6, register
 from storewatch.plans.oracle_panel import panel_ctes
 from storewatch.plans.oracle_risk import bin_rank as sql_bin_rank
@@ -148,3 +149,24 @@ def q_scalar_math(spark, sf):
                     F.round(relu_minus("x"), 6).alias("relu_minus"), F.round(logistic(F.col("x")), 6).alias("logistic"),
                     F.round(to_percent("pct"), 6).alias("to_percent"), F.round(nanmax("x", "p"), 6).alias("nanmax"),
                     F.round(logit("p"), 6).alias("logit"))
+
+
+@register("key_report", f"""WITH {panel_ctes()},
+d1 AS (SELECT ENCODED_MCT AS k, NULL AS m FROM ds1 UNION ALL SELECT ENCODED_MCT, NULL FROM ds1 WHERE CAST(ENCODED_MCT AS BIGINT) % 4 = 0),
+d2 AS (SELECT CASE WHEN CAST(ENCODED_MCT AS BIGINT) % 5 = 0 THEN NULL ELSE ENCODED_MCT END AS k,
+    CASE WHEN CAST(ENCODED_MCT AS BIGINT) % 7 = 0 THEN NULL ELSE TA_YM END AS m FROM ds2),
+u AS (SELECT 'merchants' AS input, k, m FROM d1 UNION ALL SELECT 'usage', k, m FROM d2
+  UNION ALL SELECT 'customers', ENCODED_MCT, TA_YM FROM ds3),
+g AS (SELECT input, k, m, COUNT(*) AS n FROM u GROUP BY 1, 2, 3)
+SELECT input, SUM(n)::BIGINT AS n_rows, COALESCE(SUM(n) FILTER (WHERE k IS NULL), 0)::BIGINT AS no_store,
+  CASE WHEN input <> 'merchants' THEN COALESCE(SUM(n) FILTER (WHERE m IS NULL), 0)::BIGINT ELSE 0 END AS no_month,
+  COUNT(*) FILTER (WHERE k IS NOT NULL AND n > 1) AS repeated_keys,
+  COALESCE(SUM(n - 1) FILTER (WHERE k IS NOT NULL), 0)::BIGINT AS surplus_rows FROM g GROUP BY input""")
+def q_key_report(spark, sf):
+    """Key problems of the three inputs, with merchants repeated, store keys and months broken on the way in."""
+    p = panel(spark, sf)
+    number = F.col(KEY_MCT).cast("long")
+    merchants = p.merchants.unionByName(p.merchants.where(number % 4 == 0))
+    usage = p.usage.withColumns({KEY_MCT: F.when(number % 5 != 0, F.col(KEY_MCT)),
+                                 KEY_YM: F.when(number % 7 == 0, F.lit("n/a")).otherwise(F.col(KEY_YM))})
+    return key_report({"merchants": merchants, "usage": usage, "customers": p.customers})

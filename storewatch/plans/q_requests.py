@@ -147,7 +147,7 @@ def _history(spark, sf):
 @register("history", f"""WITH {panel_ctes()}, {QS_SQL},
 h AS (SELECT store_id, target_month, p_final, alert, CAST(strptime(target_month || '-01', '%Y-%m-%d') AS TIMESTAMP)
   AS created_at FROM rq)
-SELECT store_id, target_month, ROUND(p_final, 6) AS p_final, alert, created_at, rn FROM (
+SELECT store_id, target_month, {r6s('p_final')} AS p_final, alert, created_at, rn FROM (
   SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY created_at DESC) AS rn FROM h) WHERE rn <= 50""")
 def q_history(spark, sf):
     """Newest 50 predictions per store. ``row_number() <= k`` lets Spark insert a per-partition group

@@ -13,7 +13,7 @@ from storewatch.operators.windows import mom, rolling_mean, rolling_median, stor
 from storewatch.plans.catalog import panel, r6, register
 from storewatch.plans.oracle_panel import panel_ctes
 from storewatch.plans.oracle_risk import R6, joined_ctes, risk_ctes, round_cols, scored_ctes
-from storewatch.plans.pipeline import OUTPUT_COLS, run_pipeline
+from storewatch.plans.pipeline import OUTPUT_COLS, run_pipeline, score_rows
 
 DBL_OUT = ["Sales_Risk", "Customer_Risk", "Market_Risk", "RiskScore", "p_model", "p_final"]
 
@@ -156,7 +156,7 @@ FROM g JOIN q ON g.HPSN_MCT_ZCD_NM = q.HPSN_MCT_ZCD_NM AND g.TA_YM = q.TA_YM""")
 def q_quantile_alert_fallback(spark, sf):
     """Industry is carried into the score frame, so the fallback resolves to (industry, month)."""
     p = panel(spark, sf)
-    scored = run_pipeline(p.merchants, p.usage, p.customers).drop("Alert")
+    scored = score_rows(p.merchants, p.usage, p.customers)
     scored = scored.join(p.merchants.select(KEY_MCT, "HPSN_MCT_ZCD_NM"), KEY_MCT)
     out = assign_alert_by_quantile(scored, group_cols=None, score_col="p_final")
     return out.select(KEY_MCT, KEY_YM, "HPSN_MCT_ZCD_NM", *r6("p_final"), "Alert")
@@ -171,7 +171,7 @@ SELECT ENCODED_MCT, TA_YM, ROUND(p_final, 6) AS p_final, ROUND(pbar, 6) AS pbar,
   WHEN p_final >= 0.2 THEN 'YELLOW' ELSE 'GREEN' END AS Alert FROM pb""")
 def q_persistence_alert(spark, sf):
     p = panel(spark, sf)
-    scored = run_pipeline(p.merchants, p.usage, p.customers, preds=p.preds).drop("Alert")
+    scored = score_rows(p.merchants, p.usage, p.customers, preds=p.preds)
     out = assign_alert_persistent(scored).withColumn("pbar", rolling_mean("p_final", store_window(), 3))
     return out.select(KEY_MCT, KEY_YM, *r6("p_final", "pbar"), "Alert")
 
