@@ -102,10 +102,15 @@ def stream_slot_sessions(parsed_turns: DataFrame, ttl: str = "24 hours", latenes
 
 
 # --- S3 ------------------------------------------------------------------------------------------
-def stream_dedup_requests(requests: DataFrame, within: str = "5 minutes") -> DataFrame:
+def stream_dedup_requests(requests: DataFrame, within_s: int = 300) -> DataFrame:
+    """Suppress a request that repeats within ``within_s`` seconds of event time.
+
+    The state of a payload ends when the watermark passes its time plus the watermark's delay, and the watermark trails
+    the latest event by the same delay: with half of ``within_s`` as delay a payload is forgotten once events
+    ``within_s`` newer have arrived (rows up to half of it late still count)."""
     payload = ["store_id", "target_month", "region_code", "industry_code", "delivery_share", "sales_1m",
                "sales_3m_avg", "cust_1m", "cust_3m_avg"]
-    return requests.withWatermark("ts", within).dropDuplicatesWithinWatermark(payload)
+    return requests.withWatermark("ts", f"{within_s / 2} seconds").dropDuplicatesWithinWatermark(payload)
 
 
 # --- S4 / S6 -------------------------------------------------------------------------------------
