@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from storewatch.constants import AGE_COLS, KEY_MCT, KEY_YM, TYPE_COLS
 from storewatch.functions.core import col_or_default, zero01
+from storewatch.operators.lookup import store_timeline
 from storewatch.operators.ranking import with_percent_rank
 from storewatch.operators.reports import (benchmark, hhi, histogram, latest_per_store, minmax_invert, top_k,
                                           usage_stats)
@@ -33,10 +34,25 @@ SELECT ENCODED_MCT, TA_YM, {_sql_r6(['p_final', 'RiskScore', 'Sales_Risk', 'Cust
 FROM alerted""")
 def q_store_timeline(spark, sf):
     """Every store's monthly timeline of the five plotted metrics (each store's rows, month order)."""
-    s = scored(spark, sf)
+    s = store_timeline(scored(spark, sf))
     return s.select(KEY_MCT, KEY_YM, *r6("p_final", "RiskScore", "Sales_Risk", "Customer_Risk", "Market_Risk"))
 
 
+@register("store_timeline_period", f"""{OUT},
+pr AS (SELECT ENCODED_MCT, MIN(TA_YM) + INTERVAL 3 MONTH AS s, CASE WHEN CAST(ENCODED_MCT AS BIGINT) % 2 = 0
+  THEN MIN(TA_YM) + INTERVAL 14 MONTH END AS e FROM alerted WHERE CAST(ENCODED_MCT AS BIGINT) % 5 <> 0 GROUP BY 1)
+SELECT a.ENCODED_MCT, a.TA_YM, {_sql_r6(['p_final', 'RiskScore'], 'a.')} FROM alerted a JOIN pr ON a.ENCODED_MCT = pr.ENCODED_MCT
+WHERE a.TA_YM >= pr.s AND (pr.e IS NULL OR a.TA_YM <= pr.e)""")
+def q_store_timeline_period(spark, sf):
+    """Timelines of many stores at once, each with a period of its own from a table (some open-ended)."""
+    s = scored(spark, sf)
+    number = F.col(KEY_MCT).cast("long")
+    first = F.min(KEY_YM)
+    periods = s.where(number % 5 != 0).groupBy(KEY_MCT).agg(
+        F.add_months(first, 3).alias("start"), F.when(F.first(number) % 2 == 0, F.add_months(first, 14)).alias("end"))
+    return store_timeline(s, periods=periods).select(KEY_MCT, KEY_YM, *r6("p_final", "RiskScore"))
+
+
 @register("monthly_mean", f"""{OUT}
 SELECT TA_YM, ROUND(AVG(p_final), 6) AS mean_p_final, ROUND(AVG(RiskScore), 6) AS mean_risk_score,
   COUNT(*) AS n FROM alerted GROUP BY TA_YM""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from storewatch.constants import BASE_MARKET, KEY_MCT, KEY_YM
 from storewatch.operators.quickscore import predict_or_score, quickscore, validate_requests
 from storewatch.operators.trends import explain_factors, period_report, trend_forecast
+from storewatch.operators.lookup import apply_thresholds, history
 from storewatch.plans.catalog import panel, r6, register, scored
 from storewatch.plans.oracle_panel import panel_ctes
 from storewatch.plans.oracle_risk import r6s, scored_ctes
@@ -152,11 +153,7 @@ SELECT store_id, target_month, {r6s('p_final')} AS p_final, alert, created_at, r
 def q_history(spark, sf):
     """Newest 50 predictions per store. ``row_number() <= k`` lets Spark insert a per-partition group
     limit before the shuffle, so a hot store ships at most k rows per map task."""
-    from pyspark.sql import Window
-    h = _history(spark, sf)
-    w = Window.partitionBy("store_id").orderBy(F.col("created_at").desc())
-    return (h.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= 50)
-            .select("store_id", "target_month", *r6("p_final"), "alert", "created_at", "rn"))
+    return history(_history(spark, sf), limit=50).select("store_id", "target_month", *r6("p_final"), "alert", "created_at", "rn")
 
 
 @register("history_latest", f"""WITH {panel_ctes()}, {QS_SQL},
@@ -172,14 +169,14 @@ def q_history_latest(spark, sf):
         "store_id", "target_month", *r6("p_final"), "alert", "created_at")
 
 
-@register("history_range", f"""WITH {panel_ctes()}, {QS_SQL}
-SELECT store_id, COUNT(*) AS total_count, LEAST(COUNT(*), 100) AS returned, COUNT(*) > 100 AS has_more FROM rq
-WHERE target_month BETWEEN '1996-01' AND '1998-12' GROUP BY store_id""")
+@register("history_range", f"""WITH {panel_ctes()}, {QS_SQL},
+h AS (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY target_month DESC) AS rn,
+  COUNT(*) OVER (PARTITION BY store_id) AS total_count FROM rq WHERE target_month BETWEEN '1996-01' AND '1998-12')
+SELECT store_id, target_month, {r6s('p_final')} AS p_final, alert, rn, total_count, total_count > 24 AS has_more FROM h WHERE rn <= 24""")
 def q_history_range(spark, sf):
-    h = _history(spark, sf).where(F.col("target_month").between("1996-01", "1998-12"))
-    return h.groupBy("store_id").agg(F.count(F.lit(1)).alias("total_count")).select(
-        "store_id", "total_count", F.least(F.col("total_count"), F.lit(100)).alias("returned"),
-        (F.col("total_count") > 100).alias("has_more"))
+    """Newest 24 records of three years per store, with the store's total and whether there are more."""
+    h = history(_history(spark, sf), start="1996-01", end="1998-12", limit=24)
+    return h.select("store_id", "target_month", *r6("p_final"), "alert", "rn", "total_count", "has_more")
 
 
 @register("batch_analysis", f"""WITH {_POS_SQL}
@@ -211,22 +208,22 @@ def q_feedback_summary(spark, sf):
 
 
 @register("custom_alerts", f"""WITH {scored_ctes(True)},
-cfg AS (SELECT ENCODED_MCT, 0.15 AS yt, 0.25 AS ot, 0.35 AS rt FROM ds1 WHERE MCT_ME_D IS NOT NULL)
-SELECT a.ENCODED_MCT, a.TA_YM, ROUND(a.p_final, 6) AS p_final,
+cfg AS (SELECT ENCODED_MCT, 0.15 AS yt, 0.25 AS ot, 0.35 AS rt FROM ds1
+  WHERE MCT_ME_D IS NOT NULL AND CAST(ENCODED_MCT AS BIGINT) % 4 <> 0),
+x AS (SELECT a.ENCODED_MCT, a.TA_YM, a.p_final, rt IS NOT NULL AS own,
   CASE WHEN a.p_final >= COALESCE(rt, 0.40) THEN 'RED' WHEN a.p_final >= COALESCE(ot, 0.30) THEN 'ORANGE'
   WHEN a.p_final >= COALESCE(yt, 0.20) THEN 'YELLOW' ELSE 'GREEN' END AS alert
-FROM alerted a LEFT JOIN cfg ON a.ENCODED_MCT = cfg.ENCODED_MCT""")
+  FROM alerted a LEFT JOIN cfg ON a.ENCODED_MCT = cfg.ENCODED_MCT)
+SELECT ENCODED_MCT, TA_YM, ROUND(p_final, 6) AS p_final, alert, CASE WHEN own AND alert <> 'GREEN' THEN 'email,sms' ELSE '' END AS channels FROM x""")
 def q_custom_alerts(spark, sf):
-    """Per-store thresholds where a store has a configuration (stores with a recorded close date watch
-    with stricter ones), the default .20/.30/.40 elsewhere."""
+    """Per-store thresholds where a store has an enabled configuration (stores with a recorded close date watch
+    with stricter ones; every fourth store has its own switched off), the default .20/.30/.40 elsewhere."""
     m = panel(spark, sf).merchants
     cfg = m.where(F.col("MCT_ME_D").isNotNull()).select(
-        KEY_MCT, F.lit(0.15).alias("yt"), F.lit(0.25).alias("ot"), F.lit(0.35).alias("rt"))
-    s = scored(spark, sf).join(cfg, KEY_MCT, "left")
-    p = F.col("p_final")
-    alert = (F.when(p >= F.coalesce("rt", F.lit(0.40)), "RED").when(p >= F.coalesce("ot", F.lit(0.30)), "ORANGE")
-             .when(p >= F.coalesce("yt", F.lit(0.20)), "YELLOW").otherwise("GREEN"))
-    return s.select(KEY_MCT, KEY_YM, *r6("p_final"), alert.alias("alert"))
+        KEY_MCT, F.lit(0.15).alias("yellow"), F.lit(0.25).alias("orange"), F.lit(0.35).alias("red"),
+        (F.col(KEY_MCT).cast("long") % 4 != 0).alias("enabled"), F.array(F.lit("email"), F.lit("sms")).alias("channels"))
+    s = apply_thresholds(scored(spark, sf), cfg)
+    return s.select(KEY_MCT, KEY_YM, *r6("p_final"), "alert", F.coalesce(F.concat_ws(",", "channels"), F.lit("")).alias("channels"))
 
 
 @register("explain_factors", f"""WITH {scored_ctes(True)},
