@@ -17,7 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storewatch.constants import CAT_FEATURES, ENSEMBLE_WEIGHTS, KEY_MCT, KEY_YM, NUM_FEATURES
+from storewatch.operators.iforest import fit_forest, score_forest
 from storewatch.operators.metrics import fit_medians, impute_medians
+from storewatch.operators.reports import minmax_invert
 from storewatch.session import cut_lineage
 
 # slot -> output column of the predictions table
@@ -119,8 +121,19 @@ def stacked_score(df: DataFrame, renormalize: bool = True) -> F.Column:
     return sum(terms[1:], terms[0])
 
 
+def one_class_slots(data: DataFrame, num: list, slots=tuple(SLOT_COLUMNS), n_trees: int = 400) -> DataFrame:
+    """Scores without a second class to learn from: how unusual a row is (isolation forest, normality min-max
+    inverted to 0..1), the same in every slot."""
+    forest = cut_lineage(fit_forest(data, num, [KEY_MCT, KEY_YM], n_trees=n_trees))
+    scored = score_forest(data, forest, num, out="anomaly").withColumn("normality", -F.col("anomaly"))
+    unusual = minmax_invert(cut_lineage(scored), "normality", out="_pe")
+    columns = {SLOT_COLUMNS.get(s, f"pred_{s}"): F.col("_pe") for s in slots}
+    return unusual.withColumns(columns).drop("anomaly", "normality", "_pe")
+
+
 def train_and_score(labeled: DataFrame, split: DataFrame, sizes: ModelSizes, slots=tuple(SLOT_COLUMNS)) -> DataFrame:
-    """Fit every slot on the training split and score every row: keys + pred_* columns."""
+    """Fit every slot on the training split and score every row: keys + pred_* columns.  A training split of one class
+    gets the unusualness of each row in all slots (:func:`one_class_slots`)."""
     num, cat = feature_columns(labeled)
     data = labeled.select(KEY_MCT, KEY_YM, "y", *num, *cat).join(
         split.select(KEY_MCT, KEY_YM, "is_train", "is_test"), [KEY_MCT, KEY_YM])
@@ -128,7 +141,10 @@ def train_and_score(labeled: DataFrame, split: DataFrame, sizes: ModelSizes, slo
     # iterative learners re-read their input many times: give them a materialised table, not a lineage
     full = cut_lineage(full)
     train = full.where("is_train = 1")
-    prior = train.select(F.avg("y")).first()[0] or 0.0
+    seen = train.agg(F.avg("y").alias("prior"), F.countDistinct("y").alias("k")).first()
+    if seen.k < 2:
+        return one_class_slots(full, num, slots)
+    prior = seen.prior
     out = full
     for slot in slots:
         model = fit_slot(slot, train, num, cat, sizes)

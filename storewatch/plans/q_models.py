@@ -2,15 +2,19 @@
 unweighted-mean slot have SQL oracles."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storewatch.constants import KEY_MCT, KEY_YM, NUM_FEATURES
 from storewatch.operators.iforest import fit_forest, score_forest
 from storewatch.operators.labels import closure_label, label_base, stratified_split
+from storewatch.operators.metrics import roc_auc
 from storewatch.operators.models import (SLOT_COLUMNS, ModelSizes, encoder_stages, prepare_features,
                                          stacked_score, train_and_score)
 from storewatch.operators.reports import minmax_invert
@@ -160,3 +164,35 @@ def q_mean_ensemble(spark, sf):
                                                                ("pred_xgb", "pred_lgbm", "pred_gb", "pred_dl")])
     return slots.select(KEY_MCT, KEY_YM, F.round("pred_rf", 6).alias("pred_rf"),
                         weighted_ensemble(slots).alias("p_model"))
+
+
+_FIVE = tuple(SLOT_COLUMNS.values())
+
+
+@register("one_class_slots", f"""WITH {panel_ctes()}, {_LB}
+SELECT COUNT(*) AS n, 1 AS all_slots_equal, 0.0 AS lowest, 1.0 AS highest, 0 AS missing FROM lb""")
+def q_one_class_slots(spark, sf):
+    """Facts of scoring when no store ever closes (all labels negative): the five slots hold one unusualness score."""
+    lab, split = _labeled(spark, sf)
+    out = train_and_score(lab.withColumn("y", F.lit(0)), split, SIZES)
+    same = F.min((F.least(*_FIVE) == F.greatest(*_FIVE)).cast("int"))
+    return out.agg(F.count(F.lit(1)).alias("n"), same.alias("all_slots_equal"), F.round(F.min(_FIVE[0]), 6).alias("lowest"),
+                   F.round(F.max(_FIVE[0]), 6).alias("highest"), F.count(F.when(F.col(_FIVE[0]).isNull(), 1)).alias("missing"))
+
+
+@register("model_facts", f"""WITH {panel_ctes()}, {_SPLIT}
+SELECT slot, (SELECT COUNT(*) FROM sp) AS n, 0 AS outside, (SELECT COUNT(DISTINCT (ENCODED_MCT, TA_YM)) FROM sp) AS n_keys,
+  1 AS beats_chance, 1 AS differs_from_others FROM (VALUES ('pred_xgb'), ('pred_lgbm'), ('pred_rf'), ('pred_gb'), ('pred_dl')) s(slot)""")
+def q_model_facts(spark, sf):
+    """What must hold of every trained slot: one probability in [0, 1] per key, better than chance on the training
+    split, not the same numbers as another slot."""
+    t = all_slots(spark, sf)
+    parts = []
+    for c in _FIVE:
+        facts = t.agg(F.count(F.lit(1)).alias("n"),
+                      F.count(F.when(F.col(c).isNull() | (F.col(c) < 0) | (F.col(c) > 1), 1)).alias("outside"),
+                      F.countDistinct(KEY_MCT, KEY_YM).alias("n_keys"),
+                      F.least(*[F.max((F.abs(F.col(c) - F.col(o)) > 1e-6).cast("int")) for o in _FIVE if o != c]).alias("differs_from_others"))
+        auc = roc_auc(t.where("is_train = 1"), c, "y").select((F.col("roc_auc") > 0.5).cast("int")).scalar()
+        parts.append(facts.select(F.lit(c).alias("slot"), "n", "outside", "n_keys", auc.alias("beats_chance"), "differs_from_others"))
+    return reduce(DataFrame.unionByName, parts)
