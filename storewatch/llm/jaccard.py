@@ -9,14 +9,15 @@ the price of a verification.  For a pair the smaller of the two l holds; shingle
 reaches them (their layer), so one posting list serves every l.  Candidates are verified on their whole sets.
 
 Documents with the same set are one node.  Links inside a component that is already connected add nothing,
-so pairs are not enumerated there: first every posting list proposes each node's neighbour in order of
-size, the verified ones are connected; then each list is searched in full, but only for pairs of different
+so pairs are not enumerated there: first every posting list proposes to each node its neighbour in order of
+size and the list's hub, the verified ones are connected; then each list is searched in full, but only for pairs of different
 components, the nodes outside the list's largest component against all.  Every link between different
 components is therefore found; a group of near copies costs its size, not its square.
 
 Scale: shingle frequencies, used for the order and the cost only, are counts of 2^20 hash buckets over all
-documents (4 MB, the one broadcast).  Texts are read twice in place and shuffled once, for the sets of
-documents whose prefixes are shared enough to have a partner at all.  Posting lists are keyed by shingle
+documents (4 MB, the one broadcast).  Texts are read twice in place, and once in each of the two
+rounds of verification for the sets of the documents in candidate pairs (their ids are broadcast up to a checked number,
+beyond it the texts are shuffled).  Posting lists are keyed by shingle
 and pass through sorts, windows and joins that spill; nothing is collected but the bucket counts.
 
 Defined cases: null, empty or blank texts have an empty set and link with nothing; with fewer than n words
@@ -27,6 +28,7 @@ with a null component_id; an empty table gives an empty result; other columns ar
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +39,14 @@ from storewatch.llm import packed
 from storewatch.llm.graph import components
 from storewatch.llm.words import inside, mix, ngram_hash, row_slices, word_hashes
 from storewatch.session import Scope, cut_lineage
+from storewatch.sources.tables import small_side
 
 SLICE = 4 << 20
 BUCKET_BITS, PIECE = 20, 4096
 MATCHES = (1, 2, 4, 8, 16, 32, 64)  # the l a document can choose from
-VERIFY_COST = 8.0                   # of one candidate, in postings
+VERIFY_COST = 100.0                 # of one candidate, in postings (two whole sets move)
+_LISTED = ("node", "n", "l", "layer", "pos", "c")
+BROADCAST_IDS = 200_000             # ids of documents to fetch; beyond it the texts are shuffled
 NO_ID = 2**62  # keys of rows without an id start here
 
 
@@ -69,6 +74,16 @@ def distinct_shingles(col: pa.Array, n: int, lower: bool) -> tuple[np.ndarray, n
     return hashes[new], row[new], np.bincount(row[new], minlength=len(words))
 
 
+@dataclass
+class Texts:
+    """The documents (id, text) and what makes and compares their sets."""
+    rows: DataFrame
+    n: int
+    lower: bool
+    num: int
+    den: int
+
+
 def bucket_counts(rows: DataFrame, n: int, lower: bool) -> np.ndarray:
     """Shingles of all documents per hash bucket."""
     size = 1 << BUCKET_BITS
@@ -100,15 +115,16 @@ def bucket_counts(rows: DataFrame, n: int, lower: bool) -> np.ndarray:
     return out.reshape(-1)
 
 
-def choose_matches(cost: np.ndarray, row: np.ndarray, size: np.ndarray, spare: np.ndarray) -> np.ndarray:
-    """l of every row. ``cost``: estimated list length of its shingles in prefix order; ``spare``: |x| - a."""
+def choose_matches(cost: np.ndarray, size: np.ndarray, spare: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """l of every row. ``cost``: estimated list length of its shingles in prefix order; ``spare``: |x| - a;
+    ``more``: matches beyond l that a linked document of the same size shares (see ``_enough``)."""
     first = np.concatenate([[0], np.cumsum(size)])
     total = np.concatenate([[0.0], np.cumsum(cost)])
     best, chosen = np.full(len(size), np.inf), np.ones(len(size), np.int64)
     for matches in MATCHES:
         ok = matches <= size - spare
         end = first[:-1] + np.minimum(spare + matches, size)
-        price = np.where(ok, (total[end] - total[first[:-1]]) * (1 + VERIFY_COST / matches), np.inf)
+        price = np.where(ok, (total[end] - total[first[:-1]]) * (1 + VERIFY_COST / (matches + more)), np.inf)
         better = price < best
         best[better], chosen[better] = price[better], matches
     return chosen
@@ -139,7 +155,8 @@ def prefixes(rows: DataFrame, n: int, num: int, den: int, lower: bool) -> DataFr
                 order = np.lexsort((key, row))
                 hashes, bucket = hashes[order], bucket[order]
                 spare = size - -(-num * size // den)
-                chosen = choose_matches(excess[bucket].astype(float), row, size, spare)
+                more = -(-2 * num * size // (num + den)) - (size - spare)
+                chosen = choose_matches(excess[bucket].astype(float), size, spare, more)
                 take = np.where(size > 0, np.minimum(spare + chosen, size), 0)
                 ends = np.concatenate([[0], np.cumsum(take)])
                 at = np.repeat(edges[:-1] - ends[:-1], take) + np.arange(ends[-1])
@@ -164,8 +181,13 @@ def shingle_sets(rows: DataFrame, n: int, lower: bool) -> DataFrame:
     return rows.select("id", "text").mapInArrow(emit, "node long, set binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+def verified(pairs: DataFrame, texts: Texts, scope: Scope) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough; only the sets of documents in a pair are made."""
+    num, den = texts.num, texts.den
+    pairs = scope.table(pairs.select("a", "b"))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = texts.rows.join(small_side(scope.table(ids), BROADCAST_IDS), "id", "left_semi").dropDuplicates(["id", "text"])
+    sets = scope.table(shingle_sets(wanted, texts.n, texts.lower))
     left = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
     with_sets = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
@@ -181,19 +203,41 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))],
                                              names=["a", "b"])
 
-    return with_sets.mapInArrow(check, "a long, b long")
+    return scope.table(with_sets.mapInArrow(check, "a long, b long"))
+
+
+def _needed(size: Column, num: int, den: int) -> Column:
+    """a: the least overlap of a set of this size with a linked one."""
+    return F.ceil(F.lit(num) * size / F.lit(den))
+
 
+def _least_shared(x: str, y: str, num: int, den: int, size: str | None = None) -> Column:
+    """Shingles that linked documents share in their l-prefixes, l the smaller of the two (``size``: column of y's size).
 
-def _enough(pairs: DataFrame) -> DataFrame:
-    """Pairs that share at least l shingles of their l-prefixes, l the smaller of the two; with their count."""
-    l = F.least("l1", "l2")  # noqa: E741
-    shared = pairs.filter(F.greatest("layer1", "layer2") <= l).groupBy("a", "b").agg(F.count("*").alias("shared"),
-                                                                                     F.first(l).alias("l"))
-    return shared.filter("shared >= l").select("a", "b", "shared")
+    Linked sets overlap in o >= num (n1 + n2) / (num + den).  Of the two prefixes, the one that ends earlier in the
+    common order holds all common shingles up to there, so all but (size - prefix) of the o are in both."""
+    n1, n2, l = F.col(f"n{x}"), F.col(size or f"n{y}"), F.least(f"l{x}", f"l{y}")  # noqa: E741
+    overlap = F.ceil(F.lit(num) * (n1 + n2) / F.lit(num + den))
+    return F.greatest(l, l + overlap - F.greatest(_needed(n1, num, den), _needed(n2, num, den)))
 
 
-def _fits(n1: Column, n2: Column, num: int, den: int) -> Column:
-    return den * F.least(n1, n2) >= num * F.greatest(n1, n2)
+def _possible(x: str, y: str, num: int, den: int) -> Column:
+    """Whether a shingle that rows x and y of a list share counts, and leaves the two a chance to be linked: their
+    sizes fit, either has enough shared shingles at all, and what lies before and after the shingle in both
+    orders is enough for the overlap."""
+    n1, n2, p1, p2 = F.col(f"n{x}"), F.col(f"n{y}"), F.col(f"pos{x}"), F.col(f"pos{y}")
+    room = F.least(p1, p2) + 1 + F.least(n1 - p1, n2 - p2) - 1
+    return ((den * F.least(n1, n2) >= num * F.greatest(n1, n2))
+            & (F.greatest(f"layer{x}", f"layer{y}") <= F.least(f"l{x}", f"l{y}"))
+            & (F.least(f"c{x}", f"c{y}") >= _least_shared(x, y, num, den))
+            & ((num + den) * room >= num * (n1 + n2)))
+
+
+def _enough(met: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b, shared: the pairs that meet in enough lists. ``met``: rows of a list with another (columns with ``_``)."""
+    pairs = met.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b"),
+                       _least_shared("", "_", num, den).alias("least"))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("least").alias("least")).filter("shared >= least").drop("least")
 
 
 def row_key(id_col: str, text_col: str) -> Column:
@@ -212,27 +256,21 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     packed.limit_batches(spark)
     parts = packed.partitions(spark)
     rows = docs.select(row_key(id_col, text_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = Texts(rows, n, lower, num, den)
     with Scope(spark) as scope:
-        made = scope.table(prefixes(rows, n, num, den, lower))
-        info = made.select("id", "n", "s1", "s2")
-        classes = scope.table(info.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("node")))
-        nodes = made.filter("n > 0").join(classes.select(F.col("node").alias("id")), "id", "left_semi")
-        spare = F.col("n") - F.ceil(F.lit(num) * F.col("n") / F.lit(den)).cast("long")
-        posted = nodes.select(F.col("id").alias("node"), "n", "l", spare.alias("spare"), F.posexplode("prefix").alias("pos", "token"))
-        posted = posted.select("token", "node", "n", "l", F.greatest(F.lit(1), F.col("pos") + 1 - F.col("spare")).cast("int").alias("layer"))
-        posted = posted.repartition(parts, "token").dropDuplicates(["token", "node", "n"])
-        per_token = Window.partitionBy("token")
-        shared = scope.table(posted.withColumn("many", F.count("*").over(per_token)).withColumn("least", F.min("l").over(per_token))
-                             .filter("many > 1").drop("many"))
-        able = (shared.groupBy("node").agg(F.count("*").alias("c"), F.min(F.least("l", "least")).alias("need"))
-                .filter("c >= need").select("node"))
-        able = scope.table(able)
-        lists = scope.table(shared.drop("least").join(able, "node", "left_semi"))
-        sets = scope.table(shingle_sets(rows.join(able.select(F.col("node").alias("id")), "id", "left_semi")
-                                        .dropDuplicates(["id", "text"]), n, lower))
-        links = _near_links(lists, sets, num, den, scope)
+        with Scope(spark) as inner:
+            made = inner.table(prefixes(rows, n, num, den, lower))
+            info = scope.table(made.select("id", "n", "s1", "s2"))
+            classes = scope.table(info.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("node")))
+            nodes = made.filter("n > 0").join(classes.select(F.col("node").alias("id")), "id", "left_semi")
+            spare = F.col("n") - F.ceil(F.lit(num) * F.col("n") / F.lit(den)).cast("long")
+            posted = nodes.select(F.col("id").alias("node"), "n", "l", spare.alias("spare"), F.posexplode("prefix").alias("pos", "token"))
+            posted = posted.select("token", "node", "n", "l", "pos", F.greatest(F.lit(1), F.col("pos") + 1 - F.col("spare")).cast("int").alias("layer"))
+            posted = posted.repartition(parts, "token").dropDuplicates(["token", "node", "n"])
+            lists = _with_partners(_with_partners(posted, num, den, inner), num, den, scope)
+        links = _near_links(lists, texts, scope)
         found = components(links, scope)
-        links = links.unionByName(_cross_links(lists, sets, found, num, den, scope))
+        links = links.unionByName(_cross_links(lists, texts, found, scope))
         found = components(links, scope)
         labels = classes.join(found, "node", "left").select("n", "s1", "s2", F.coalesce("component", "node").alias("component"))
         group = F.coalesce("component", "id")
@@ -242,28 +280,61 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             F.col("id").alias("row_key"), group.alias("group_key")))
 
 
-def _near_links(lists: DataFrame, sets: DataFrame, num: int, den: int, scope: Scope) -> DataFrame:
-    """Verified links of each node with the list neighbour it shares most with."""
+def _with_partners(posted: DataFrame, num: int, den: int, scope: Scope) -> DataFrame:
+    """Postings of nodes that can have a partner: shared shingles only, of nodes that have enough of them (column c)
+    for the sizes and the l that their lists offer.  Dropping nodes shortens lists, so a second call drops more."""
+    with Scope(posted.sparkSession) as inner:
+        return scope.table(_able(inner.table(_listed(posted)), num, den))
+
+
+def _listed(posted: DataFrame) -> DataFrame:
+    """Shared shingles only, with the least l and the sizes of their lists."""
+    per_token = Window.partitionBy("token")
+    return posted.drop("c").withColumns({
+        "many": F.count("*").over(per_token), "l_": F.min("l").over(per_token),
+        "lo": F.min("n").over(per_token), "hi": F.max("n").over(per_token)}).filter("many > 1").drop("many")
+
+
+def _able(listed: DataFrame, num: int, den: int) -> DataFrame:
+    n = F.col("n")
+    ends = {"lo": F.greatest("lo", F.ceil(F.lit(num) * n / F.lit(den))), "hi": F.least("hi", F.floor(F.lit(den) * n / F.lit(num)))}
+    fit = listed.withColumns(ends).filter("lo <= hi")     # partners are at most so small and so large
+    # the needed number rises with the partner's size up to n and falls beyond it (but for one, by rounding): least at an end
+    need = F.least(_least_shared("", "_", num, den, "lo"), _least_shared("", "_", num, den, "hi") - 1)
+    able = fit.groupBy("node").agg(F.count("*").alias("c"), F.min(need).alias("need")).filter("c >= need").select("node", "c")
+    return fit.drop("l_", "lo", "hi").join(able, "node")
+
+
+def _near_links(lists: DataFrame, texts: Texts, scope: Scope) -> DataFrame:
+    """Verified links of each node with two others: the list neighbour in order of size that it shares most with,
+    and the hub it shares most with.  A list's hub is the node with the largest share of its prefix in lists at all:
+    edits put shingles of their own into a prefix, so the text that near copies were made from comes first."""
+    num, den = texts.num, texts.den
     by_size = Window.partitionBy("token").orderBy("n", "node")
-    before = [F.lag(c).over(by_size).alias(f"{c}_") for c in ("node", "n", "l", "layer")]
-    near = (lists.select("*", *before).filter(F.col("node_").isNotNull() & (F.col("node_") != F.col("node")))
-            .filter(_fits(F.col("n"), F.col("n_"), num, den))
-            .select(F.col("node_").alias("a"), F.col("node").alias("b"), F.col("l_").alias("l1"), F.col("l").alias("l2"),
-                    F.col("layer_").alias("layer1"), F.col("layer").alias("layer2")))
-    best = _enough(near).groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
-    return scope.table(verified(best, sets, num, den))
+    near = lists.select("*", *[F.lag(c).over(by_size).alias(f"{c}_") for c in _LISTED])
+    part = F.col("c") / F.least(F.col("n"), F.col("n") - _needed(F.col("n"), num, den) + F.col("l"))
+    hubs = lists.groupBy("token").agg(F.max_by(F.struct(*_LISTED), F.struct(part, "n", "node")).alias("hub"))
+    hub = lists.join(hubs, "token").select("*", *[F.col(f"hub.{c}").alias(f"{c}_") for c in _LISTED])
+
+    def best(met: DataFrame) -> DataFrame:
+        met = met.filter(F.col("node_").isNotNull() & (F.col("node_") != F.col("node")) & _possible("", "_", num, den))
+        both = _enough(met, num, den)
+        each = both.select("a", "b", "shared").unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
+        return each.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
 
+    tried = best(near).unionByName(best(hub)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return verified(tried, texts, scope)
 
-def _cross_links(lists: DataFrame, sets: DataFrame, found: DataFrame, num: int, den: int, scope: Scope) -> DataFrame:
+
+def _cross_links(lists: DataFrame, texts: Texts, found: DataFrame, scope: Scope) -> DataFrame:
     """Verified links between nodes of different components."""
+    num, den = texts.num, texts.den
     named = scope.table(lists.join(found, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component"))
-    sizes = named.groupBy("token", "comp").agg(F.count("*").alias("c"))
-    big = sizes.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("big"), F.count("*").alias("k")).filter("k > 1")
+    sizes = named.groupBy("token", "comp").agg(F.count("*").alias("k"))
+    big = sizes.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("big"), F.count("*").alias("k")).filter("k > 1")
     open_ = scope.table(named.join(big.drop("k"), "token"))
-    small = open_.filter("comp <> big").select("token", *[F.col(c).alias(f"{c}_") for c in ("node", "n", "l", "layer", "comp")])
+    small = open_.filter("comp <> big").select("token", *[F.col(c).alias(f"{c}_") for c in (*_LISTED, "comp")])
     met = open_.join(small, "token").filter(
         (F.col("comp") != F.col("comp_")) & ((F.col("comp") == F.col("big")) | (F.col("node") < F.col("node_")))
-        & _fits(F.col("n"), F.col("n_"), num, den))
-    pairs = met.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b"),
-                       F.col("l").alias("l1"), F.col("l_").alias("l2"), F.col("layer").alias("layer1"), F.col("layer_").alias("layer2"))
-    return scope.table(verified(_enough(pairs), sets, num, den))
+        & _possible("", "_", num, den))
+    return verified(_enough(met, num, den), texts, scope)
