@@ -32,21 +32,20 @@ def test_global_boundary_matches_unpartitioned_pandas(spark):
 
 def test_stream_sessions_equal_batch_slots(spark):
     from storewatch.operators.dialogue import SLOTS, fill_slots, parse_messages
-    from storewatch.streaming.streams import read_stream_like, run_available_now, stream_slot_sessions
+    from storewatch.streaming.streams import closing_row, read_stream_like, run_available_now, stream_slot_sessions
     turns = [("a", 0, "치킨집 강남구에서 지난달 매출 1500만원"), ("a", 1, "최근 3개월 평균 매출 1800만원"),
              ("b", 0, "카페 하는데 한 달 매출 900만원"), ("b", 1, "__delete__"), ("b", 2, "피자 가게 마포구")]
     df = spark.createDataFrame(turns, "session_id string, turn int, message string").withColumn(
         "ts", F.to_timestamp(F.lit("2024-01-01 10:00:00")) + F.make_interval(mins=F.col("turn")))
     parsed = parse_messages(df)
     base = tempfile.mkdtemp(prefix="sw-stream-")
-    out = run_available_now(stream_slot_sessions(read_stream_like(spark, parsed, f"{base}/in")), base, "s")
-    got = {(r.session_id, r.turn): r for r in out.where("event = 'updated'").collect()}
-    batch = {(r.session_id, r.turn): r for r in fill_slots(parsed.where("session_id = 'a'")).collect()}
-    for k, r in batch.items():
-        for s in SLOTS:
-            assert got[k][s] == r[s], (k, s)
-    assert got[("b", 2)].industry_code == "피자" and got[("b", 2)].sales_1m is None   # cleared by delete
-    assert out.where("event = 'deleted'").count() == 1
+    src = read_stream_like(spark, parsed, f"{base}/in", "ts", closing=closing_row(parsed, "ts", "3 DAYS", turn=0, message=""))
+    got = {r.session_id: r for r in run_available_now(stream_slot_sessions(src), base, "s").collect()}
+    last = fill_slots(parsed.where("session_id = 'a'")).orderBy(F.desc("turn")).first()   # final state = last batch turn
+    assert set(got) == {"a", "b"} and got["a"].turn == last.turn
+    for s in SLOTS:
+        assert got["a"][s] == last[s], s
+    assert got["b"].industry_code == "피자" and got["b"].sales_1m is None   # cleared by delete
 
 
 def test_isolation_forest_flags_outliers(spark):
