@@ -41,7 +41,7 @@ from storewatch.llm.words import inside, mix, ngram_hash, row_slices, word_hashe
 from storewatch.session import Scope, cut_lineage
 from storewatch.sources.tables import small_side
 
-SLICE = 4 << 20
+SLICE = 2 << 20
 BUCKET_BITS, PIECE = 20, 4096
 MATCHES = (1, 2, 4, 8, 16, 32, 64)  # the l a document can choose from
 VERIFY_COST = 100.0                 # of one candidate, in postings (two whole sets move)

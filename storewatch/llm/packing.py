@@ -160,7 +160,7 @@ def plan(histogram: np.ndarray, capacity: int, classes: int = CLASSES, most: int
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "doc_id", text_col: str = "text",
-           end_id: int = 0, with_ids: bool = False, slice_bytes: int = 8 << 20) -> DataFrame:
+           end_id: int = 0, with_ids: bool = False, slice_bytes: int = 4 << 20) -> DataFrame:
     """One row per piece of at most ``capacity`` tokens: doc_id, piece, start, length, ids_crc32, ids (null unless
     ``with_ids``), and part, nth: the task that made it and its number among that task's pieces of the length."""
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),

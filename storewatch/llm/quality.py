@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from storewatch.llm import packed
 from storewatch.llm.words import _flat, _run_hash, _spans, mix, row_slices
 
-SLICE = 4 << 20
+SLICE = 2 << 20
 _CLASSES = {"upper": range(65, 91), "digit": range(48, 58), "stop": b".,;:'\"()-?", "symbol": b"$#%&*@^~<>{}[]|\\/_=+`", "shout": b"!"}
 _CLASS = {}
 for _name, _bytes in _CLASSES.items():
@@ -217,15 +217,18 @@ def score_quality(docs: DataFrame, model: Model, text_col: str = "text", thresho
     packed.limit_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # some hundred numbers
     names = docs.columns
-    rows = docs.select(F.col(text_col).cast("string").alias("t"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
-    fields = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
+    text = names.index(text_col)    # travels once, whatever else is carried
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    if docs.schema[text].dataType.simpleString() != "string":
+        rows = rows.withColumn(f"c{text}", F.col(f"c{text}").cast("string"))
+    fields = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(rows.schema.fields))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in row_slices(batch.column(0), SLICE):
+            for lo, hi in row_slices(batch.column(text), SLICE):
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(shared.value.scores(part.column(0)), pa.float64())],
-                                                 names=[*part.schema.names[1:], "s"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.scores(part.column(text)), pa.float64())],
+                                                 names=[*part.schema.names, "s"])
 
     done = rows.mapInArrow(score, f"{fields}, s double")
     return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)],

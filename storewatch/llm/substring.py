@@ -38,7 +38,7 @@ from storewatch.llm import packed
 from storewatch.llm.words import _SPACE, _flat, inside, ngram_hash, row_slices, word_hashes
 from storewatch.session import Scope, cut_lineage
 
-SLICE = 4 << 20
+SLICE = 2 << 20
 REF, PROBE, REF_AGAIN = 0, 1, 2
 _LOW = np.uint64(0xFFFFFFFF)
 

@@ -142,7 +142,7 @@ class TokenFile:
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
-                 end_id: int = 0, file_ids: int = 1 << 27, slice_bytes: int = 8 << 20) -> DataFrame:
+                 end_id: int = 0, file_ids: int = 1 << 27, slice_bytes: int = 4 << 20) -> DataFrame:
     """Tokenise whole texts in ascending id order into files below ``folder``; returns the manifest (lazy).
 
     ``tokenizer``: path of a public tokenizer file that every executor can read."""

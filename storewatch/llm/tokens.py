@@ -19,7 +19,7 @@ import pyarrow as pa
 from storewatch.llm.words import _SPACE, _flat
 
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-_MEMO_CHUNKS = 800_000  # the first ones met stay, which are the frequent ones
+_MEMO_CHUNKS = 300_000  # the first ones met stay, which are the frequent ones
 
 
 @lru_cache(maxsize=4)
