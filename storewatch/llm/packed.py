@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from storewatch.llm.words import mix
+
 CHUNK = 1 << 16
 SCHEMA = "bucket int, kind int, ids binary, keys binary, doc binary, a binary, b binary, c binary"
 _ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32())]
@@ -47,13 +49,19 @@ def pack_entries(bucket: np.ndarray, kind: int, ids: np.ndarray, keys: np.ndarra
                       for n, v in zip("abc", values, strict=True)}}
 
 
+def doc_buckets(parts: int) -> int:
+    """Buckets that documents are dealt to: several a partition, but few enough that a full outbox makes rows of 128 entries."""
+    return max(parts, min(16 * parts, 1 << 13))
+
+
 class Outbox:
     """Collects (id, key, value) entries for documents and packs them by document bucket, many at a time.
 
-    Rows then follow the number of entries, not the number of packed rows that they came from."""
+    Rows then follow the number of entries, not the number of packed rows that they came from.  The bucket mixes id
+    and key, so copies of a text spread over all buckets; equal entries (of repeated rows) are packed once."""
 
     def __init__(self, parts: int, limit: int = 1 << 20):
-        self.parts, self.limit, self.held, self.size = parts, limit, [], 0
+        self.buckets, self.limit, self.held, self.size = doc_buckets(parts), limit, [], 0
 
     def add(self, kind: int, ids: np.ndarray, keys: np.ndarray, values: np.ndarray) -> Iterator[dict]:
         if len(ids):
@@ -67,9 +75,8 @@ class Outbox:
             return
         kind, ids, keys, values = (np.concatenate(x) for x in zip(*self.held, strict=True))
         self.held, self.size = [], 0
-        bucket = (keys.astype(np.uint64) % np.uint64(self.parts)).astype(np.int64)
-        order = np.lexsort((keys, ids, bucket, kind))
-        kind, ids, keys, values, bucket = kind[order], ids[order], keys[order], values[order], bucket[order]
+        bucket = (mix(keys.astype(np.uint64) ^ mix(ids.astype(np.uint64))) % np.uint64(self.buckets)).astype(np.int64)
+        kind, bucket, ids, keys, values = _distinct(kind, bucket, ids, keys, values)
         cut = (np.diff(bucket) != 0) | (np.diff(kind) != 0)
         edges = np.concatenate([[0], np.flatnonzero(cut) + 1, [len(ids)]])
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
@@ -105,34 +112,48 @@ def ids_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["keys"], "<i8"), np.frombuffer(row["doc"], "<u2")
 
 
+def _distinct(*cols: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct rows of the columns, sorted by them."""
+    order = np.lexsort(cols[::-1])
+    cols = [c[order] for c in cols]
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in cols:
+        new[1:] |= c[1:] != c[:-1]
+    return tuple(c[new] for c in cols)
+
+
 def regroup(packed: DataFrame, kinds: tuple[int, ...], parts: int) -> DataFrame:
-    """Entries per document: id, key and for each kind a binary column ``k<kind>`` of its 64-bit values ``a``.
+    """Entries per document: id, key and for each kind a binary column ``k<kind>`` of its distinct 64-bit values ``a``.
 
-    Buckets must be a function of (id, key); a task holds the entries of its buckets, a share of 1/parts."""
+    Buckets must be a function of (id, key).  A task streams its buckets in order and holds the entries of one: a share
+    of 1 / :func:`doc_buckets` of all documents, copies of a text among them."""
     names = [f"k{k}" for k in kinds]
     schema = pa.schema([("id", pa.int64()), ("key", pa.int64())] + [(n, pa.binary()) for n in names])
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = []
-        for row in rows_of(batches):
-            ids, keys, doc = ids_of(row)
-            found.append((ids[doc], keys[doc], np.full(len(doc), row["kind"], np.int32), np.frombuffer(row["a"], "<u8")))
-        if not found:
-            return
-        ids, keys, kind, value = (np.concatenate(x) for x in zip(*found, strict=True))
+    def docs(found: list[tuple[np.ndarray, ...]]) -> Iterator[dict]:
+        ids, keys, kind, value = _distinct(*(np.concatenate(x) for x in zip(*found, strict=True)))
         found.clear()
-        order = np.lexsort((kind, keys, ids))
-        ids, keys, kind, value = ids[order], keys[order], kind[order], value[order]
-        new = (np.diff(ids, prepend=ids[0] - 1) != 0) | (np.diff(keys, prepend=keys[0]) != 0)
-        edges = np.concatenate([np.flatnonzero(new), [len(ids)]])
-
-        def docs() -> Iterator[dict]:
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                cut = lo + np.searchsorted(kind[lo:hi], kinds), lo + np.searchsorted(kind[lo:hi], kinds, side="right")
-                yield {"id": int(ids[lo]), "key": int(keys[lo]),
-                       **{n: value[a:b].tobytes() for n, a, b in zip(names, *cut, strict=True)}}
-
-        yield from batches_of(docs(), schema=schema)
+        cut = (np.diff(ids) != 0) | (np.diff(keys) != 0)
+        edges = np.concatenate([[0], np.flatnonzero(cut) + 1, [len(ids)]])
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            part = lo + np.searchsorted(kind[lo:hi], kinds), lo + np.searchsorted(kind[lo:hi], kinds, side="right")
+            yield {"id": int(ids[lo]), "key": int(keys[lo]),
+                   **{n: value[a:b].tobytes() for n, a, b in zip(names, *part, strict=True)}}
 
-    return packed.repartition(parts, "bucket").mapInArrow(
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def entries() -> Iterator[dict]:
+            bucket, found = None, []
+            for row in rows_of(batches):
+                if row["bucket"] != bucket and found:
+                    yield from docs(found)
+                bucket = row["bucket"]
+                ids, keys, doc = ids_of(row)
+                found.append((ids[doc], keys[doc], np.full(len(doc), row["kind"], np.int8), np.frombuffer(row["a"], "<u8")))
+            if found:
+                yield from docs(found)
+
+        yield from batches_of(entries(), schema=schema)
+
+    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(
         gather, "id long, key long, " + ", ".join(f"{n} binary" for n in names))
