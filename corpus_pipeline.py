@@ -56,11 +56,11 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their place in the training sequences."""
+    """Pieces of all documents with their token ids and place in the training sequences (``packing.sequences`` joins them)."""
     import public_tokenizers
 
     ship_package(spark)
-    return packing.pack(docs, public_tokenizers.path(VOCABULARY), SEQUENCE_TOKENS).drop("ids")
+    return packing.pack(docs, public_tokenizers.path(VOCABULARY), SEQUENCE_TOKENS, with_ids=True)
 
 
 STAGES = [("quality classifier", good_quality), ("n-gram Jaccard join", one_of_each_group),

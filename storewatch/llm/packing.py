@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from storewatch.llm.packed import limit_batches
 from storewatch.llm.tokens import token_ids
 from storewatch.llm.words import row_slices
 from storewatch.session import Scope, cut_lineage
@@ -179,6 +180,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "doc_id
                 first = off[row] + start
                 raw = ids.astype("<u4")
                 parts = [raw[a:b] for a, b in zip(first, first + length, strict=True)]
+                kept = pa.nulls(len(parts), pa.list_(pa.int64()))
+                if with_ids:  # pieces follow each other in ``ids`` without a gap
+                    kept = pa.ListArray.from_arrays(pa.array(np.append(first, len(ids)), pa.int32()), pa.array(ids, pa.int64()))
                 order = np.argsort(length, kind="stable")
                 run = np.concatenate([[True], np.diff(length[order]) != 0]) if len(order) else np.zeros(0, bool)
                 at = np.arange(len(order))
@@ -188,7 +192,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "doc_id
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column(0).slice(lo, hi - lo).take(pa.array(row)), "piece": number.astype(np.int32),
                     "start": start, "length": length, "ids_crc32": [zlib.crc32(p.tobytes()) for p in parts],
-                    "ids": parts if with_ids else [None] * len(parts),
+                    "ids": kept,
                     "part": np.full(len(row), part, np.int32), "nth": nth}, schema=schema)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -229,6 +233,23 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "d
         return cut_lineage(placed)
 
 
+def digests(packed: DataFrame) -> DataFrame:
+    """The rows of :func:`pack` (needs ``with_ids``) without ids; length and ids_crc32 are those of the packed ids."""
+    limit_batches(packed.sparkSession)
+    names = [c for c in packed.columns if c != "ids"]
+    at = packed.columns.index("ids")
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = batch.column(at)
+            ids, off = np.asarray(col.values).astype("<u4"), np.asarray(col.offsets)
+            made = {"length": pa.array(np.diff(off), pa.int64()),
+                    "ids_crc32": pa.array([zlib.crc32(ids[a:b].tobytes()) for a, b in zip(off[:-1], off[1:], strict=True)], pa.int64())}
+            yield pa.RecordBatch.from_arrays([made.get(n, batch.column(batch.schema.get_field_index(n))) for n in names], names=names)
+
+    return packed.mapInArrow(digest, packed.select(*names).schema)
+
+
 def sequences(packed: DataFrame) -> DataFrame:
     """sequence_id, ids: the packed sequences themselves (needs ``with_ids``); at most ``capacity`` ids a row."""
     parts = F.sort_array(F.collect_list(F.struct("offset", "ids")))

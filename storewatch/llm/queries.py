@@ -181,8 +181,8 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register()
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
-    packed = packing.pack(read_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), 2048)
-    return packed.drop("ids")
+    packed = packing.pack(read_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), 2048, with_ids=True)
+    return packing.digests(packed)
 
 
 @_register()
