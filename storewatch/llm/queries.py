@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storewatch.llm import jaccard, near_vectors, packing, quality, source_mix, substring, token_file, topk, url_filter, warc
+from storewatch.llm import fim, jaccard, near_vectors, packing, quality, source_mix, substring, token_file, topk, url_filter, warc
 from storewatch.session import cut_lineage, new_folder
 from storewatch.sources.tables import read_table
 
@@ -201,3 +201,21 @@ def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = quality.score_quality(docs, model, threshold=0.3)
     return done.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "quality_of_text.score",
                        "quality_of_text.predicted")
+
+
+@_register("""
+with d as (select row_number() over () as k, doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u,
+             sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
+g as (select *, len(u)::bigint as n, [('0x' || substr(h, (8 * i + 1)::int, 8))::bigint for i in range(4)] as r from d),
+c as (select *, least(r[1] % (n + 1), r[2] % (n + 1)) as a, greatest(r[1] % (n + 1), r[2] % (n + 1)) as b,
+        case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or r[3] % 100 >= 90 then 'plain'
+             when r[4] % 100 < 20 then 'spm' else 'psm' end as form from g),
+p as (select *, array_to_string(u[1 : a], '') as pre, array_to_string(u[a + 1 : b], '') as mid, array_to_string(u[b + 1 :], '') as suf from c)
+select doc_id, n, form, case when form <> 'plain' then length(pre)::bigint end as prefix_chars,
+  case when form <> 'plain' then length(mid)::bigint end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid
+         else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256, sha256(t) as restored_sha256 from p
+""")
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document rearranged for fill-in-the-middle: cuts, form, digests of the output and of the text rebuilt from it."""
+    return fim.digests(fim.fill_in_middle(read_table(spark, sf_dir, "documents")))
