@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storewatch.llm import fim, jaccard, near_vectors, packing, quality, source_mix, substring, token_file, topk, url_filter, warc
+from storewatch.llm import fim, jaccard, near_vectors, packing, quality, source_mix, substring, token_file, topk, turn_trie, url_filter, warc
 from storewatch.session import cut_lineage, new_folder
 from storewatch.sources.tables import read_table
 
@@ -219,3 +219,28 @@ select doc_id, n, form, case when form <> 'plain' then length(pre)::bigint end a
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document rearranged for fill-in-the-middle: cuts, form, digests of the output and of the text rebuilt from it."""
     return fim.digests(fim.fill_in_middle(read_table(spark, sf_dir, "documents")))
+
+
+@_register("""
+with t as (select conv_id as c, coalesce(role, '') as r, coalesce(text, '') as x, row_number() over (
+             partition by conv_id order by turn nulls first, coalesce(role, ''), md5(coalesce(text, ''))) as j from conversations where conv_id is not null),
+b as (select *, md5(r) || md5(x) as v, length(x)::bigint as n from t),
+o as (select c, count(*) as own, (xor(list_reduce([4294967295::bigint] || flatten([[ord(a), -1, -1, -1, -1, -1, -1, -1, -1]::bigint[] for a in string_split(c::varchar, '')]),
+        lambda s, e: case when e >= 0 then xor(s, e) else xor(s >> 1, 3988292384 * (s & 1)) end), 4294967295) % 6)::bigint as h from t group by c),
+g as (select o.c, b.j, v, n from o join b on b.c = o.c - o.c % 100 and b.j <= o.h union all select o.c, b.j, v, n from o join b on b.c = o.c and b.j > o.h),
+s as (select c, row_number() over w as depth, string_agg(v, '') over w as k, n from g window w as (partition by c order by j)),
+p as (select c, depth, k, n from s union all select c, 0, '', 0 from o),
+e as (select c, max(depth) as depth from p group by c),
+m as (select k, any_value(depth)::bigint as depth, min(c) as conv_id, count(*) as n_convs, any_value(n) as n from p group by k),
+f as (select k, string_agg(c::varchar, ',' order by c) as ids from p join e using (c, depth) group by k),
+q as (select m.*, u.conv_id as parent_conv_id, u.k as up from m left join m u on m.depth = u.depth + 1 and u.k = left(m.k, (64 * u.depth)::int)),
+i as (select up, count(*) as n_children from q where up is not null group by up),
+a as (select left(k, (64 * unnest(range(depth + 1)))::int) as k, (i.up is null)::int as leaf, (n_convs - 1) * n as saved from q left join i on i.up = q.k),
+z as (select k, sum(leaf)::bigint as n_leaves, sum(saved)::bigint as saved_tokens from a group by k)
+select conv_id, depth, parent_conv_id, n_convs, coalesce(n_children, 0)::bigint as n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) as ends_sha256
+from q join z using (k) left join i on i.up = q.k left join f on f.k = q.k
+""")
+def op12_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of the rebuilt conversations: members, children, leaves and savings of every node."""
+    nodes = turn_trie.prefix_trie(read_table(spark, sf_dir, "conversations"), borrow=True)
+    return nodes.drop("enter", "exit")
