@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storewatch.llm import fim, jaccard, near_vectors, packing, quality, source_mix, substring, token_file, topk, turn_trie, url_filter, warc
+from storewatch.llm import fim, hmm, jaccard, near_vectors, packing, quality, source_mix, substring, token_file, topk, turn_trie, url_filter, warc
 from storewatch.session import cut_lineage, new_folder
 from storewatch.sources.tables import read_table
 
@@ -244,3 +244,10 @@ def op12_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prefix trie of the rebuilt conversations: members, children, leaves and savings of every node."""
     nodes = turn_trie.prefix_trie(read_table(spark, sf_dir, "conversations"), borrow=True)
     return nodes.drop("enter", "exit")
+
+
+@_register()
+def op11_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability under a hidden Markov model and under smoothed unigrams."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return hmm.score_texts(docs, ~hmm.held_out(F.col("doc_id")))
