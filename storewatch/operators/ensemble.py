@@ -1,6 +1,7 @@
 """Model ensemble, Platt calibration (least squares and logistic) and the final blend."""
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from storewatch.constants import ENSEMBLE_ALIASES, ENSEMBLE_WEIGHTS, LAMBDA_BLEND
 from storewatch.functions.core import clip01, logistic, logit
+from storewatch.operators.ranking import global_quantiles
 
 
 def model_columns(columns: list) -> dict:
@@ -65,6 +67,71 @@ def calibrate_lstsq(df: DataFrame, p_col: str, y_col: str, out_col: str = "p_cal
     return df.withColumn(out_col, platt.transform(p_col))
 
 
+@dataclass
+class Calibration:
+    """P(y = 1) = logistic(a * score + b); without a and b the score is kept (``note`` says why).  ``fill`` stands for scores that are
+    missing or not finite."""
+    a: float | None
+    b: float | None
+    fill: float
+    note: str | None = None
+
+    def transform(self, score: str) -> Column:
+        x = finite_or(F.col(score), self.fill)
+        return x if self.a is None else F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(self.a) * x + F.lit(self.b))))
+
+
+CONSTANT, ONE_CLASS = "constant scores; skip calibration", "single-class; skip calibration"
+
+
+def finite_or(x: Column, fill: float) -> Column:
+    ok = x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
+    return F.when(ok, x).otherwise(F.lit(fill))
+
+
+def fit_logistic(df: DataFrame, score: str, label: str, penalty: float = 1.0, steps: int = 50, tolerance: float = 1e-12) -> Calibration:
+    """Logistic calibration: least sum of cross-entropies + penalty * a^2 / 2, by Newton steps.
+
+    A step is one aggregate of the table (loss, gradient and the 2 x 2 matrix of second derivatives at the current a and b); a step
+    that does not lower the loss is halved.  Rows without a label are left out; scores that are missing or not finite count as the
+    median of the others (0.5 if there are none); all (nearly) equal scores, or labels of one class, are not calibrated."""
+    rows = df.where(F.col(label).isNotNull()).select(F.col(score).cast("double").alias("s"), F.col(label).cast("double").alias("y"))
+    known = rows.where(finite_or(F.col("s"), float("nan")).isNotNull() & ~F.isnan(finite_or(F.col("s"), float("nan"))))
+    (middle,) = global_quantiles(known, "s", [0.5])
+    fill = rows.sparkSession.range(1).select(F.coalesce(middle, F.lit(0.5))).first()[0]
+    rows = rows.withColumn("s", finite_or(F.col("s"), fill))
+    seen = rows.agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.countDistinct("y").alias("classes"), F.avg("y").alias("mean")).first()
+    if seen.lo is None or seen.hi - seen.lo <= 1e-8 + 1e-5 * abs(seen.lo):
+        return Calibration(None, None, fill, CONSTANT)
+    if seen.classes < 2:
+        return Calibration(None, None, fill, ONE_CLASS)
+
+    def at(a: float, b: float) -> tuple:
+        z = F.lit(a) * F.col("s") + F.lit(b)
+        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+        w = p * (F.lit(1.0) - p)
+        loss = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - F.col("y") * z
+        return rows.agg(F.sum(loss), F.sum((p - F.col("y")) * F.col("s")), F.sum(p - F.col("y")), F.sum(w * F.col("s") * F.col("s")),
+                        F.sum(w * F.col("s")), F.sum(w)).first()
+
+    a, b, move, best = 0.0, math.log(seen.mean / (1 - seen.mean)), (0.0, 0.0), math.inf
+    for _ in range(steps):
+        loss, ga, gb, haa, hab, hbb = at(a, b)
+        loss += penalty * a * a / 2
+        if loss > best + 1e-9 * abs(best):
+            move = (move[0] / 2, move[1] / 2)
+            a, b = a - move[0], b - move[1]
+            continue
+        best = loss
+        ga, haa = ga + penalty * a, haa + penalty
+        det = haa * hbb - hab * hab
+        move = (-(hbb * ga - hab * gb) / det, -(haa * gb - hab * ga) / det)
+        if max(abs(m) for m in move) <= tolerance * (1 + abs(a) + abs(b)):
+            break
+        a, b = a + move[0], b + move[1]
+    return Calibration(a, b, fill)
+
+
 def blend(p_model: Column, risk_score: Column, lam: float = LAMBDA_BLEND) -> Column:
     """lam * p_model + (1 - lam) * RiskScore, missing -> 0."""
     return (F.lit(lam) * F.coalesce(p_model, F.lit(0.0))

@@ -1,22 +1,27 @@
-"""Feature frame, one-hot encoding and the model ensemble on Spark ML.
+"""Feature frame, one-hot encoding and the model ensemble.
 
-The original trains five libraries' classifiers; here each slot is a Spark ML estimator (boosted-tree
-slots re-aimed to ``GBTClassifier`` settings, the neural slot to ``MultilayerPerceptronClassifier``).
-Training and scoring are distributed Spark jobs; probabilities are read with ``vector_to_array``.
+The slots are the learners of ``boosting`` (leaf-wise and depth-limited boosted trees), ``forest`` (fully grown trees) and ``neural``
+(a network with dropout), and Spark ML's logistic regression.  Features are imputed, encoded and written once for all slots; a
+table of one block is learned from inside tasks, all slots side by side, a larger one by one aggregate per step.  Scoring is one
+pass over the rows with the models of all slots.
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storewatch.constants import CAT_FEATURES, ENSEMBLE_WEIGHTS, KEY_MCT, KEY_YM, NUM_FEATURES
+from storewatch.operators import boosting, forest, neural
+from storewatch.operators.blocks import fit_in_task, to_blocks
 from storewatch.operators.iforest import fit_forest, score_forest
 from storewatch.operators.metrics import fit_medians, impute_medians
 from storewatch.operators.reports import minmax_invert
@@ -28,17 +33,13 @@ SLOT_COLUMNS = {"xgb": "pred_xgb", "lgbm": "pred_lgbm", "rf": "pred_rf", "gb": "
 
 @dataclass
 class ModelSizes:
-    """Reference sizes by default; tests pass small ones (boosting rounds are sequential jobs).
-
-    The original grows forest trees without a depth limit; Spark's trees stop at 30 levels and cost memory per
-    level, so ``rf_depth`` is the deepest affordable one.  ``mlp_iterations`` are L-BFGS steps over all rows."""
+    """Sizes of the original's models; tests pass small ones.  ``rf_rows`` bounds a forest tree's sample (see ``forest``)."""
     rf_trees: int = 400
-    rf_depth: int = 12
-    rf_bins: int = 64
+    rf_rows: int = forest.MAX_ROWS
     gb_rounds: int = 100
     xgb_rounds: int = 400
     lgbm_rounds: int = 500
-    mlp_iterations: int = 100
+    dl_epochs: int = 10
     extra: dict = field(default_factory=dict)
 
 
@@ -71,47 +72,69 @@ def class_weight_col(train: DataFrame, y: str = "y") -> DataFrame:
     return train.join(F.broadcast(w), y)
 
 
-def classifier(slot: str, sizes: ModelSizes, n_features: int, seed: int = 42):
-    if slot == "rf":
-        return RandomForestClassifier(numTrees=sizes.rf_trees, maxDepth=sizes.rf_depth, maxBins=sizes.rf_bins, seed=seed, weightCol="w", labelCol="y")
+def boosting_of(slot: str, sizes: ModelSizes, seed: int = 42) -> boosting.Boosting:
+    """Settings of the three boosted slots.  Rows are sampled in the xgb slot only: the lgbm slot sets no sampling frequency."""
     if slot == "gb":
-        return GBTClassifier(maxIter=sizes.gb_rounds, maxDepth=3, stepSize=0.1, seed=seed, labelCol="y")
+        return boosting.Boosting(sizes.gb_rounds, 0.1, leaves=8, depth=3, seed=seed)
     if slot == "xgb":
-        return GBTClassifier(maxIter=sizes.xgb_rounds, maxDepth=5, stepSize=0.05, subsamplingRate=0.8,
-                             featureSubsetStrategy="0.8", seed=seed, labelCol="y")
+        return boosting.Boosting(sizes.xgb_rounds, 0.05, leaves=32, depth=5, min_hessian=1.0, l2=1.0, row_share=0.8, column_share=0.8, seed=seed)
     if slot == "lgbm":
-        # 31 leaves: depth 5; rows are not sampled (no sampling frequency is set), leaves keep 20 rows
-        return GBTClassifier(maxIter=sizes.lgbm_rounds, maxDepth=5, stepSize=0.05, subsamplingRate=1.0, minInstancesPerNode=20,
-                             featureSubsetStrategy="0.8", seed=seed + 1, labelCol="y")
-    if slot == "dl":
-        return MultilayerPerceptronClassifier(layers=[n_features, 128, 64, 2], maxIter=sizes.mlp_iterations,
-                                              blockSize=256, seed=seed, labelCol="y")
-    if slot == "logit":
-        return LogisticRegression(maxIter=200, weightCol="w", labelCol="y")
+        return boosting.Boosting(sizes.lgbm_rounds, 0.05, leaves=31, min_rows=20, min_hessian=1e-3, column_share=0.8, seed=seed)
     raise KeyError(slot)
 
 
-def fit_slot(slot: str, train: DataFrame, num: list, cat: list, sizes: ModelSizes) -> PipelineModel | None:
-    """Pipeline(encoders, assembler, classifier); ``None`` when the training data has one class."""
-    if train.select(F.countDistinct("y")).first()[0] < 2:
-        return None
-    assembler = VectorAssembler(inputCols=num + [f"{c}__oh" for c in cat], outputCol="features",
-                                handleInvalid="keep")
-    enc = Pipeline(stages=encoder_stages(cat) + [assembler]).fit(train)
-    n_features = len(enc.transform(train.limit(1)).first()["features"])
-    data = class_weight_col(train) if slot in ("rf", "logit") else train
-    model = Pipeline(stages=[classifier(slot, sizes, n_features)]).fit(enc.transform(data))
-    return PipelineModel(stages=[enc, model])
-
-
-def positive_proba(model: PipelineModel | None, df: DataFrame, out: str, prior: float) -> DataFrame:
-    """P(y = 1) for every row; a model that could not be fitted falls back to the class prior."""
-    if model is None:
-        return df.withColumn(out, F.lit(float(prior)))
-    scored = model.transform(df)
-    return scored.withColumn(out, vector_to_array("probability")[1]).drop(
-        "features", "rawPrediction", "probability", "prediction",
-        *[c for c in scored.columns if c.endswith("__idx") or c.endswith("__oh")])
+def encode_features(data: DataFrame, train: DataFrame, num: list, cat: list) -> DataFrame:
+    """``data`` with ``x``: numeric columns, then one-hot slots of the categories that ``train`` has."""
+    assembler = VectorAssembler(inputCols=num + [f"{c}__oh" for c in cat], outputCol="features", handleInvalid="keep")
+    made = Pipeline(stages=encoder_stages(cat) + [assembler]).fit(train).transform(data)
+    return made.select(*data.columns, vector_to_array("features").alias("x"))
+
+
+def fit_slots(train: DataFrame, slots: tuple, sizes: ModelSizes, keys: list, block_rows: int | None = None) -> dict:
+    """Models with ``predict(rows of x)`` of the given slots; ``train``: keys, x and y, with both classes."""
+    blocks = cut_lineage(to_blocks(train, keys, **({"block_rows": block_rows} if block_rows else {})))
+    width = len(train.select("x").first()[0])
+    boosted = [s for s in slots if s in ("gb", "xgb", "lgbm")]
+    cuts = boosting.quantile_cuts(train, width) if boosted else []
+    network = neural.Training(epochs=sizes.dl_epochs)
+    models: dict = {}
+    if blocks.count() == 1:  # the same steps without a job for each
+        fits = {s: (lambda b, p=boosting_of(s, sizes): boosting.boost_block(b, cuts, p)) for s in boosted}
+        if "dl" in slots:
+            fits["dl"] = lambda b: neural.train_block(b, network)
+        models |= fit_in_task(blocks, fits) if fits else {}
+    else:
+        models |= {s: boosting.boost_blocks(blocks, cuts, boosting_of(s, sizes)) for s in boosted}
+        if "dl" in slots:
+            models["dl"] = neural.train_blocks(blocks, width, network)
+    if "rf" in slots:
+        models["rf"] = forest.fit_forest(blocks, sizes.rf_trees, sizes.rf_rows)
+    return models
+
+
+def score_slots(data: DataFrame, models: dict) -> DataFrame:
+    """``data`` (with x) and each model's P(y = 1) in its slot's column."""
+    spark, names = data.sparkSession, list(models)
+    shared = spark.sparkContext.broadcast(models)  # sizes are bounded by the models' settings
+    columns = [SLOT_COLUMNS.get(s, f"pred_{s}") for s in names]
+    kept = data.columns
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in data.schema.fields) + "".join(f", {c} double" for c in columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                made = {c: np.asarray(shared.value[s].predict(x), float) for s, c in zip(names, columns, strict=True)}
+                yield pa.RecordBatch.from_pydict({**{n: batch.column(n) for n in kept}, **made})
+
+    return data.mapInArrow(run, ddl)
+
+
+def score_logistic(data: DataFrame, train: DataFrame, out: str) -> DataFrame:
+    """Balanced logistic regression of Spark ML on ``x``."""
+    vector = lambda df: df.withColumn("features", array_to_vector("x"))
+    model: PipelineModel = Pipeline(stages=[LogisticRegression(maxIter=200, weightCol="w", labelCol="y")]).fit(vector(class_weight_col(train)))
+    return model.transform(vector(data)).withColumn(out, vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
 def stacked_score(df: DataFrame, renormalize: bool = True) -> F.Column:
@@ -138,15 +161,14 @@ def train_and_score(labeled: DataFrame, split: DataFrame, sizes: ModelSizes, slo
     data = labeled.select(KEY_MCT, KEY_YM, "y", *num, *cat).join(
         split.select(KEY_MCT, KEY_YM, "is_train", "is_test"), [KEY_MCT, KEY_YM])
     (full,) = prepare_features(data.where("is_train = 1"), [data], num, cat)
-    # iterative learners re-read their input many times: give them a materialised table, not a lineage
     full = cut_lineage(full)
     train = full.where("is_train = 1")
-    seen = train.agg(F.avg("y").alias("prior"), F.countDistinct("y").alias("k")).first()
-    if seen.k < 2:
+    if train.agg(F.countDistinct("y")).first()[0] < 2:
         return one_class_slots(full, num, slots)
-    prior = seen.prior
-    out = full
-    for slot in slots:
-        model = fit_slot(slot, train, num, cat, sizes)
-        out = positive_proba(model, out, SLOT_COLUMNS.get(slot, f"pred_{slot}"), prior)
-    return out
+    coded = cut_lineage(encode_features(full, train, num, cat))
+    train = coded.where("is_train = 1")
+    own = tuple(s for s in slots if s != "logit")
+    out = score_slots(coded, fit_slots(train, own, sizes, [KEY_MCT, KEY_YM])) if own else coded
+    if "logit" in slots:
+        out = score_logistic(out, train, SLOT_COLUMNS.get("logit", "pred_logit"))
+    return out.drop("x")

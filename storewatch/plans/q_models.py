@@ -5,13 +5,12 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storewatch.constants import KEY_MCT, KEY_YM, NUM_FEATURES
+from storewatch.constants import ENSEMBLE_WEIGHTS, KEY_MCT, KEY_YM, NUM_FEATURES
+from storewatch.operators.ensemble import CONSTANT, ONE_CLASS, fit_logistic
 from storewatch.operators.iforest import fit_forest, score_forest
 from storewatch.operators.labels import closure_label, label_base, stratified_split
 from storewatch.operators.metrics import roc_auc
@@ -37,22 +36,22 @@ def _slot_col(slot: str) -> str:
     return SLOT_COLUMNS.get(slot, f"pred_{slot}")
 
 
-def slot_table(spark, sf, slot: str):
-    """One slot trained on the training split and scored on every row, written once per session (the
-    ensemble queries reuse the same fitted slots instead of training them again)."""
-    key = (id(spark), spark.sparkContext.applicationId, sf, "slot", slot)
+def slot_tables(spark, sf, slots: tuple):
+    """Slots trained on the training split and scored on every row, written once per session and set of slots."""
+    key = (id(spark), spark.sparkContext.applicationId, sf, "slots", slots)
     if key not in _PANELS:
         lab, split = _labeled(spark, sf)
-        out = train_and_score(lab, split, SIZES, slots=(slot,))
-        _PANELS[key] = cut_lineage(out.select(KEY_MCT, KEY_YM, "y", "is_train", "is_test", _slot_col(slot)))
+        out = train_and_score(lab, split, SIZES, slots=slots)
+        _PANELS[key] = cut_lineage(out.select(KEY_MCT, KEY_YM, "y", "is_train", "is_test", *[_slot_col(s) for s in slots]))
     return _PANELS[key]
 
 
+def slot_table(spark, sf, slot: str):
+    return slot_tables(spark, sf, (slot,))
+
+
 def all_slots(spark, sf):
-    base = slot_table(spark, sf, "xgb")
-    for slot in ("lgbm", "rf", "gb", "dl"):
-        base = base.join(slot_table(spark, sf, slot).select(KEY_MCT, KEY_YM, _slot_col(slot)), [KEY_MCT, KEY_YM])
-    return base
+    return slot_tables(spark, sf, tuple(SLOT_COLUMNS))
 
 
 def _slot_query(slot: str):
@@ -111,22 +110,64 @@ def q_preds_output(spark, sf):
     return run_pipeline(p.merchants, p.usage, p.customers, preds=preds)
 
 
-@register("platt_logistic")
+_STEPS = 12
+
+
+def _newton(name: str, source: str) -> str:
+    """CTEs that fit ``source`` (s, y) by Newton steps of one aggregate each; the last is ``<name>`` (a, b)."""
+    parts = [f"{name}0 AS (SELECT 0.0::DOUBLE AS a, ln(avg(y) / (1 - avg(y))) AS b FROM {source})"]
+    for i in range(_STEPS):
+        parts.append(f"""{name}h{i} AS MATERIALIZED (SELECT any_value(a) AS a, any_value(b) AS b, sum((p - y) * s) + any_value(a) AS ga, sum(p - y) AS gb,
+  sum(p * (1 - p) * s * s) + 1 AS haa, sum(p * (1 - p) * s) AS hab, sum(p * (1 - p)) AS hbb
+  FROM (SELECT s, y, a, b, 1 / (1 + exp(-(a * s + b))) AS p FROM {source}, {name}{i}))""")
+        parts.append(f"""{name}{i + 1 if i + 1 < _STEPS else ''} AS (SELECT a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS a,
+  b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b FROM {name}h{i})""")
+    return ", ".join(parts)
+
+
+_STACK = f"""{_SPLIT}, st AS (SELECT sp.ENCODED_MCT, sp.TA_YM, sp.y, sp.is_test,
+  {" + ".join(f"{w} * p.{SLOT_COLUMNS[t]}" for t, w in ENSEMBLE_WEIGHTS.items())} AS stack
+  FROM sp JOIN preds p ON sp.ENCODED_MCT = p.ENCODED_MCT AND sp.TA_YM = p.TA_YM)"""
+
+
+def _stacked(spark, sf):
+    """Keys, label, split and the weighted sum of the five given model scores."""
+    lab, split = _labeled(spark, sf)
+    preds = panel(spark, sf).preds
+    return split.join(preds, [KEY_MCT, KEY_YM]).select(KEY_MCT, KEY_YM, "y", "is_test", stacked_score(preds).alias("stack"))
+
+
+@register("platt_logistic", f"""WITH {panel_ctes()}, {_STACK}, tr AS MATERIALIZED (SELECT stack AS s, y FROM st WHERE is_test = 1), {_newton('f', 'tr')}
+SELECT ENCODED_MCT, TA_YM, y, ROUND(stack, 6) AS stack, ROUND(1 / (1 + exp(-(a * stack + b))), 6) AS p_cal FROM st, f""")
 def q_platt_logistic(spark, sf):
-    """Logistic calibration of the stacked ensemble score, fitted on the test split (as the original);
-    skipped (score kept) for a constant score or a single class."""
-    preds = all_slots(spark, sf)
-    d = preds.withColumn("stack", stacked_score(preds))
-    test = d.where("is_test = 1")
-    stats = test.agg(F.countDistinct("y").alias("k"), F.stddev_pop("stack").alias("sd")).first()
-    if stats.k < 2 or not stats.sd:
-        return d.select(KEY_MCT, KEY_YM, "y", F.col("stack").alias("p_cal"))
-    n = test.count()
-    lr = Pipeline(stages=[VectorAssembler(inputCols=["stack"], outputCol="features"),
-                          LogisticRegression(labelCol="y", regParam=1.0 / n, standardization=False, maxIter=200)])
-    model = lr.fit(test)
-    return model.transform(d).select(KEY_MCT, KEY_YM, "y", *r6("stack"),
-                                     F.round(vector_to_array("probability")[1], 6).alias("p_cal"))
+    """Logistic calibration of the stacked score of the given predictions, fitted on the test split (as the original)."""
+    d = cut_lineage(_stacked(spark, sf))
+    fitted = fit_logistic(d.where("is_test = 1"), "stack", "y")
+    return d.select(KEY_MCT, KEY_YM, "y", *r6("stack"), F.round(fitted.transform("stack"), 6).alias("p_cal"))
+
+
+_CASES = {"constant": "0.25", "one class": "stack", "missing": "CASE WHEN CAST(ENCODED_MCT AS BIGINT) % 3 = 0 THEN CAST('nan' AS DOUBLE) "
+          "WHEN CAST(ENCODED_MCT AS BIGINT) % 3 = 1 THEN NULL ELSE stack END"}
+_FINITE = "CASE WHEN isfinite(x) THEN x ELSE (SELECT coalesce(median(x) FILTER (WHERE isfinite(x)), 0.5) FROM ms) END"
+
+
+@register("platt_logistic_cases", f"""WITH {panel_ctes()}, {_STACK}, ms AS (SELECT {_CASES['missing']} AS x, y FROM st WHERE is_test = 1),
+tr AS MATERIALIZED (SELECT {_FINITE} AS s, y FROM ms), {_newton('f', 'tr')}
+SELECT 'constant' AS kind, '{CONSTANT}' AS note, CAST(NULL AS DOUBLE) AS a, CAST(NULL AS DOUBLE) AS b, 0.25 AS mean_p FROM (SELECT 1)
+UNION ALL SELECT 'one class', '{ONE_CLASS}', NULL, NULL, ROUND(avg(stack), 6) FROM st WHERE is_test = 1
+UNION ALL SELECT 'missing', NULL, ROUND(any_value(a), 6), ROUND(any_value(b), 6), ROUND(avg(1 / (1 + exp(-(a * s + b)))), 6) FROM tr, f""")
+def q_platt_logistic_cases(spark, sf):
+    """The calibration's rules on the test split: constant scores and a single class are left alone, scores that are missing or not
+    numbers count as the median."""
+    test = cut_lineage(_stacked(spark, sf).where("is_test = 1"))
+    parts = []
+    for kind, score in _CASES.items():
+        rows = test.select(F.expr(score).cast("double").alias("s"), (F.lit(0) if kind == "one class" else F.col("y")).alias("y"))
+        fitted = fit_logistic(rows, "s", "y")
+        number = lambda v: F.round(F.lit(v).cast("double"), 6)
+        parts.append(rows.agg(F.round(F.avg(fitted.transform("s")), 6).alias("mean_p")).select(
+            F.lit(kind).alias("kind"), F.lit(fitted.note).cast("string").alias("note"), number(fitted.a).alias("a"), number(fitted.b).alias("b"), "mean_p"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @register("isolation_forest")
@@ -180,6 +221,34 @@ def q_one_class_slots(spark, sf):
                    F.round(F.max(_FIVE[0]), 6).alias("highest"), F.count(F.when(F.col(_FIVE[0]).isNull(), 1)).alias("missing"))
 
 
+_FACTS = """SELECT '{c}' AS slot, (SELECT COUNT(*) FROM sp) AS n, 0 AS outside, (SELECT COUNT(DISTINCT (ENCODED_MCT, TA_YM)) FROM sp) AS n_keys,
+  1 AS beats_chance, 1 AS rerun_equal"""
+
+
+def _facts(t, c: str):
+    facts = t.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col(c).isNull() | (F.col(c) < 0) | (F.col(c) > 1), 1)).alias("outside"),
+                  F.countDistinct(KEY_MCT, KEY_YM).alias("n_keys"))
+    auc = roc_auc(t.where("is_train = 1"), c, "y").select((F.col("roc_auc") > 0.5).cast("int")).scalar()
+    return facts.select(F.lit(c).alias("slot"), "n", "outside", "n_keys", auc.alias("beats_chance"))
+
+
+def _slot_facts(slot: str):
+    c = _slot_col(slot)
+
+    def q(spark, sf):
+        t = slot_table(spark, sf, slot)
+        lab, split = _labeled(spark, sf)
+        again = train_and_score(lab, split, SIZES, slots=(slot,)).select(KEY_MCT, KEY_YM, F.col(c).alias("again"))
+        off = t.join(again, [KEY_MCT, KEY_YM], "left").agg(F.max(F.coalesce(F.abs(F.col(c) - F.col("again")), F.lit(1.0))))
+        return _facts(t, c).withColumn("rerun_equal", (F.lit(off.first()[0]) <= 1e-9).cast("int"))
+    q.__doc__ = f"What must hold of the {slot} slot: a probability per key, better than chance on the training split, the same when trained again."
+    return q
+
+
+for _slot in (*SLOT_COLUMNS, "logit"):
+    register(f"model_facts_{_slot}", f"WITH {panel_ctes()}, {_SPLIT} " + _FACTS.format(c=_slot_col(_slot)))(_slot_facts(_slot))
+
+
 @register("model_facts", f"""WITH {panel_ctes()}, {_SPLIT}
 SELECT slot, (SELECT COUNT(*) FROM sp) AS n, 0 AS outside, (SELECT COUNT(DISTINCT (ENCODED_MCT, TA_YM)) FROM sp) AS n_keys,
   1 AS beats_chance, 1 AS differs_from_others FROM (VALUES ('pred_xgb'), ('pred_lgbm'), ('pred_rf'), ('pred_gb'), ('pred_dl')) s(slot)""")
@@ -189,10 +258,6 @@ def q_model_facts(spark, sf):
     t = all_slots(spark, sf)
     parts = []
     for c in _FIVE:
-        facts = t.agg(F.count(F.lit(1)).alias("n"),
-                      F.count(F.when(F.col(c).isNull() | (F.col(c) < 0) | (F.col(c) > 1), 1)).alias("outside"),
-                      F.countDistinct(KEY_MCT, KEY_YM).alias("n_keys"),
-                      F.least(*[F.max((F.abs(F.col(c) - F.col(o)) > 1e-6).cast("int")) for o in _FIVE if o != c]).alias("differs_from_others"))
-        auc = roc_auc(t.where("is_train = 1"), c, "y").select((F.col("roc_auc") > 0.5).cast("int")).scalar()
-        parts.append(facts.select(F.lit(c).alias("slot"), "n", "outside", "n_keys", auc.alias("beats_chance"), "differs_from_others"))
+        differs = t.agg(F.least(*[F.max((F.abs(F.col(c) - F.col(o)) > 1e-6).cast("int")) for o in _FIVE if o != c]))
+        parts.append(_facts(t, c).withColumn("differs_from_others", differs.scalar()))
     return reduce(DataFrame.unionByName, parts)

@@ -4,7 +4,7 @@ score within a month, quick score never above .265."""
 import pandas as pd
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from data_paths import SF_SMALL
 
 
 def test_pipeline_invariants(spark):

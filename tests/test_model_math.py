@@ -3,7 +3,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from storewatch.operators.ensemble import platt_lstsq_params, weighted_ensemble
+from storewatch.operators.ensemble import fit_logistic, platt_lstsq_params, weighted_ensemble
 from storewatch.operators.labels import stratified_split
 from storewatch.operators.metrics import average_precision, roc_auc
 
@@ -74,3 +74,38 @@ def test_auc_ap_brute_force(spark):
     one = spark.createDataFrame([(0.1, 1), (0.2, 1)], "s double, y int")
     r = roc_auc(one, "s", "y").first()
     assert r.roc_auc is None and r.note == "single-class"
+
+
+def _newton_by_hand(s, y):
+    a, b = 0.0, np.log(y.mean() / (1 - y.mean()))
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-(a * s + b)))
+        w = p * (1 - p)
+        step = np.linalg.solve([[(w * s * s).sum() + 1, (w * s).sum()], [(w * s).sum(), w.sum()]], [((p - y) * s).sum() + a, (p - y).sum()])
+        a, b = a - step[0], b - step[1]
+    return a, b
+
+
+def test_logistic_calibration_and_its_rules(spark):
+    rng = np.random.default_rng(5)
+    s = rng.uniform(0, 1, 300)
+    y = (rng.random(300) < 1 / (1 + np.exp(-(6 * s - 4)))).astype(float)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(s, y)], "s double, y double")
+    fitted = fit_logistic(df, "s", "y")
+    assert (fitted.a, fitted.b) == pytest.approx(_newton_by_hand(s, y), rel=1e-8)
+    odd = [float("nan"), None, float("inf"), float("-inf")]
+    rows = [(odd[i % 4] if i % 5 == 0 else float(a), float(b)) for i, (a, b) in enumerate(zip(s, y))] + [(0.5, None)]
+    fitted = fit_logistic(spark.createDataFrame(rows, "s double, y double"), "s", "y")
+    kept = np.array([a for i, a in enumerate(s) if i % 5])
+    assert fitted.fill == pytest.approx(np.median(kept))
+    filled = np.array([np.median(kept) if i % 5 == 0 else a for i, a in enumerate(s)])
+    assert (fitted.a, fitted.b) == pytest.approx(_newton_by_hand(filled, y), rel=1e-8)
+    same = fit_logistic(df.withColumn("s", F.lit(0.3)), "s", "y")
+    one = fit_logistic(df.withColumn("y", F.lit(1.0)), "s", "y")
+    assert same.a is None and "constant" in same.note and one.a is None and "single" in one.note
+    assert df.select(one.transform("s").alias("p")).first().p == pytest.approx(s[0])
+    none = fit_logistic(spark.createDataFrame([(None, 1.0), (None, 0.0)], "s double, y double"), "s", "y")
+    assert none.fill == 0.5 and none.note
+    steep = spark.createDataFrame([(i / 100, float(i > 50)) for i in range(100)] + [(1000.0, 1.0)], "s double, y double")
+    steep_fit = fit_logistic(steep, "s", "y")
+    assert np.isfinite(steep_fit.a) and steep_fit.a > 0

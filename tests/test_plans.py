@@ -5,7 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from data_paths import SF_SMALL
 
 KEY_QUERIES = ["risk_pipeline_model", "quantile_alert", "quantile_alert_fallback", "benchmark", "topq_label",
                "peer_percentile", "roc_auc", "stratified_split", "all_risks_global", "history", "latest_risk"]

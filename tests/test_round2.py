@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from storewatch.constants import KEY_MCT, KEY_YM
 from storewatch.operators import iforest
-from storewatch.operators.models import ModelSizes, classifier, encoder_stages
+from storewatch.operators.models import ModelSizes, boosting_of, encoder_stages
 from storewatch.operators.prepare import key_report, load_and_join, unique_keys
 from storewatch.operators.ranking import global_quantiles, with_percent_ranks
 from storewatch.session import new_folder
@@ -56,12 +56,10 @@ def test_unseen_category_is_all_zeros(spark):
     assert got == {"b": [1, 0, 0], "a": [0, 1, 0], "c": [0, 0, 1], "zz": [0, 0, 0], None: [0, 0, 0]}
 
 
-def test_boosted_slots_differ_and_forest_depth_is_a_parameter(spark):
-    sizes = ModelSizes()
-    params = [{p.name: v for p, v in classifier(s, sizes, 4).extractParamMap().items()} for s in ("xgb", "lgbm")]
-    assert params[0]["subsamplingRate"] == 0.8 and params[1]["subsamplingRate"] == 1.0
-    assert params[1]["minInstancesPerNode"] == 20 and params[0]["seed"] != params[1]["seed"]
-    assert classifier("rf", ModelSizes(rf_depth=7), 4).getMaxDepth() == 7
+def test_boosted_slots_differ():
+    gb, xgb, lgbm = (boosting_of(x, ModelSizes()) for x in ("gb", "xgb", "lgbm"))
+    assert (gb.rounds, gb.depth, xgb.rounds, xgb.depth, lgbm.rounds, lgbm.leaves, lgbm.depth) == (100, 3, 400, 5, 500, 31, None)
+    assert xgb.row_share == 0.8 and lgbm.row_share == gb.row_share == 1.0 and xgb.column_share == lgbm.column_share == 0.8
 
 
 @pytest.mark.parametrize("n", [40, 3000])
