@@ -10,8 +10,8 @@ reaches them (their layer), so one posting list serves every l.  Candidates are
 
 Documents with the same set are one node.  Links inside a component that is already connected add nothing,
 so pairs are not enumerated there: first every posting list proposes to each node its neighbour in order of
-size and the list's hub, the verified ones are connected; then each list is searched in full, but only for pairs of different
-components, the nodes outside the list's largest component against all.  Every link between different
+size and the list's hub, the verified ones are connected; then lists are searched in full, but only for pairs of different
+components: short lists by a join, long ones in blocks, the nodes outside their largest component against all.  Every link between different
 components is therefore found; a group of near copies costs its size, not its square.
 
 Scale: shingle frequencies, used for the order and the cost only, are counts of 2^20 hash buckets over all
@@ -46,6 +46,8 @@ BUCKET_BITS, PIECE = 20, 4096
 MATCHES = (1, 2, 4, 8, 16, 32, 64)  # the l a document can choose from
 VERIFY_COST = 100.0                 # of one candidate, in postings (two whole sets move)
 _LISTED = ("node", "n", "l", "layer", "pos", "c")
+SHORT_LIST = 32                     # nodes of a list whose pairs are joined; longer ones are searched in blocks
+QUERY_BLOCK, NODE_BLOCK = 512, 4096 # nodes of a block
 BROADCAST_IDS = 200_000             # ids of documents to fetch; beyond it the texts are shuffled
 NO_ID = 2**62  # keys of rows without an id start here
 
@@ -327,14 +329,99 @@ def _near_links(lists: DataFrame, texts: Texts, scope: Scope) -> DataFrame:
 
 
 def _cross_links(lists: DataFrame, texts: Texts, found: DataFrame, scope: Scope) -> DataFrame:
-    """Verified links between nodes of different components."""
+    """Verified links between nodes of different components.
+
+    Nodes that share one of the lists of up to SHORT_LIST nodes meet there.  The others share a longer list; all longer lists with the
+    same largest component form a group, and a group's nodes outside that component are searched in blocks against all its
+    nodes (:func:`_block_pairs`).  Either way a pair's shared shingles are all counted, in short lists for pairs that share no other."""
     num, den = texts.num, texts.den
     named = scope.table(lists.join(found, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component"))
     sizes = named.groupBy("token", "comp").agg(F.count("*").alias("k"))
-    big = sizes.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("big"), F.count("*").alias("k")).filter("k > 1")
-    open_ = scope.table(named.join(big.drop("k"), "token"))
-    small = open_.filter("comp <> big").select("token", *[F.col(c).alias(f"{c}_") for c in (*_LISTED, "comp")])
-    met = open_.join(small, "token").filter(
+    big = sizes.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("big"), F.count("*").alias("comps"), F.sum("k").alias("k"))
+    open_ = scope.table(named.join(big.filter("comps > 1").drop("comps"), "token"))
+    few = open_.filter(F.col("k") <= SHORT_LIST)
+    small = few.filter("comp <> big").select("token", *[F.col(c).alias(f"{c}_") for c in (*_LISTED, "comp")])
+    met = few.join(small, "token").filter(
         (F.col("comp") != F.col("comp_")) & ((F.col("comp") == F.col("big")) | (F.col("node") < F.col("node_")))
         & _possible("", "_", num, den))
-    return verified(_enough(met, num, den), texts, scope)
+    pairs = _enough(met, num, den).unionByName(_block_pairs(open_, open_.filter(F.col("k") > SHORT_LIST), num, den))
+    return verified(pairs.select("a", "b").distinct(), texts, scope)
+
+
+def _block_pairs(open_: DataFrame, long: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b, shared: the pairs of different components that share a list of ``long`` and enough lists of ``open_``.
+
+    A group's outsiders (nodes outside its largest component) are dealt to blocks of about QUERY_BLOCK and all its nodes to blocks of
+    about NODE_BLOCK; a task holds the outsiders of one pair of blocks, streams the nodes and counts shared shingles in numpy,
+    so only pairs that share enough leave it."""
+    spark = open_.sparkSession
+    parts = packed.partitions(spark)
+    inside = open_.join(long.select("node").distinct(), "node", "left_semi")
+    held = inside.groupBy("node").agg(F.first("n").alias("n"), F.first("l").alias("l"), F.first("c").alias("c"), F.first("comp").alias("comp"),
+                                     F.collect_list(F.struct("token", "pos", "layer")).alias("of"))  # at most a prefix each
+    member = long.groupBy("big", "node").agg(F.first("comp").alias("comp"))
+    group = member.groupBy("big").agg(F.count("*").alias("all"), F.count(F.when(F.col("comp") != F.col("big"), 1)).alias("out"))
+    blocks = lambda n, size: F.ceil(F.col(n) / F.lit(size)).cast("int")
+    member = member.drop("comp").join(group.select("big", blocks("out", QUERY_BLOCK).alias("q"), blocks("all", NODE_BLOCK).alias("d")), "big")
+    known = member.join(held, "node")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cols = ["node", "n", "l", "c", "comp", "of"]
+    queries = known.filter("comp <> big").select("big", own("q").alias("q"), F.explode(upto("d")).alias("d"), F.lit(0).alias("kind"), *cols)
+    nodes = known.select("big", F.explode(upto("q")).alias("q"), own("d").alias("d"), F.lit(1).alias("kind"), *cols)
+
+    def columns(rows: list[dict]) -> tuple[np.ndarray, ...]:
+        many = np.array([len(r["of"]) for r in rows])
+        flat = [np.array([x[k] for r in rows for x in r["of"]], np.int64) for k in ("token", "pos", "layer")]
+        return (*(np.array([r[k] for r in rows], np.int64) for k in ("node", "n", "l", "c", "comp")), np.repeat(np.arange(len(rows)), many), *flat)
+
+    def least(n1, l1, n2, l2):
+        l = np.minimum(l1, l2)  # noqa: E741
+        needed = lambda n: -(-num * n // den)
+        return np.maximum(l, l - (-num * (n1 + n2) // (num + den)) - np.maximum(needed(n1), needed(n2)))
+
+    def meet(x: tuple, y: tuple) -> dict:
+        """Pairs of queries x and nodes y; the conditions are those of :func:`_possible` and :func:`_enough`."""
+        order = np.argsort(x[6], kind="stable")
+        token = x[6][order]
+        lo, hi = np.searchsorted(token, y[6], side="left"), np.searchsorted(token, y[6], side="right")
+        at = np.repeat(np.arange(len(lo)), hi - lo)
+        of = order[np.arange(len(at)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[at]]
+        i, j = x[5][of], y[5][at]
+        n1, n2, l1, l2, p1, p2 = x[1][i], y[1][j], x[2][i], y[2][j], x[7][of], y[7][at]
+        need = least(n1, l1, n2, l2)
+        room = np.minimum(p1, p2) + 1 + np.minimum(n1 - p1, n2 - p2) - 1
+        ok = ((x[4][i] != y[4][j]) & (den * np.minimum(n1, n2) >= num * np.maximum(n1, n2)) & (np.maximum(x[8][of], y[8][at]) <= np.minimum(l1, l2))
+              & (np.minimum(x[3][i], y[3][j]) >= need) & ((num + den) * room >= num * (n1 + n2)))
+        cell, first, shared = np.unique(i[ok] * len(y[0]) + j[ok], return_index=True, return_counts=True)
+        good = shared >= need[ok][first]
+        i, j = cell[good] // len(y[0]), cell[good] % len(y[0])
+        return {"a": np.minimum(x[0][i], y[0][j]), "b": np.maximum(x[0][i], y[0][j]), "shared": shared[good]}
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, asked, waiting = None, [], None, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if waiting and asked is not None:
+                made = meet(asked, columns(waiting))
+                if len(made["a"]):
+                    yield pa.RecordBatch.from_pydict(made)
+            waiting.clear()
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if (row["big"], row["q"], row["d"]) != cell:
+                    yield from flush()
+                    cell, held, asked = (row["big"], row["q"], row["d"]), [], None
+                if row["kind"] == 0:
+                    held.append(row)
+                    continue
+                if asked is None and held:
+                    asked = columns(held)
+                waiting.append(row)
+                if len(waiting) >= 256:
+                    yield from flush()
+        yield from flush()
+
+    dealt = queries.unionByName(nodes).repartition(parts, "big", "q", "d").sortWithinPartitions("big", "q", "d", "kind")
+    return dealt.mapInArrow(search, "a long, b long, shared long")

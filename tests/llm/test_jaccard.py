@@ -76,6 +76,30 @@ def test_matches_brute_force(spark, docs_of, n, num):
     assert sorted(map(tuple, got), key=str) == brute(rows, n, num, 100)
 
 
+def test_long_lists_are_searched_in_blocks(spark, docs_of, monkeypatch):
+    """One shingle sequence in a third of all documents, copies around two centres that few members link with directly."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(300)]
+    common = " ".join(rng.choice(words) for _ in range(30))
+    rows = [(i, f"{common} {' '.join(rng.choice(words) for _ in range(rng.choice([2, 3, 40])))}") for i in range(60)]
+    centre = [rng.choice(words) for _ in range(120)]
+    for i in range(80):
+        text = list(centre)
+        for _ in range(rng.choice([1, 2, 3, 4, 5])):
+            at = rng.randrange(118)
+            text[at:at + 2] = [rng.choice(words), rng.choice(words)]
+        rows.append((100 + i, " ".join(text)))
+    rows += make_rows(7)[:60]
+    rng.shuffle(rows)
+    rows = [(n, t) for n, (_, t) in enumerate(rows)]
+    want = brute(rows, 5, 80, 100)
+    for short, query, node in ((1, 3, 5), (2, 500, 500), (10**6, 1, 1)):
+        for name, value in (("SHORT_LIST", short), ("QUERY_BLOCK", query), ("NODE_BLOCK", node)):
+            monkeypatch.setattr(jaccard, name, value)
+        got = jaccard.similar_groups(docs_of(rows), n=5, num=80, den=100).select("doc_id", "n_shingles", "component_id").collect()
+        assert sorted(map(tuple, got), key=str) == want
+
+
 def test_empty(spark, docs_of):
     assert jaccard.similar_groups(docs_of([])).count() == 0
     assert [tuple(r)[:3] for r in jaccard.similar_groups(docs_of([(3, None)])).collect()] == [(3, 0, 3)]
