@@ -30,11 +30,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storewatch.llm.packed import limit_batches
-from storewatch.llm.tokens import token_ids
+from storewatch.llm.tokens import token_ids, vocab_size
 from storewatch.llm.words import row_slices
 from storewatch.session import Scope, cut_lineage
+from storewatch.sources.tables import small_side
 
 CLASSES = 32
+OFFSET_ROWS = 500_000  # (length, task) counts that are broadcast; beyond it the pieces are shuffled to them
 Group = tuple[int, tuple[tuple[int, int], ...]]  # sequences, ((length, pieces of it in each), ...)
 
 
@@ -160,12 +162,24 @@ def plan(histogram: np.ndarray, capacity: int, classes: int = CLASSES, most: int
     return _best_fit(left, groups, capacity)
 
 
+def id_type(tokenizer: str) -> str:
+    """Numpy type of stored ids: 16 bits if they hold every id of the vocabulary, else 32."""
+    return "<u2" if vocab_size(tokenizer) <= 1 << 16 else "<u4"
+
+
+def unpack_ids(raw: bytes, length: int) -> np.ndarray:
+    """The ids of a stored piece of ``length`` ids."""
+    return np.frombuffer(raw, "<u2" if len(raw) == 2 * length else "<u4")
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "doc_id", text_col: str = "text",
-           end_id: int = 0, with_ids: bool = False, slice_bytes: int = 4 << 20) -> DataFrame:
-    """One row per piece of at most ``capacity`` tokens: doc_id, piece, start, length, ids_crc32, ids (null unless
-    ``with_ids``), and part, nth: the task that made it and its number among that task's pieces of the length."""
+           end_id: int = 0, with_ids: bool = False, slice_bytes: int = 8 << 20) -> DataFrame:
+    """One row per piece of at most ``capacity`` tokens: doc_id, piece, start, length, ids_crc32, ids (null unless ``with_ids``:
+    little-endian unsigned numbers of :func:`id_type`), and part, nth: the task that made it and its number among that task's
+    pieces of the length."""
+    kind = id_type(tokenizer)
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
-                        ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int64())), ("part", pa.int32()), ("nth", pa.int64())])
+                        ("ids_crc32", pa.int64()), ("ids", pa.binary()), ("part", pa.int32()), ("nth", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
@@ -180,9 +194,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "doc_id
                 first = off[row] + start
                 raw = ids.astype("<u4")
                 parts = [raw[a:b] for a, b in zip(first, first + length, strict=True)]
-                kept = pa.nulls(len(parts), pa.list_(pa.int64()))
+                kept = pa.nulls(len(parts), pa.binary())
                 if with_ids:  # pieces follow each other in ``ids`` without a gap
-                    kept = pa.ListArray.from_arrays(pa.array(np.append(first, len(ids)), pa.int32()), pa.array(ids, pa.int64()))
+                    small = ids.astype(kind)
+                    bounds = (np.append(first, len(ids)) * small.itemsize).astype(np.int32)
+                    kept = pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer(bounds), pa.py_buffer(small)])
                 order = np.argsort(length, kind="stable")
                 run = np.concatenate([[True], np.diff(length[order]) != 0]) if len(order) else np.zeros(0, bool)
                 at = np.arange(len(order))
@@ -196,7 +212,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "doc_id
                     "part": np.full(len(row), part, np.int32), "nth": nth}, schema=schema)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<long>, "
+    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, "
                                 "part int, nth long")
 
 
@@ -223,6 +239,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "d
         table = spark.createDataFrame(slots, "length long, lo long, hi long, base long, each long, first long")
         before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
         offsets = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+        offsets = small_side(scope.table(offsets), OFFSET_ROWS)  # pieces stay where they are if the counts of all tasks are few
         ranked = made.join(offsets, ["length", "part"]).withColumn("rank", F.col("nth") + F.col("before"))
         inside = (ranked["length"] == table["length"]) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
         at = F.col("rank") - F.col("lo")
@@ -239,18 +256,33 @@ def digests(packed: DataFrame) -> DataFrame:
     names = [c for c in packed.columns if c != "ids"]
     at = packed.columns.index("ids")
 
+    length = packed.columns.index("length")
+
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            col = batch.column(at)
-            ids, off = np.asarray(col.values).astype("<u4"), np.asarray(col.offsets)
-            made = {"length": pa.array(np.diff(off), pa.int64()),
-                    "ids_crc32": pa.array([zlib.crc32(ids[a:b].tobytes()) for a, b in zip(off[:-1], off[1:], strict=True)], pa.int64())}
+            ids = [unpack_ids(raw, n) for raw, n in zip(batch.column(at).to_pylist(), batch.column(length).to_pylist(), strict=True)]
+            made = {"length": pa.array([len(i) for i in ids], pa.int64()), "ids_crc32": pa.array([zlib.crc32(i.astype("<u4")) for i in ids], pa.int64())}
             yield pa.RecordBatch.from_arrays([made.get(n, batch.column(batch.schema.get_field_index(n))) for n in names], names=names)
 
     return packed.mapInArrow(digest, packed.select(*names).schema)
 
 
+def with_arrays(packed: DataFrame) -> DataFrame:
+    """The rows of :func:`pack` (needs ``with_ids``) with ``ids`` as an array of numbers."""
+    limit_batches(packed.sparkSession)
+    at, length = packed.columns.index("ids"), packed.columns.index("length")
+    ddl = ", ".join(f"{f.name} {'array<long>' if f.name == 'ids' else f.dataType.simpleString()}" for f in packed.schema.fields)
+
+    def open_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [unpack_ids(raw, n).astype(np.int64) for raw, n in zip(batch.column(at).to_pylist(), batch.column(length).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int64())) if i == at else c for i, c in enumerate(batch.columns)],
+                                             names=batch.schema.names)
+
+    return packed.mapInArrow(open_, ddl)
+
+
 def sequences(packed: DataFrame) -> DataFrame:
     """sequence_id, ids: the packed sequences themselves (needs ``with_ids``); at most ``capacity`` ids a row."""
     parts = F.sort_array(F.collect_list(F.struct("offset", "ids")))
-    return packed.groupBy("sequence_id").agg(F.flatten(F.transform(parts, lambda p: p["ids"])).alias("ids"))
+    return with_arrays(packed).groupBy("sequence_id").agg(F.flatten(F.transform(parts, lambda p: p["ids"])).alias("ids"))

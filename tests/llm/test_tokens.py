@@ -10,24 +10,27 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from storewatch.llm import packing, token_file
+from storewatch.llm import packing, token_file, tokens
 from storewatch.llm.tokens import token_ids
 from storewatch.session import cut_lineage, new_folder
 
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 TEXTS = ["", "  ", " a  b\n\n c\t", "don't 's  x", "é　 a \xa0 b", None, "a<|endoftext|> b", "tab\t\t \n", "x\x1c  y", "Σας ΑΣ",
-         "e ́a", "日本 語  テスト", "  z", "w" * 5000, "12 345.6\r\n"]
+         "e ́a", "日本 語  テスト", "  z", "w" * 5000, "12 345.6\r\n", "a  <|endoftext|>  b", "<|endoftext|><|startoftext|> x", "a <|endoftext|", "x <|ENDOFTEXT|> y", "It's a-b, don't.Stop'S (ok)!? a= b"]
 
 
-def direct(path, texts):
+def direct(path, texts, literal=False):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = literal
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_ids_equal_direct_encoding(path):
     col = pa.array(TEXTS)
+    for literal in (True, False):
+        ids, off = token_ids(col, path, literal=literal)
+        assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == direct(path, TEXTS, literal)
     want = direct(path, TEXTS)
     ids, off = token_ids(col, path)
     assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == want
@@ -44,6 +47,21 @@ def test_chunks_never_change_ids(texts):
         assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == direct(path, texts)
 
 
+def test_memory_of_chunks_is_bounded_and_right(monkeypatch):
+    monkeypatch.setattr(tokens, "_MEMO_CHUNKS", 40)
+    monkeypatch.setattr(tokens, "_AT_ONCE", 7)
+    tokens._load.cache_clear()
+    try:
+        for i in range(5):
+            texts = [" ".join(f"word{(i * 7 + j) % 60} é{j}" for j in range(30)) for _ in range(3)]
+            ids, off = token_ids(pa.array(texts), BYTE, 0)
+            assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == [x + [0] for x in direct(BYTE, texts)]
+        memo = tokens._load(BYTE, False)[1]
+        assert 40 <= len(memo.name) < 130 and (np.diff(memo.name[:, 0].astype(float)) >= 0).all()
+    finally:
+        tokens._load.cache_clear()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 32), st.integers(0, 300), st.integers(0, 2**32 - 1))
 def test_pack_round_trip(bits, n, seed):
@@ -136,7 +154,8 @@ def test_pack(spark, docs_of):
     rows = [(i, f"some words {i} " * (i * 7 % 60)) for i in range(300)] + [(None, None), (5, ""), (5, ""), (900, "long " * 5000)]
     df = docs_of(rows).selectExpr("*", "1 as piece", "2 as length", "3 as offset")
     packed = packing.pack(df, WORD, capacity=256, with_ids=True)
-    got = packed.collect()
+    got = packing.with_arrays(packed).collect()
+    assert {len(r.ids) / r.length for r in packed.collect()} == {2.0}
     want = {}
     for (i, _), ids in zip(rows, direct(WORD, [r[1] for r in rows])):
         ids = ids + [0]
