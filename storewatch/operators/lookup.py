@@ -16,12 +16,14 @@ def store_timeline(df: DataFrame, store: str | None = None, start: str | None =
                    periods: DataFrame | None = None) -> DataFrame:
     """Rows of one store (or all), months ``start``..``end`` (first days, inclusive), in (store, month) order.
 
-    ``periods``: table of store, start, end instead; a null bound is open, stores not listed are left out."""
+    ``periods``: table of store, start, end instead; a null bound is open, stores not listed are left out, a store listed
+    several times has the rows of all its periods once."""
     d = df
     if periods is not None:
-        p = periods.select(F.col(KEY_MCT), F.col("start").alias("_start"), F.col("end").alias("_end"))
-        d = d.join(p, KEY_MCT).where(F.coalesce(F.col(KEY_YM) >= F.col("_start"), F.lit(True))
-                                     & F.coalesce(F.col(KEY_YM) <= F.col("_end"), F.lit(True))).drop("_start", "_end")
+        p = periods.select(F.col(KEY_MCT).alias("_store"), F.col("start").alias("_start"), F.col("end").alias("_end"))
+        inside = (F.coalesce(F.col(KEY_YM) >= F.col("_start"), F.col("_start").isNull())
+                  & F.coalesce(F.col(KEY_YM) <= F.col("_end"), F.col("_end").isNull()))
+        d = d.join(p, (F.col(KEY_MCT) == F.col("_store")) & inside, "left_semi")
     if store is not None:
         d = d.where(F.col(KEY_MCT) == store)
     if start is not None:
@@ -52,9 +54,12 @@ def history(df: DataFrame, store_id: str | None = None, start: str | None = None
 def apply_thresholds(scores: DataFrame, config: DataFrame, defaults: tuple = (0.20, 0.30, 0.40)) -> DataFrame:
     """Alert of every score by its store's thresholds where it has an enabled configuration, else by the defaults.
 
-    ``config``: store, yellow, orange, red, enabled, channels (array); one row per store.  ``channels`` is kept for
-    alerts above GREEN of enabled stores and null otherwise."""
-    c = config.where("enabled").select(KEY_MCT, *[F.col(n).alias(f"_{n}") for n in ("yellow", "orange", "red", "channels")])
+    ``config``: store, yellow, orange, red, enabled, channels (array).  A store configured several times has its newest
+    configuration by ``updated_at`` (if the table has it; then the largest values).  ``channels`` is kept for alerts above GREEN of
+    enabled stores and null otherwise."""
+    order = [c for c in ("updated_at", "yellow", "orange", "red", "enabled", "channels") if c in config.columns]
+    one = config.groupBy(KEY_MCT).agg(F.max_by(F.struct(*order), F.struct(*order)).alias("c")).select(KEY_MCT, "c.*")
+    c = one.where("enabled").select(KEY_MCT, *[F.col(n).alias(f"_{n}") for n in ("yellow", "orange", "red", "channels")])
     p = F.col("p_final")
     y, o, r = (F.coalesce(f"_{n}", F.lit(v)) for n, v in zip(("yellow", "orange", "red"), defaults))
     d = scores.join(c, KEY_MCT, "left").withColumn(

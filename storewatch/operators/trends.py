@@ -56,3 +56,23 @@ def period_report(risk: DataFrame, start: str, end: str) -> DataFrame:
         F.count(F.when(F.col("Alert") == "RED", 1)).alias("n_red"),
         F.count(F.when(F.col("Alert").isin("RED", "ORANGE"), 1)).alias("n_orange_or_red"),
         F.min(KEY_YM).alias("first_month"), F.max(KEY_YM).alias("last_month"))
+
+
+def period_report_json(risk: DataFrame, start: str, end: str) -> DataFrame:
+    """The period report of a store as one JSON text: its summary and its months in order (numbers with six decimals)."""
+    number = lambda c: F.round(F.col(c), 6).cast("decimal(18,6)").alias(c)
+    text = lambda c: F.date_format(c, "yyyy-MM").alias(c)
+    d = risk.where(F.col(KEY_YM).between(F.to_date(F.lit(start + "-01")), F.to_date(F.lit(end + "-01"))))
+    months = d.groupBy(F.col(KEY_MCT).alias("store_id")).agg(F.sort_array(F.collect_list(F.struct(
+        F.date_format(KEY_YM, "yyyy-MM").alias("month"), number("p_final"), number("RiskScore"), F.col("Alert").alias("alert")))).alias("months"))
+    summary = period_report(risk, start, end).select("store_id", F.struct(
+        "n_months", number("mean_p_final"), number("max_p_final"), "n_red", "n_orange_or_red", text("first_month"), text("last_month")).alias("summary"))
+    return summary.join(months, "store_id").select("store_id", F.to_json(F.struct("store_id", "summary", "months")).alias("content"))
+
+
+def high_risk_stores(scores: DataFrame, threshold: float = 0.4) -> DataFrame:
+    """The stores of each month whose score reaches the threshold, highest first (``place`` within the month; ties by store)."""
+    from pyspark.sql import Window
+    order = Window.partitionBy("target_month").orderBy(F.col("p_final").desc(), "store_id")
+    high = scores.where(F.col("p_final") >= threshold).select("target_month", "store_id", "p_final")
+    return high.withColumn("place", F.row_number().over(order))

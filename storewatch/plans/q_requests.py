@@ -2,15 +2,25 @@
 fallback, history, batch and feedback summaries, per-store alert thresholds, trend, period report."""
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storewatch.constants import BASE_MARKET, KEY_MCT, KEY_YM
+from storewatch.operators.factors import COMPONENT_WEIGHTS, TERMS, risk_factors
+from storewatch.operators.prepare import load_and_join, normalize_bins
 from storewatch.operators.quickscore import predict_or_score, quickscore, validate_requests
-from storewatch.operators.trends import explain_factors, period_report, trend_forecast
+from storewatch.operators.trends import explain_factors, high_risk_stores, period_report, period_report_json, trend_forecast
+from storewatch.operators.validate import validate_configs, validate_forecast_requests, validate_history_requests
 from storewatch.operators.lookup import apply_thresholds, history
 from storewatch.plans.catalog import panel, r6, register, scored
 from storewatch.plans.oracle_panel import panel_ctes
-from storewatch.plans.oracle_risk import r6s, scored_ctes
+from storewatch.plans.oracle_risk import r6s, scored_ctes, zero01
+from storewatch.session import ensure_checkpoint_dir
+from storewatch.streaming.streams import read_stream_like
+from storewatch.streaming.tables import FeedbackTable, run_into
 from storewatch.sources.requests import REQUEST_SQL, request_table
 
 
@@ -116,21 +126,29 @@ def q_recommend(spark, sf):
                                  F.concat_ws(" | ", "recommendations").alias("recommendations"))
 
 
-_POS_SQL = f"""{scored_ctes(True)}, {QS_SQL},
+_POS_SQL = f"""{scored_ctes(True)}, {REQUEST_SQL},
+req2 AS (SELECT * FROM req UNION ALL SELECT DISTINCT store_id, '2099-01', NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM req),
+{qs_ctes('req2')},
 st AS (SELECT ENCODED_MCT AS store_id, strftime(TA_YM, '%Y-%m') AS target_month, COALESCE(Sales_Risk, 0) AS s,
   COALESCE(Customer_Risk, 0) AS c, COALESCE(Market_Risk, 0) AS m, COALESCE(p_final, 0) AS spf FROM alerted),
 pos AS (SELECT q.store_id, q.target_month,
   CASE WHEN st.store_id IS NOT NULL THEN 'model' WHEN (COALESCE(sales_1m, 0) <> 0 OR COALESCE(sales_3m_avg, 0) <> 0
     OR COALESCE(cust_1m, 0) <> 0 OR COALESCE(cust_3m_avg, 0) <> 0) THEN 'quick' ELSE 'not_found' END AS source,
-  CASE WHEN st.store_id IS NOT NULL THEN ROUND(0.4 * s + 0.3 * c + 0.3 * m, 6) ELSE q.risk_score END AS risk_score,
-  CASE WHEN st.store_id IS NOT NULL THEN spf ELSE q.p_final END AS p_final,
+  CASE WHEN st.store_id IS NOT NULL THEN ROUND(0.4 * s + 0.3 * c + 0.3 * m, 6) 
+    WHEN COALESCE(sales_1m, 0) <> 0 OR COALESCE(sales_3m_avg, 0) <> 0 OR COALESCE(cust_1m, 0) <> 0 OR COALESCE(cust_3m_avg, 0) <> 0 THEN q.risk_score END AS risk_score,
+  CASE WHEN st.store_id IS NOT NULL THEN spf WHEN COALESCE(sales_1m, 0) <> 0 OR COALESCE(sales_3m_avg, 0) <> 0 OR COALESCE(cust_1m, 0) <> 0
+    OR COALESCE(cust_3m_avg, 0) <> 0 THEN q.p_final END AS p_final,
   CASE WHEN st.store_id IS NOT NULL THEN (CASE WHEN spf >= 0.9 THEN 'RED' WHEN spf >= 0.7 THEN 'ORANGE' ELSE 'GREEN' END)
-    ELSE q.alert END AS alert
+    WHEN COALESCE(sales_1m, 0) <> 0 OR COALESCE(sales_3m_avg, 0) <> 0 OR COALESCE(cust_1m, 0) <> 0 OR COALESCE(cust_3m_avg, 0) <> 0 THEN q.alert END AS alert
   FROM rq q LEFT JOIN st ON q.store_id = st.store_id AND q.target_month = st.target_month)"""
 
 
 def _pos(spark, sf):
-    return predict_or_score(_req(spark, sf), scored(spark, sf))
+    """Every request, and one of each store for a month that is not scored, without any figures."""
+    req = _req(spark, sf)
+    bare = req.select("store_id").distinct().select("store_id", F.lit("2099-01").alias("target_month"), *[
+        F.lit(None).cast(f.dataType).alias(f.name) for f in req.schema.fields if f.name not in ("store_id", "target_month")])
+    return predict_or_score(req.unionByName(bare), scored(spark, sf))
 
 
 @register("predict_or_score", f"""WITH {_POS_SQL}
@@ -193,18 +211,83 @@ def q_batch_analysis(spark, sf):
         cnt(F.col("alert") == "RED").alias("n_red"), cnt(F.col("source") == "model").alias("n_model"))
 
 
-@register("feedback_summary", f"""WITH {_POS_SQL},
-fb AS (SELECT target_month, 5 - LEAST(4, CAST(floor(p_final * 10) AS INTEGER)) AS rating,
-  CASE WHEN source = 'model' THEN 1 WHEN source = 'quick' THEN 0 END AS was_accurate FROM pos)
+_FEEDBACK_SQL = """fb AS (SELECT store_id || '/' || target_month AS id, target_month, 5 - LEAST(4, CAST(floor(p_final * 10) AS INTEGER)) AS rating,
+  CASE WHEN source = 'model' THEN 1 WHEN source = 'quick' THEN 0 END AS was_accurate FROM pos WHERE source <> 'not_found')"""
+
+
+def _feedback_table(spark, sf):
+    """The feedback of every answered request (rating from the score, accuracy from the answer's source), and one more of every third
+    store with a rating out of range or no session, as a stream whose batches all come twice, in the feedback table."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/feedback/{uuid.uuid4().hex}"
+    p = _pos(spark, sf).where("source <> 'not_found'")
+    key = F.concat_ws("/", "store_id", "target_month")
+    rating = F.lit(5) - F.least(F.lit(4), F.floor(F.col("p_final") * 10).cast("int"))
+    rows = p.select(key.alias("id"), F.concat(F.lit("s"), F.col("store_id")).alias("session_id"), key.alias("prediction_id"), rating.alias("rating"),
+                    F.lit("").alias("comment"), F.when(F.col("source") == "model", True).when(F.col("source") == "quick", False).alias("was_accurate"),
+                    F.to_timestamp(F.concat("target_month", F.lit("-02"))).alias("created_at"), F.lit(None).cast("string").alias("api_key"))
+    n = F.regexp_extract("session_id", "([0-9]+)", 1).cast("long")
+    bad = rows.where(n % 3 == 0).withColumns({"id": F.concat(F.lit("bad/"), F.col("id")), "rating": F.when(n % 2 == 0, 9).otherwise(F.col("rating")),
+                                              "session_id": F.when(n % 2 == 0, F.col("session_id"))})
+    table = FeedbackTable(spark, f"{base}/table")
+
+    def sink(batch, batch_id):
+        table.append(batch, batch_id)
+        table.append(batch, batch_id)
+
+    run_into(read_stream_like(spark, rows.unionByName(bad), f"{base}/in", "created_at"), sink, f"{base}/_checkpoint")
+    return table
+
+
+@register("feedback_summary", f"""WITH {_POS_SQL}, {_FEEDBACK_SQL}
 SELECT target_month, COUNT(*) AS n, ROUND(AVG(rating), 6) AS avg_rating, ROUND(AVG(was_accurate), 6) AS accuracy
 FROM fb GROUP BY target_month""")
 def q_feedback_summary(spark, sf):
-    """Feedback rows (rating from the score, accuracy flag from the answer source) summarised per month."""
-    p = _pos(spark, sf)
-    fb = p.select("target_month", (F.lit(5) - F.least(F.lit(4), F.floor(F.col("p_final") * 10).cast("int"))).alias("rating"),
-                  F.when(F.col("source") == "model", 1).when(F.col("source") == "quick", 0).alias("was_accurate"))
-    return fb.groupBy("target_month").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("rating"), 6).alias("avg_rating"),
-                                          F.round(F.avg("was_accurate"), 6).alias("accuracy"))
+    """The feedback table summarised per month of the prediction."""
+    fb = _feedback_table(spark, sf).rows()
+    return fb.groupBy(F.substring_index("prediction_id", "/", -1).alias("target_month")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("rating"), 6).alias("avg_rating"),
+        F.round(F.avg(F.col("was_accurate").cast("int")), 6).alias("accuracy"))
+
+
+@register("feedback_append", f"""WITH {_POS_SQL}, {_FEEDBACK_SQL}, k AS (SELECT *, CAST(split_part(id, '/', 1) AS BIGINT) AS s FROM fb)
+SELECT id, rating, was_accurate, '' AS reasons FROM k
+UNION ALL SELECT 'bad/' || id, CASE WHEN s % 2 = 0 THEN 9 ELSE rating END, was_accurate, CASE WHEN s % 2 = 0 THEN 'rating' ELSE 'session_id' END
+FROM k WHERE s % 3 = 0""")
+def q_feedback_append(spark, sf):
+    """Accepted feedback, each once although every batch was written twice, and what was rejected, with the reasons."""
+    table = _feedback_table(spark, sf)
+    cols = ["id", "rating", F.col("was_accurate").cast("int").alias("was_accurate")]
+    return table.rows().select(*cols, F.lit("").alias("reasons")).unionByName(
+        table.rejected().select(*cols, F.concat_ws(",", "reasons").alias("reasons")))
+
+
+@register("high_risk_stores", f"""WITH {_POS_SQL}
+SELECT target_month, store_id, ROUND(p_final, 6) AS p_final, row_number() OVER (PARTITION BY target_month ORDER BY ROUND(p_final, 6) DESC, store_id) AS place
+FROM pos WHERE ROUND(p_final, 6) >= 0.4""")
+def q_high_risk_stores(spark, sf):
+    """Stores of each month with a score of 0.4 or more, highest first."""
+    p = _pos(spark, sf).withColumn("p_final", F.round("p_final", 6))
+    return high_risk_stores(p).select("target_month", "store_id", "p_final", "place")
+
+
+@register("validate_more", f"""WITH {panel_ctes()}, k AS (SELECT CAST(ENCODED_MCT AS BIGINT) AS s, ENCODED_MCT AS id FROM ds1)
+SELECT 'config' AS shape, id, concat_ws(',', CASE WHEN s % 7 = 0 THEN 'orange' END, CASE WHEN s % 5 = 0 THEN 'red' END, CASE WHEN s % 4 = 1 THEN 'channels' END) AS reasons FROM k
+UNION ALL SELECT 'history', id, concat_ws(',', CASE WHEN s % 3 = 0 THEN 'start' END, CASE WHEN s % 4 IN (0, 3) THEN 'limit' END,
+  CASE WHEN s % 3 <> 0 AND s % 5 = 2 THEN 'period' END) FROM k
+UNION ALL SELECT 'forecast', id, CASE WHEN s % 15 IN (0, 13, 14) THEN 'months_ahead' ELSE '' END FROM k""")
+def q_validate_more(spark, sf):
+    """Rules of alert configurations, history and forecast requests, on requests made from the stores, some of them broken."""
+    m = panel(spark, sf).merchants.select(F.col(KEY_MCT).alias("store_id"), F.col(KEY_MCT).cast("long").alias("s"))
+    s = F.col("s")
+    configs = m.withColumns({"yellow": F.lit(None).cast("double"), "orange": F.when(s % 7 == 0, -0.1).otherwise(0.3), "red": F.when(s % 5 == 0, 1.5).otherwise(1.0),
+                             "channels": F.when(s % 4 == 1, F.array(F.lit("email"), F.lit("fax"))).when(s % 4 == 2, F.array(F.lit("sms")))})
+    asked = m.withColumns({"start": F.when(s % 3 == 0, "1996-13").when(s % 5 == 2, "1997-06"), "end": F.when(s % 5 == 2, "1997-01"),
+                           "limit": F.when(s % 4 == 0, 0).when(s % 4 == 1, 1).when(s % 4 == 2, 1000).otherwise(1001)})
+    asked = asked.withColumn("end", F.when(s % 3 != 0, F.col("end")))
+    ahead = m.withColumn("months_ahead", (s % 15).cast("int"))
+    parts = [("config", validate_configs(configs)), ("history", validate_history_requests(asked)), ("forecast", validate_forecast_requests(ahead))]
+    return reduce(DataFrame.unionByName, [v.select(F.lit(n).alias("shape"), F.col("store_id").alias("id"), F.concat_ws(",", "reasons").alias("reasons"))
+                                          for n, v in parts])
 
 
 @register("custom_alerts", f"""WITH {scored_ctes(True)},
@@ -266,3 +349,55 @@ def q_period_report(spark, sf):
     out = period_report(scored(spark, sf), "1996-01", "1998-12")
     return out.select("store_id", "n_months", *r6("mean_p_final", "max_p_final"), "n_red", "n_orange_or_red",
                       "first_month", "last_month")
+
+
+_TERM_SQL = {"_s_drop": "s_drop", "_s_aov": "s_aov", "_s_cxl": "s_cxl", "_s_peer": zero01("(ind_rank + bzn_rank) / 2.0"), "_dlv * _jump": "dlv * jump",
+             "_c_drop": "c_drop", "_c_loyal": "c_loyal", "_c_acq": "c_acq", "_c_mix": "c_mix", "_c_type": "c_type",
+             "_m_closure": "m_closure", "_m_under": "m_under", "_m_age": "m_age"}
+
+
+def _terms_sql() -> str:
+    rows = [f"SELECT t.ENCODED_MCT, t.TA_YM, r.RiskScore, {i} AS place, '{c}' AS component, '{name}' AS factor, {_TERM_SQL[term]} AS value, "
+            f"ROUND({COMPONENT_WEIGHTS[c] * w}::DOUBLE * ({_TERM_SQL[term]}), 9) AS part, '{text}' AS insight "
+            "FROM terms t JOIN risks r ON t.ENCODED_MCT = r.ENCODED_MCT AND t.TA_YM = r.TA_YM" for i, (c, name, w, term, text) in enumerate(TERMS)]
+    return "fx AS (" + " UNION ALL ".join(rows) + ")"
+
+
+@register("risk_factors", f"""WITH {scored_ctes(True)}, {_terms_sql()}
+SELECT ENCODED_MCT, TA_YM, component, factor, ROUND(value, 6) AS value, ROUND(part, 6) AS contribution, 1 AS adds_up FROM fx""")
+def q_risk_factors(spark, sf):
+    """The thirteen terms behind every RiskScore; their contributions add up to it."""
+    f = _factors(spark, sf)
+    total = F.aggregate("factors", F.lit(0.0), lambda a, x: a + x["contribution"])
+    f = f.withColumn("adds_up", (F.abs(total - F.col("RiskScore")) < 1e-9).cast("int"))
+    f = f.select(KEY_MCT, KEY_YM, "adds_up", F.explode("factors").alias("f")).select(KEY_MCT, KEY_YM, "f.*", "adds_up")
+    return f.select(KEY_MCT, KEY_YM, "component", "factor", *r6("value"), F.round(F.round("contribution", 9), 6).alias("contribution"), "adds_up")
+
+
+def _factors(spark, sf):
+    p = panel(spark, sf)
+    return risk_factors(normalize_bins(load_and_join(p.merchants, p.usage, p.customers)))
+
+
+@register("risk_insights", f"""WITH {scored_ctes(True)}, {_terms_sql()},
+k AS (SELECT *, row_number() OVER (PARTITION BY ENCODED_MCT, TA_YM ORDER BY part DESC, place) AS rn FROM fx)
+SELECT ENCODED_MCT, TA_YM, ROUND(any_value(RiskScore), 6) AS RiskScore, CASE WHEN any_value(RiskScore) >= 0.5 THEN 'Critical'
+  WHEN any_value(RiskScore) >= 0.25 THEN 'High' WHEN any_value(RiskScore) >= 0.1 THEN 'Medium' ELSE 'Low' END AS severity,
+  any_value(factor) FILTER (WHERE rn = 1) AS top_factor,
+  coalesce(string_agg(insight, ' | ' ORDER BY rn) FILTER (WHERE rn <= 3 AND part >= 0.02), '') AS insights FROM k GROUP BY ENCODED_MCT, TA_YM""")
+def q_risk_insights(spark, sf):
+    """Severity, the largest factor and what to look at first, of every store-month."""
+    return _factors(spark, sf).select(KEY_MCT, KEY_YM, *r6("RiskScore"), "severity", F.col("factors")[0]["factor"].alias("top_factor"),
+                                      F.concat_ws(" | ", "insights").alias("insights"))
+
+
+@register("period_report_json", f"""WITH {scored_ctes(True)}, n AS (SELECT *, CAST(ROUND(p_final, 6) AS DECIMAL(18, 6)) AS p, CAST(ROUND(RiskScore, 6) AS DECIMAL(18, 6)) AS r
+  FROM alerted WHERE TA_YM BETWEEN DATE '1996-01-01' AND DATE '1998-12-01')
+SELECT ENCODED_MCT AS store_id, '{{"store_id":"' || ENCODED_MCT || '","summary":{{"n_months":' || COUNT(*) || ',"mean_p_final":'
+  || CAST(ROUND(AVG(p_final), 6) AS DECIMAL(18, 6)) || ',"max_p_final":' || MAX(p) || ',"n_red":' || COUNT(*) FILTER (WHERE Alert = 'RED')
+  || ',"n_orange_or_red":' || COUNT(*) FILTER (WHERE Alert IN ('RED', 'ORANGE')) || ',"first_month":"' || strftime(MIN(TA_YM), '%Y-%m')
+  || '","last_month":"' || strftime(MAX(TA_YM), '%Y-%m') || '"}},"months":[' || string_agg('{{"month":"' || strftime(TA_YM, '%Y-%m') || '","p_final":' || p
+  || ',"RiskScore":' || r || ',"alert":"' || Alert || '"}}', ',' ORDER BY TA_YM) || ']}}' AS content FROM n GROUP BY ENCODED_MCT""")
+def q_period_report_json(spark, sf):
+    """The three-year report of every store as JSON."""
+    return period_report_json(scored(spark, sf), "1996-01", "1998-12")
