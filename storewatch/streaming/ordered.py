@@ -11,10 +11,12 @@ survive a lost executor with the query's checkpoint.
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -40,6 +42,8 @@ class InOrder(StatefulProcessor):
 
     Rows travel as (time in microseconds, JSON of the other columns); rows of one time go by their JSON."""
 
+    numbers: tuple = ()  # result columns of doubles
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", "at long, row string")
@@ -75,7 +79,8 @@ class InOrder(StatefulProcessor):
         else:
             self.kept.update((json.dumps(kept),))
         if out:
-            yield pd.DataFrame(out)
+            made = pd.DataFrame(out)
+            yield made.astype({c: "float64" for c in self.numbers if c in made})
 
     def close(self) -> None:
         pass
@@ -83,6 +88,8 @@ class InOrder(StatefulProcessor):
 
 def in_order(stream: DataFrame, key: str, time: str, columns: list, delay: str, processor: StatefulProcessor, schema: str) -> DataFrame:
     """``stream`` through ``processor``, by key, in order of ``time``; rows more than ``delay`` behind the newest are dropped."""
+    # the query's helper process on the driver does not see files sent to the workers: it gets the classes themselves
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     rows = stream.select(F.col(key).cast("string").alias("key"), F.col(time).cast("timestamp").alias("ts"),
                          F.unix_micros(F.col(time).cast("timestamp")).alias("at"), F.to_json(F.struct(*columns)).alias("row"))
     # the condition names ts so that it stays behind the watermark, which rows without a key move too
@@ -92,6 +99,8 @@ def in_order(stream: DataFrame, key: str, time: str, columns: list, delay: str,
 
 
 class Alerts(InOrder):
+    numbers = ("p_final", "pbar")
+
     def rate(self, key, rows, kept):
         k = int(THRESHOLDS["persistence_k"])
         last, out = list(kept or []), []
@@ -118,6 +127,8 @@ RESULT = ["Sales_Risk", "Customer_Risk", "Market_Risk", "risk_score", "p_final",
 
 
 class FirstResult(InOrder):
+    numbers = tuple(RESULT[:-1])
+
     def __init__(self, within_s: int):
         self.within = within_s * 1_000_000
 
@@ -145,6 +156,8 @@ def reused_scores(scored: DataFrame, delay: str, within_s: int = 300) -> DataFra
 
 
 class Sessions(InOrder):
+    numbers = tuple(s for s in SLOTS if s not in ("industry_code", "region_code"))
+
     def __init__(self, ttl_s: int):
         self.ttl = ttl_s * 1_000_000
 
