@@ -23,13 +23,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storewatch.llm import packed
 from storewatch.llm.words import _flat, _run_hash, _spans, mix, row_slices
 
 SLICE = 2 << 20
+TRAIN_SLICE = 1 << 18   # on the driver, beside the features
 _CLASSES = {"upper": range(65, 91), "digit": range(48, 58), "stop": b".,;:'\"()-?", "symbol": b"$#%&*@^~<>{}[]|\\/_=+`", "shout": b"!"}
 _CLASS = {}
 for _name, _bytes in _CLASSES.items():
@@ -194,25 +195,39 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
+def _features(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Feature matrix of all lines and the rows' line offsets, made some rows at a time."""
+    parts, lines = [np.zeros((0, len(NAMES)))], [np.zeros(1, np.int64)]
+    for lo, hi in row_slices(col, TRAIN_SLICE):
+        features, _, starts = line_features(col.slice(lo, hi - lo))
+        parts.append(features)
+        lines.append(np.diff(starts))
+    return np.concatenate(parts), np.cumsum(np.concatenate(lines))
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-                max_train: int = 3_000, max_train_chars: int = 20_000) -> Model:
-    """Train on at most ``max_train`` labelled documents that are not held out."""
+                max_train: int = 3_000, max_train_chars: int = 8_000_000) -> Model:
+    """Train on labelled documents that are not held out, taken by a hash of their id while they are at most ``max_train`` and have at
+    most ``max_train_chars`` characters together; a document longer than all of that is not taken."""
     sample = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
               .filter(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
               .orderBy(F.xxhash64(F.col("id").cast("long")), "id", "label").limit(max_train))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = (texts.join(F.broadcast(sample), "id")      # at most max_train rows
-            .filter(F.coalesce(F.length("text"), F.lit(0)) <= max_train_chars)
+    found = texts.join(F.broadcast(sample), "id").withColumn("size", F.coalesce(F.length("text"), F.lit(0)).cast("long"))  # at most max_train ids
+    by = Window.orderBy(F.xxhash64(F.col("id").cast("long")), "id", "label", "key").rowsBetween(Window.unboundedPreceding, 0)
+    sized = found.filter(F.col("size") <= max_train_chars).select("id", "label", "size", F.xxhash64("text").alias("key"))
+    sized = sized.orderBy(F.xxhash64(F.col("id").cast("long")), "id", "label", "key").limit(max_train)
+    taken = sized.withColumn("run", F.sum("size").over(by)).filter(F.col("run") <= max_train_chars).select("id", "label", "key").distinct()
+    rows = (found.withColumn("key", F.xxhash64("text")).join(F.broadcast(taken), ["id", "label", "key"])
             .orderBy("id", "label", "text").limit(max_train).select("text", "label").toArrow())
     label = np.asarray(rows["label"].to_numpy(), np.int64)
     if not len(label):
         return train(np.zeros((0, len(NAMES))), np.zeros(1, np.int64), label)
-    features, _, starts = line_features(rows["text"].combine_chunks())
-    return train(features, starts, label)
+    return train(*_features(rows["text"].combine_chunks()), label)
 
 
-def score_quality(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """All rows and columns of ``docs`` with a struct ``quality_of_text``: score (0 to 1) and predicted (0 or 1)."""
+def score_quality(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3, out: str = "quality_of_text") -> DataFrame:
+    """All rows and columns of ``docs`` with a struct ``out``: score (0 to 1) and predicted (0 or 1)."""
     spark = docs.sparkSession
     packed.limit_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # some hundred numbers
@@ -232,4 +247,4 @@ def score_quality(docs: DataFrame, model: Model, text_col: str = "text", thresho
 
     done = rows.mapInArrow(score, f"{fields}, s double")
     return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)],
-                       F.struct(F.col("s").alias("score"), (F.col("s") >= threshold).cast("int").alias("predicted")).alias("quality_of_text"))
+                       F.struct(F.col("s").alias("score"), (F.col("s") >= threshold).cast("int").alias("predicted")).alias(out))

@@ -107,7 +107,10 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: the columns of ``docs``, each row as often as the plan takes it."""
     names = list(docs.columns)
     # positions keep names apart from the plan's own columns
-    safe = docs.select("*", *[F.col(f"`{c}`").alias(f"_kept_{i}") for i, c in enumerate(names)])
-    plan = mix_plan(safe, keep=tuple(f"_kept_{i}" for i in range(len(names))), **options)
+    kept = "_kept_"
+    while any(c.startswith(kept) for c in names):
+        kept += "_"
+    safe = docs.select("*", *[F.col(f"`{c}`").alias(f"{kept}{i}") for i, c in enumerate(names)])
+    plan = mix_plan(safe, keep=tuple(f"{kept}{i}" for i in range(len(names))), **options)
     again = plan.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return again.select(*[F.col(f"_kept_{i}").alias(c) for i, c in enumerate(names)])
+    return again.select(*[F.col(f"{kept}{i}").alias(c) for i, c in enumerate(names)])

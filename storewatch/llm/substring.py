@@ -238,9 +238,10 @@ def repeated_runs(docs: DataFrame, scope: Scope, id_col: str = "doc_id", text_co
     return scope.table(packed.regroup(_confirm(_extensions(with_hits, block, min_words, 2 * parts), parts), (PROBE,), parts))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 13) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 13,
+                   out: str = "repeats") -> DataFrame:
     """All rows of ``docs`` with the repeats cut out of ``text_col`` (with the white space that follows them), and
-    struct ``repeats``: n_words, n_removed, spans (array of start, end word of each maximal repeat)."""
+    struct ``out``: n_words, n_removed, spans (array of start, end word of each maximal repeat)."""
     if min_words < 2:
         raise ValueError("min_words must be at least 2")
     names = docs.columns
@@ -288,4 +289,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             "id", "key", "text", "k1", *[f"c{i}" for i in range(len(names))])
         done = cut_lineage(joined.mapInArrow(cut, out_schema))
     back = [F.col("cut").alias(c) if c == text_col else F.col(f"c{i}").alias(c) for i, c in enumerate(names)]
-    return done.select(*back, F.struct("n_words", "n_removed", "spans").alias("repeats"))
+    return done.select(*back, F.struct("n_words", "n_removed", "spans").alias(out))

@@ -120,7 +120,7 @@ def test_registered_queries_match_sql(spark):
     for f in os.listdir(SF):
         con.execute(f"create view {f.removesuffix('.parquet')} as select * from '{SF}/{f}'")
     names = [n for n in E.queries() if n.startswith("op") and n[2].isdigit()]
-    assert len(names) == 10 and "pipeline" in E.queries()
+    assert len(names) == 13 and "pipeline" in E.queries()
     for name in names:
         df = E.queries()[name](spark, SF)
         got = df.collect()
@@ -133,3 +133,35 @@ def test_registered_queries_match_sql(spark):
             a = sorted([tuple(str(norm(r[c])).removesuffix(".0") for c in cols) for r in got])
             b = sorted([tuple(str(norm(r[c])).removesuffix(".0") for c in cols) for r in want.to_dict("records")])
             assert a == b, name
+
+
+def test_stages_carry_columns_of_any_name_and_type(spark, corpus):
+    folder, _, _ = corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr(
+        "*", "1 as repeats", "'q' as quality_of_text", "doc_id * 2 as _key", "'k' as _kept_0", "map('a', doc_id) as tags", "3 as _own", "4 as _place")
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("quality classifier", "n-gram Jaccard join", "substring dedup", "mixing sources"):
+        out = cut_lineage(stages[name](spark, docs, folder))
+        assert out.columns == docs.columns and out.count() > 20
+        for r in out.collect():
+            assert (r.repeats, r.quality_of_text, r._key, r._kept_0, r._own) == (1, "q", r.doc_id * 2 if r.doc_id is not None else None, "k", 3)
+            assert r.tags == {"a": r.doc_id}
+
+
+def test_texts_that_share_an_id_are_documents_of_their_own(spark, docs_of):
+    near = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, "one text of its own with many words here"), (1, "quite another text that has nothing in common"), (2, near), (2, near), (3, near + " more"),
+            (4, None), (4, ""), (5, "x"), (5, "x")]
+    out = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"](spark, docs_of(rows), "").collect()
+    assert sorted((r.doc_id, r.text or "") for r in out) == sorted([rows[0], rows[1], rows[2], (4, ""), (4, ""), (5, "x")])
+
+
+def test_long_labelled_documents_are_learned_from(spark, docs_of):
+    from storewatch.llm import quality
+    rows = [(i, "Good line of words.\n" * 3000 if i % 2 else "$$$ ### !!!\n" * 3000) for i in range(30)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    model = quality.fit_quality(docs_of(rows), labels)
+    assert model.fitted
+    got = quality.score_quality(docs_of(rows), model).collect()
+    assert all(r.quality_of_text.predicted == r.doc_id % 2 for r in got)
+    assert not quality.fit_quality(docs_of(rows), labels, max_train_chars=1000).fitted
