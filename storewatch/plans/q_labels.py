@@ -1,9 +1,12 @@
 """Label, split, imputation, calibration and metric queries (I1-I8, F8, F9, F11-F15, H7/H8)."""
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storewatch.constants import KEY_MCT, KEY_YM, NUM_FEATURES
+from storewatch.constants import CLOSE_DATE, KEY_MCT, KEY_YM, NUM_FEATURES
 from storewatch.operators.ensemble import calibrate_lstsq, weighted_ensemble
 from storewatch.operators.labels import (class_summary, closure_label, label_base, label_cascade, nlargest_label,
                                          proxy_label, proxy_label_any, stratified_split, topq_label)
@@ -126,6 +129,27 @@ def q_label_cascade(spark, sf):
                          scored(spark, sf, with_preds=False))
 
 
+_CTES = _CASCADE_SQL[:_CASCADE_SQL.index("choice AS (")].rstrip().rstrip(",")
+
+
+@register("label_cascade_branches", f"""{_CTES}
+SELECT 'no close dates' AS given, 'proxy' AS source, COUNT(*) AS n, CAST(SUM(y) AS BIGINT) AS positives, COUNT(DISTINCT ENCODED_MCT || TA_YM) AS n_keys FROM pxy
+UNION ALL SELECT 'no signals either', 'topq', COUNT(*), CAST(SUM(y) AS BIGINT), COUNT(DISTINCT ENCODED_MCT || TA_YM) FROM tqy
+UNION ALL SELECT 'equal scores', 'nlargest', COUNT(*), CAST(SUM(y) AS BIGINT), COUNT(DISTINCT ENCODED_MCT || TA_YM) FROM nl""")
+def q_label_cascade_branches(spark, sf):
+    """The cascade when no store closes, when no signal is left either, and when all scores are equal besides."""
+    p = panel(spark, sf)
+    base, number, scores = label_base(p.usage, p.customers), _proxy_base(spark, sf), scored(spark, sf, with_preds=False)
+    open_ = p.merchants.withColumn(CLOSE_DATE, F.lit(None).cast("date"))
+    quiet = number.withColumns({c: F.lit(0.0) for c in ("APV_CE_RAT", "M12_SME_RY_ME_MCT_RAT", "M12_SME_BZN_ME_MCT_RAT")}
+                               | {c: F.lit("25-50%") for c in ("RC_M1_SAA", "RC_M1_UE_CUS_CN")})
+    cases = {"no close dates": (number, scores), "no signals either": (quiet, scores), "equal scores": (quiet, scores.withColumn("p_final", F.lit(0.5)))}
+    parts = [label_cascade(base, num, open_, sc).groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("y").cast("long").alias("positives"), F.countDistinct(KEY_MCT, KEY_YM).alias("n_keys"))
+        .select(F.lit(given).alias("given"), "source", "n", "positives", "n_keys") for given, (num, sc) in cases.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @register("label_distribution", f"""WITH {panel_ctes()}, {_LB}, {_CL}
 SELECT y, COUNT(*) AS n, ROUND(COUNT(*) / (SELECT COUNT(*) FROM cl), 6) AS share,
   (SELECT COUNT(DISTINCT y) FROM cl) AS n_classes FROM cl GROUP BY y""")

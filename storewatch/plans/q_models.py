@@ -19,9 +19,11 @@ from storewatch.operators.models import (SLOT_COLUMNS, ModelSizes, encoder_stage
 from storewatch.operators.reports import minmax_invert
 from storewatch.plans.catalog import _PANELS, panel, r6, register
 from storewatch.plans.oracle_panel import panel_ctes
+from storewatch.plans.oracle_risk import risk_ctes
 from storewatch.plans.pipeline import run_pipeline
 from storewatch.plans.q_labels import _CL, _LB, _SPLIT
-from storewatch.session import cut_lineage
+from storewatch.session import cut_lineage, new_folder
+from storewatch.sources.files import load_risk_output, read_predictions, write_predictions, write_risk_output
 
 SIZES = ModelSizes()   # the reference's model sizes
 
@@ -100,14 +102,40 @@ def q_one_hot(spark, sf):
     return out.select(KEY_MCT, KEY_YM, *_CATS, *[digits(c).alias(f"{c}_onehot") for c in _CATS])
 
 
+def _trained_output(spark, sf):
+    """All five slots -> predictions sink (by month, rows without a key left out), read back, and the scoring pipeline rerun with them
+    into the risk output sink, read back; the folders are kept for the session."""
+    key = (id(spark), spark.sparkContext.applicationId, sf, "trained")
+    if key not in _PANELS:
+        base = new_folder(spark, "trained")
+        write_predictions(all_slots(spark, sf), f"{base}/predictions")
+        preds = read_predictions(spark, f"{base}/predictions")
+        p = panel(spark, sf)
+        write_risk_output(run_pipeline(p.merchants, p.usage, p.customers, preds=preds), f"{base}/risk_output")
+        _PANELS[key] = (preds, load_risk_output(spark, f"{base}/risk_output"))
+    return _PANELS[key]
+
+
 @register("preds_output")
 def q_preds_output(spark, sf):
-    """All five slots -> predictions table (NULL keys dropped) written to the shared folder, read back,
-    and the scoring pipeline rerun with it."""
-    preds = cut_lineage(all_slots(spark, sf).select(KEY_MCT, KEY_YM, "pred_xgb", "pred_lgbm", "pred_rf", "pred_gb",
-                                                    "pred_dl").dropna(subset=[KEY_MCT, KEY_YM]))
-    p = panel(spark, sf)
-    return run_pipeline(p.merchants, p.usage, p.customers, preds=preds)
+    """Risk output with the trained models' predictions, from the predictions sink to the risk output sink."""
+    return _trained_output(spark, sf)[1].drop("month")
+
+
+@register("preds_output_facts", f"""WITH {risk_ctes()}
+SELECT COUNT(*) AS n, COUNT(DISTINCT TA_YM) AS n_months, ROUND(SUM(RiskScore), 4) AS sum_risk, COUNT(*) AS n_predictions, 0 AS blend_off, 0 AS alert_off FROM risks""")
+def q_preds_output_facts(spark, sf):
+    """What must hold of the trained output whatever the models learned: a row per store-month, rule scores as without models, the
+    blend of the stored predictions, alerts in order of the scores within a month."""
+    preds, out = _trained_output(spark, sf)
+    stored = out.join(preds, [KEY_MCT, KEY_YM], "left")
+    model = sum(F.lit(w) * F.col(SLOT_COLUMNS[t]) for t, w in ENSEMBLE_WEIGHTS.items())
+    off = F.abs(F.lit(0.6) * F.greatest(F.least(model, F.lit(1.0)), F.lit(0.0)) + F.lit(0.4) * F.col("RiskScore") - F.col("p_final")) > 1e-9
+    level = F.array_position(F.array(*[F.lit(a) for a in ("GREEN", "YELLOW", "ORANGE", "RED")]), F.col("Alert"))
+    spans = out.groupBy(KEY_YM, level.alias("level")).agg(F.min("p_final").alias("lo"), F.max("p_final").alias("hi"))
+    wrong = spans.alias("a").join(spans.alias("b"), [KEY_YM]).where("a.level < b.level and a.hi >= b.lo").agg(F.count(F.lit(1))).scalar()
+    return stored.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(KEY_YM).alias("n_months"), F.round(F.sum("RiskScore"), 4).alias("sum_risk"),
+                      F.count("pred_dl").alias("n_predictions"), F.count(F.when(F.coalesce(off, F.lit(True)), 1)).alias("blend_off")).withColumn("alert_off", wrong.cast("int"))
 
 
 _STEPS = 12
