@@ -10,14 +10,14 @@ the collisions of a pair are the projections in which its rank falls into the qu
 reach the count are verified by their cosine in double precision: nothing below the threshold is linked.
 
 Equal vectors are one class with a multiplicity, so copies are never paired.  Classes are ordered by the
-first projection and cut into strips of equal size; only strips that its window (with the same calibration)
-can bridge meet.  A task takes two strips and returns link counts per class and a spanning forest of its
+first projection and cut into strips of equal size, strips with many classes at one place into parts by a hash; only
+strips that its window (with the same calibration) can bridge meet.  A task takes two strips and returns link counts per class and a spanning forest of its
 links, never the links themselves.
 
 Scale: the work is the pairs that one projection's window cannot rule out.  Windows on single projections
 are wide in high dimensions, so the number of strip pairs still grows nearly with the square of the number
-of classes (each a task of fixed size and memory); the README gives figures.  Nothing grows on the driver
-but the strip bounds (one number per ``strip_rows`` classes).
+of classes (each a task of fixed size and memory); the README gives figures.  The driver holds the strip bounds (a few
+numbers per ``strip_rows`` classes); pairs of strips are made on the executors.
 
 Defined cases: null vectors, vectors with null or non-finite components and zero vectors link with nothing and
 are their own component; vectors of different length never link; rows that repeat an id share a
@@ -26,6 +26,7 @@ empty table gives an empty result; other columns are not read.
 """
 from __future__ import annotations
 
+import bisect
 import math
 from statistics import NormalDist
 
@@ -79,6 +80,8 @@ def link_strips(left: pa.Table, right: pa.Table, same: bool, threshold: float, p
                 recall: float, seed: int) -> pa.Table:
     """Links between two strips: kind 0 rows (node, key, vectors linked) and kind 1 rows (node, smaller node)."""
     x, y = _rows(left["vec"]), _rows(right["vec"])
+    if len(y) > 65_535:
+        raise ValueError("a strip has more rows than 16-bit ranks")
     nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
     line = directions(x.shape[1], projections, seed)
     px, py = (x / nx[:, None]) @ line, (y / ny[:, None]) @ line
@@ -99,13 +102,11 @@ def link_strips(left: pa.Table, right: pa.Table, same: bool, threshold: float, p
         enough = colliding(px[part], ranked, half) >= need
         if same:
             enough &= np.arange(len(y))[None, :] > np.arange(lo, part.stop)[:, None]
-        if enough.mean() > 0.02:
-            cosine = (x[part] @ y.T) / (nx[part, None] * ny[None, :])
-            q, c = np.nonzero(enough & (cosine >= threshold))
-        else:
-            q, c = np.nonzero(enough)
-            near = np.einsum("ij,ij->i", x[lo + q], y[c]) / (nx[lo + q] * ny[c]) >= threshold
-            q, c = q[near], c[near]
+        if enough.mean() > 0.02:  # one product rules most out; what is near the threshold is left to the same test as always
+            enough &= (x[part] @ y.T) / (nx[part, None] * ny[None, :]) >= threshold - 1e-9
+        q, c = np.nonzero(enough)
+        near = np.einsum("ij,ij->i", x[lo + q], y[c]) / (nx[lo + q] * ny[c]) >= threshold
+        q, c = q[near], c[near]
         q = q + lo
         np.add.at(links_x, q, many_y[c])
         np.add.at(links_y, c, many_x[q])
@@ -156,22 +157,24 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
 
         placed = scope.table(classes.mapInArrow(first, "key long, key2 long, node long, many long, vec array<double>, "
                                                        "size int, place double"))
-        pairs = _strip_pairs(placed, strip_rows, half)
-        strips = pairs.select("size", F.col("strip").alias("strip"), "lo", "hi").distinct()
+        strips = _strips(placed, strip_rows, half)
         dealt = placed.join(strips, (placed["size"] == strips["size"]) & (placed["place"] >= F.col("lo"))
                             & (placed["place"] < F.col("hi"))).select(placed["*"], "strip")
-        dealt = scope.table(dealt.drop("key2", "place"))
-        wanted = pairs.select("size", "strip", "other")
+        held = scope.table(dealt.groupBy("size", "strip").agg(F.ceil(F.count("*") / strip_rows).cast("int").alias("parts")))
+        part = F.pmod(F.xxhash64(F.lit(seed), "key", "key2"), F.col("parts")).cast("int")
+        dealt = scope.table(dealt.join(held, ["size", "strip"]).withColumn("part", part).drop("key2", "place", "parts"))
+        wanted = scope.table(_strip_pairs(strips, held))
         cols = ["node", "key", "many", "vec"]
-        left = dealt.join(wanted, ["size", "strip"]).select("size", "strip", "other", *cols)
-        right = dealt.withColumnRenamed("strip", "other").join(wanted, ["size", "other"]).select(
-            *[F.col(c).alias(c) for c in ("size", "strip", "other", *cols)])  # columns of its own: both sides are dealt
+        pair = ["size", "strip", "part", "other", "other_part"]
+        left = dealt.join(wanted, ["size", "strip", "part"]).select(*pair, *cols)
+        right = dealt.withColumnsRenamed({"strip": "other", "part": "other_part"}).join(wanted, ["size", "other", "other_part"]).select(
+            *[F.col(c).alias(c) for c in (*pair, *cols)])  # columns of its own: both sides are dealt
 
         def search(key, a: pa.Table, b: pa.Table) -> pa.Table:
-            same = key[1].as_py() == key[2].as_py()
+            same = key[1].as_py() == key[3].as_py() and key[2].as_py() == key[4].as_py()
             return link_strips(a, b, same, threshold, projections, width, recall, seed)
 
-        found = scope.table(left.groupBy("size", "strip", "other").cogroup(right.groupBy("size", "strip", "other"))
+        found = scope.table(left.groupBy(*pair).cogroup(right.groupBy(*pair))
                             .applyInArrow(search, "kind int, a long, b long, n long"))
         counts = found.filter("kind = 0").groupBy(F.col("a").alias("node"), F.col("b").alias("key")).agg(F.sum("n").alias("links"))
         moved = components(found.filter("kind = 1").select("a", "b"), scope)
@@ -185,16 +188,27 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
                                        F.coalesce(F.col("id") == component, F.lit(False)).alias("kept")))
 
 
-def _strip_pairs(placed: DataFrame, strip_rows: int, half: float) -> DataFrame:
-    """size, strip, other (>= strip), lo, hi of ``strip``: the strips whose gap the first projection's window bridges."""
-    spark = placed.sparkSession
+def _strips(placed: DataFrame, strip_rows: int, half: float) -> DataFrame:
+    """size, strip, lo, hi, last (the last strip whose gap to this one the first projection's window bridges)."""
     out = []
     for r in placed.groupBy("size").agg(F.count("*").alias("n")).collect():  # one row per vector length
         strips = -(-r.n // strip_rows)
         inner = placed.filter(F.col("size") == r.size).approxQuantile(
             "place", [i / strips for i in range(1, strips)], 0.1 / strips) if strips > 1 else []
         edges = [-math.inf, *sorted(set(inner)), math.inf]
-        spans = list(zip(edges[:-1], edges[1:], strict=True))
-        out += [(r.size, i, j, lo, hi) for i, (lo, hi) in enumerate(spans) for j in range(i, len(spans))
-                if j <= i + 1 or spans[j][0] - hi <= half]
-    return spark.createDataFrame(out, "size int, strip int, other int, lo double, hi double")
+        lows = edges[:-1]
+        out += [(r.size, i, lo, hi, min(len(lows) - 1, max(i + 1, bisect.bisect_right(lows, hi + half) - 1)))
+                for i, (lo, hi) in enumerate(zip(lows, edges[1:], strict=True))]
+    return placed.sparkSession.createDataFrame(out, "size int, strip int, lo double, hi double, last int")
+
+
+def _strip_pairs(strips: DataFrame, held: DataFrame) -> DataFrame:
+    """size, strip, part, other, other_part: the pieces that meet, each pair once.
+
+    A strip that holds more than its share (many classes at one place) has several parts; ``held``: parts of each strip."""
+    parts = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    met = strips.select("size", "strip", F.explode(F.sequence("strip", "last")).alias("other")).join(held, ["size", "strip"])
+    met = met.join(held.select("size", F.col("strip").alias("other"), F.col("parts").alias("others")), ["size", "other"])
+    met = met.select("size", "strip", "other", "others", parts("parts").alias("part")).select(
+        "size", "strip", "part", "other", parts("others").alias("other_part"))
+    return met.filter((F.col("other") > F.col("strip")) | (F.col("other_part") >= F.col("part")))

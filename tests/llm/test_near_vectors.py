@@ -94,3 +94,33 @@ def test_components_of_chains_and_stars(spark):
         got = {r.node: r.component for r in components(df, scope).collect()}
         assert got == {k: v for k, v in want.items() if k != v}
         assert components(df.limit(0), scope).count() == 0
+
+
+def test_many_classes_at_one_place_lose_no_link(spark):
+    """Vectors of one component all have the same direction: one strip, cut into parts."""
+    rows = [(i, [1.0 + i / 7]) for i in range(300)] + [(1000 + i, [-2.0 - i]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in N.near_vectors(df, strip_rows=32).collect()}
+    assert got == {i: (299, 0) if i < 1000 else (39, 1000) for i, _ in rows}
+
+
+def test_pairs_at_the_threshold_do_not_depend_on_their_block(spark):
+    """A pair within a rounding of the threshold is judged alike among many near vectors and among few."""
+    import numpy as np
+    rng = np.random.default_rng(3)
+    a = rng.standard_normal(24)
+    a /= np.linalg.norm(a)
+    side = rng.standard_normal(24)
+    side -= (side @ a) * a
+    side /= np.linalg.norm(side)
+    edge = [0.9 * a + np.sqrt(1 - 0.81) * side * (1 + k * 1e-16) for k in range(-6, 7)]
+    pairs = [(i, v) for i, v in enumerate([a, *edge])]
+    few = [(100 + i, rng.standard_normal(24)) for i in range(300)]
+    many = [(100 + i, a + 0.01 * rng.standard_normal(24)) for i in range(300)]
+    count = []
+    for others in (few, many):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in pairs + others], "vec_id long, embedding array<double>")
+        found = {r.vec_id: r.n_links for r in N.near_vectors(df).collect()}
+        near = sum(1 for _, v in others if a @ v / np.linalg.norm(v) >= 0.9)
+        count.append(found[0] - near)
+    assert count[0] == count[1]
