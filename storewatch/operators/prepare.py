@@ -39,10 +39,15 @@ def _key_columns(df: DataFrame) -> list:
 def unique_keys(df: DataFrame) -> DataFrame:
     """One row per key of a table whose keys are coerced: rows without a store key are rejected (they would all
     share one window), rows that repeat a key are reduced to the smallest one, so joins never multiply.
-    Keyed by (store, month), or by store alone when there is no month; see :func:`key_report`."""
+    Keyed by (store, month), or by store alone when there is no month; see :func:`key_report`.
+
+    Whether any key repeats is asked first, of the key columns alone (counts are combined before the shuffle): a table without
+    repeats, which is the rule, goes on as it is, without its whole rows being sorted and reduced."""
     keys = _key_columns(df)
     rest = [c for c in df.columns if c not in keys]
     known = df.where(F.col(KEY_MCT).isNotNull())
+    if known.groupBy(*keys).count().where("count > 1").isEmpty():
+        return known
     if not rest:
         return known.dropDuplicates(keys)
     one = known.groupBy(*keys).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("_row"))

@@ -243,6 +243,18 @@ def q_avg_precision(spark, sf):
     return out.select("target", F.round("avg_precision", 6).alias("avg_precision"), "n_pos")
 
 
+@register("safe_metrics", f"""WITH {scored_ctes(True)}, {_DOC}, {_RISK_Y},
+c AS (SELECT 'quality' AS target, quality AS y FROM d UNION ALL SELECT 'toxic', toxic FROM d UNION ALL SELECT 'closure', y FROM r)
+SELECT target, y AS only_class, CAST(NULL AS DOUBLE) AS roc_auc, CAST(NULL AS DOUBLE) AS avg_precision, 'single-class' AS note,
+  CAST(SUM(y) AS BIGINT) AS n_pos, COUNT(*) - CAST(SUM(y) AS BIGINT) AS n_neg FROM c GROUP BY target, y""")
+def q_safe_metrics(spark, sf):
+    """Both ranking metrics within each class of each target: no number, and why, and the counts."""
+    d = _metric_targets(spark, sf).withColumn("only_class", F.col("y").cast("int"))
+    auc = roc_auc(d, "score", "y", group_cols=["target", "only_class"])
+    ap = average_precision(d, "score", "y", group_cols=["target", "only_class"]).select("target", "only_class", "avg_precision")
+    return auc.join(ap, ["target", "only_class"]).select("target", "only_class", "roc_auc", "avg_precision", "note", "n_pos", "n_neg")
+
+
 @register("platt_lstsq", f"""WITH {panel_ctes()}, {_LB}, {_CL},
 pm AS (SELECT p.ENCODED_MCT, p.TA_YM, LEAST(GREATEST(0.25 * pred_xgb + 0.25 * pred_lgbm + 0.25 * pred_rf + 0.15 * pred_gb
   + 0.10 * pred_dl, 0.0), 1.0) AS p_model, cl.y FROM preds p JOIN cl ON p.ENCODED_MCT = cl.ENCODED_MCT AND p.TA_YM = cl.TA_YM),
