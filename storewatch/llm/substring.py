@@ -27,6 +27,7 @@ alike; an empty table gives an empty result; extra columns, also clashing ones,
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -226,6 +227,22 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> list:
     return [F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("id"), F.xxhash64(text).alias("key"), text.alias("text")]
 
 
+@contextmanager
+def _own_shuffles_only(spark) -> Iterator[None]:
+    """Delete a written table's shuffle files as soon as it is written: else they lie on disk beside the next job's until the
+    driver collects the finished plans."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def repeated_runs(docs: DataFrame, scope: Scope, id_col: str = "doc_id", text_col: str = "text",
                   min_words: int = 13) -> DataFrame:
     """id, key, k1 (64-bit starts of the repeated runs) of every document that has one."""
@@ -280,7 +297,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                  pa.array(text, pa.string())],
                 names=[f"c{j}" for j in range(len(names))] + ["n_words", "n_removed", "spans", "cut"])
 
-    with Scope(spark) as scope:
+    with _own_shuffles_only(spark), Scope(spark) as scope:
         runs = repeated_runs(docs, scope, id_col, text_col, min_words)
         carried = [F.col(f"`{c}`").alias(f"c{i}") if c != text_col else F.lit(None).cast(docs.schema[i].dataType).alias(f"c{i}")
                    for i, c in enumerate(names)]
