@@ -161,3 +161,40 @@ def test_network_in_a_task_and_over_blocks(spark, table):
     assert ((one.predict(x) > 0.5) == y).mean() > 0.85
     again = B.fit_in_task(B.to_blocks(table, ["id"]), {"n": lambda b: neural.train_block(b, t)})["n"]
     assert np.array_equal(one.predict(x), again.predict(x))
+
+
+def test_waves_follow_the_depth_and_trees_stay_the_same():
+    x, y = rows_of(3000, seed=4)
+    cuts = [np.unique(c)[:-1] for c in x.T]
+    bins, h, score = boosting.to_bins(x, cuts), np.arange(3000, dtype=np.uint64), np.zeros(3000)
+    first = np.concatenate([[0], np.cumsum([len(c) + 1 for c in cuts])])
+    p = boosting.Boosting(1, 0.1, leaves=31, min_rows=20)
+
+    def grow(ahead):
+        waves = []
+
+        def histograms(nodes, wanted):
+            waves.append(len(wanted))
+            return boosting.block_histograms(bins, y, h, score, nodes, wanted, p, 0, first)
+
+        return boosting.Grower(cuts, p, 0, histograms, ahead).grow(), len(waves)
+
+    def depth(t, i=0):
+        return 0 if t.feature[i] < 0 else 1 + max(depth(t, t.left[i]), depth(t, t.right[i]))
+
+    (a, slow), (b, fast) = grow(0), grow(boosting.AHEAD)
+    assert all(np.array_equal(getattr(a, c), getattr(b, c)) for c in ("feature", "bin", "left", "right", "value"))
+    assert fast < slow and fast <= depth(b) + 2
+
+
+def test_a_step_over_kept_blocks_is_one_job_of_one_stage(spark, table):
+    sc = spark.sparkContext
+    kept = B.keep(B.to_blocks(table, ["id"], block_rows=130), lambda b: b.y)
+    assert B.kept_sum(kept, lambda y: np.array([len(y), y.sum()]), 2)[0] == 600
+    sc.setJobGroup("kept", "step")
+    B.kept_sum(kept, lambda y: np.array([y.sum()]), 1)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup("kept")]
+    ran = [s for j in jobs for s in j.stageIds if (i := sc.statusTracker().getStageInfo(s)) and i.numCompletedTasks]
+    assert len(jobs) == 1 and len(ran) == 1
+    kept.unpersist()
