@@ -1,8 +1,9 @@
 """Keyed streams that are read in order of event time, whatever order their rows arrive in (``transformWithState``).
 
-Rows wait in list state until the watermark has passed them; an event-time timer of their key then hands them on in order of time.
+Rows wait in list state until the watermark has passed them; an event-time timer then hands them on in order of time.  A state call
+costs the same for one row as for thousands, so keys share state by a hash (``BUCKETS``): a call serves all keys of a bucket.
 Every processor here keeps its own result state beside the waiting rows; both live in the RocksDB state store, so they
-survive a lost executor with the query's checkpoint.
+survive a lost executor with the query's checkpoint.  What no later row can ask for is forgotten.
 
 - :func:`ordered_alerts` (S5): alert with persistence over a store's last three scores, in order of time.
 - :func:`reused_scores` (S3): a request that repeats within five minutes gets the first one's result.
@@ -25,6 +26,8 @@ from storewatch.constants import REQUIRED_SLOTS, THRESHOLDS
 from storewatch.operators.dialogue import SLOTS
 
 DELETE_MESSAGE = "__delete__"
+BUCKETS = 4096  # keys of one bucket are held in a task together; a stream's checkpoint is tied to the number
+OUT_ROWS = 10_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -38,49 +41,71 @@ def _millis(t: pd.Timestamp) -> int:
 
 
 class InOrder(StatefulProcessor):
-    """Hands the rows of a key to :meth:`rate` once the watermark has passed them, oldest first.
+    """Hands the rows of a key to :meth:`rate` once the watermark has passed them, oldest first; the state is that of a bucket of keys.
 
-    Rows travel as (time in microseconds, JSON of the other columns); rows of one time go by their JSON."""
+    Rows travel as (time in microseconds, key, JSON of the other columns); rows of one time go by their JSON."""
 
     numbers: tuple = ()  # result columns of doubles
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, row string")
-        self.kept = handle.getValueState("kept", "value string")
+        self.waiting = handle.getListState("waiting", "at long, who string, row string")
+        self.kept = handle.getListState("kept", "who string, value string")
 
     def rate(self, key: tuple, rows: list[tuple[int, dict]], kept) -> tuple[list[dict], object]:
         """Result rows, and what to keep for the key (JSON-like; None: nothing)."""
         raise NotImplementedError
 
+    def lapsed(self, kept, passed: int) -> bool:
+        """Whether rows from ``passed`` on cannot depend on ``kept`` any more."""
+        return False
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        new = [(int(at), row) for pdf in rows for at, row in zip(pdf["at"], pdf["row"], strict=True)]
+        new = [(int(at), who, row) for pdf in rows for at, who, row in zip(pdf["at"], pdf["who"], pdf["row"], strict=True)]
         if new:
             self.waiting.appendList(new)
-            self.handle.registerTimer(min(at for at, _ in new) // 1000 + 1)
+            self._wake(min(at for at, _, _ in new))
         yield from ()
 
+    def _wake(self, at: int) -> None:
+        """A timer right behind ``at``, unless an earlier one will look anyway."""
+        if min(self.handle.listTimers(), default=at // 1000 + 2) > at // 1000 + 1:
+            self.handle.registerTimer(at // 1000 + 1)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        every = sorted((int(r[0]), r[1]) for r in self.waiting.get())
-        ready = [(at, json.loads(row)) for at, row in every if at < passed]
-        later = [r for r in every if r[0] >= passed]
+        ready, later = {}, []
+        for at, who, row in self.waiting.get():
+            if at < passed:
+                ready.setdefault(who, []).append((int(at), row))
+            else:
+                later.append((int(at), who, row))
         if not ready:
             return
-        kept = json.loads(self.kept.get()[0]) if self.kept.exists() else None
-        out, kept = self.rate(key, ready, kept)
+        kept = {who: json.loads(value) for who, value in self.kept.get()} if self.kept.exists() else {}
+        out = []
+        for who in sorted(ready):
+            made, left = self.rate((who,), [(at, json.loads(row)) for at, row in sorted(ready.pop(who))], kept.pop(who, None))
+            out += made
+            if left is not None:
+                kept[who] = left
+            if len(out) >= OUT_ROWS:
+                yield self._frame(out)
+                out = []
+        kept = [(who, json.dumps(value)) for who, value in kept.items() if not self.lapsed(value, passed)]
+        for state, rows in ((self.waiting, later), (self.kept, kept)):
+            if rows:
+                state.put(rows)
+            else:
+                state.clear()
         if later:
-            self.waiting.put(later)
-            self.handle.registerTimer(later[0][0] // 1000 + 1)
-        else:
-            self.waiting.clear()
-        if kept is None:
-            self.kept.clear()
-        else:
-            self.kept.update((json.dumps(kept),))
+            self.handle.registerTimer(min(at for at, _, _ in later) // 1000 + 1)
         if out:
-            made = pd.DataFrame(out)
-            yield made.astype({c: "float64" for c in self.numbers if c in made})
+            yield self._frame(out)
+
+    def _frame(self, out: list) -> pd.DataFrame:
+        made = pd.DataFrame(out)
+        return made.astype({c: "float64" for c in self.numbers if c in made})
 
     def close(self) -> None:
         pass
@@ -90,7 +115,9 @@ def in_order(stream: DataFrame, key: str, time: str, columns: list, delay: str,
     """``stream`` through ``processor``, by key, in order of ``time``; rows more than ``delay`` behind the newest are dropped."""
     # the query's helper process on the driver does not see files sent to the workers: it gets the classes themselves
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    rows = stream.select(F.col(key).cast("string").alias("key"), F.col(time).cast("timestamp").alias("ts"),
+    who = F.col(key).cast("string")
+    bucket = F.when(who.isNotNull(), F.pmod(F.xxhash64(who), F.lit(BUCKETS)).cast("int"))
+    rows = stream.select(bucket.alias("key"), who.alias("who"), F.col(time).cast("timestamp").alias("ts"),
                          F.unix_micros(F.col(time).cast("timestamp")).alias("at"), F.to_json(F.struct(*columns)).alias("row"))
     # the condition names ts so that it stays behind the watermark, which rows without a key move too
     kept = rows.withWatermark("ts", delay).where("if(ts is null, false, key is not null)")
@@ -132,6 +159,9 @@ class FirstResult(InOrder):
     def __init__(self, within_s: int):
         self.within = within_s * 1_000_000
 
+    def lapsed(self, kept, passed):
+        return passed - kept["at"] >= self.within
+
     def rate(self, key, rows, kept):
         out = []
         for at, row in rows:
@@ -161,6 +191,9 @@ class Sessions(InOrder):
     def __init__(self, ttl_s: int):
         self.ttl = ttl_s * 1_000_000
 
+    def lapsed(self, kept, passed):
+        return passed >= kept["until"]
+
     def rate(self, key, rows, kept):
         out = []
         for at, row in rows:

@@ -112,3 +112,60 @@ def test_feedback_is_appended_once(spark):
     assert bad >= {("g1", ("session_id",)), (None, ("id",)), ("g2", ("rating",))} and len(bad) == len(rows) - len(good)
     table.append(df.limit(0), 0)
     assert table.rows().count() < len(good)  # a batch's folder holds what its last write brought
+
+
+def test_keys_share_state_calls_and_lapsed_results_are_forgotten():
+    class State:
+        def __init__(self):
+            self.rows, self.calls = [], 0
+
+        def appendList(self, rows):
+            self.calls += 1
+            self.rows = self.rows + rows
+
+        def put(self, rows):
+            self.calls += 1
+            self.rows = list(rows)
+
+        def get(self):
+            self.calls += 1
+            return iter(self.rows)
+
+        def exists(self):
+            return bool(self.rows)
+
+        def clear(self):
+            self.rows = []
+
+    class Handle:
+        def __init__(self):
+            self.states, self.timers = {}, []
+
+        def getListState(self, name, _schema):
+            return self.states.setdefault(name, State())
+
+        def listTimers(self):
+            return iter(self.timers)
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Time:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    p, handle = ordered.FirstResult(300), Handle()
+    p.init(handle)
+    minute = 60_000_000
+    rows = pd.DataFrame([(m * minute, f"k{i}", f'{{"id": "{i}-{m}"}}') for i in range(500) for m in (9, 1, 0)], columns=["at", "who", "row"])
+    assert not list(p.handleInputRows((0,), iter([rows.iloc[:700], rows.iloc[700:]]), None)) and handle.timers == [1]
+    out = pd.concat(p.handleExpiredTimer((0,), Time(5 * 60_000), None))
+    assert len(out) == 1000 and out.reused.sum() == 500 and set(out.id.str[-2:]) == {"-0"}
+    assert len(handle.states["waiting"].rows) == 500 and not handle.states["kept"].rows  # five minutes have passed
+    out = pd.concat(p.handleExpiredTimer((0,), Time(10 * 60_000), None))
+    assert len(out) == 500 and not out.reused.any() and not handle.states["waiting"].rows
+    assert len(handle.states["kept"].rows) == 500  # results of the ninth minute
+    assert sum(s.calls for s in handle.states.values()) < 10
