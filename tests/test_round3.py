@@ -49,3 +49,17 @@ def test_group_names_of_percent_ranks_never_meet(spark):
     out = {r.k: (r.p, r.d) for r in with_percent_ranks(rows, ["k"], [("p", ["x", "y"], "v", False), ("d", [], "v", True)]).collect()}
     assert out == {1: (0.0, 1.0), 2: (0.0, 2 / 3), 3: (1.0, 1 / 3), 4: (None, 0.0), 5: (None, None)}
     assert "to_json" not in _plan(with_percent_ranks(rows, ["k"], [("p", ["x", "y"], "v", False)]))
+
+
+def test_high_risk_places_without_a_window_of_a_whole_month(spark):
+    from storewatch.operators.trends import high_risk_stores
+    rows = [("m", "b", 0.5), ("m", "a", 0.5), ("m", "c", 0.9), ("m", "c", 0.9), ("m", "d", 0.1), ("n", "a", None), (None, "z", 0.4), ("n", None, 0.7),
+            ("n", "e", float("nan"))]
+    df = spark.createDataFrame(rows, "target_month string, store_id string, p_final double")
+    high = high_risk_stores(df)
+    assert "[target_month#" not in "".join(line for line in _plan(high).splitlines() if "Window" in line)
+    got = sorted(map(repr, (tuple(r) for r in high.collect())))
+    assert got == sorted(map(repr, [("m", "c", 0.9, 1), ("m", "c", 0.9, 2), ("m", "a", 0.5, 3), ("m", "b", 0.5, 4), (None, "z", 0.4, 1),
+                                    ("n", None, 0.7, 2), ("n", "e", float("nan"), 1)]))
+
+
