@@ -2,6 +2,7 @@
 import contextlib
 import io
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from data_paths import SF_SMALL
@@ -63,3 +64,11 @@ def test_high_risk_places_without_a_window_of_a_whole_month(spark):
                                     ("n", None, 0.7, 2), ("n", "e", float("nan"), 1)]))
 
 
+def test_every_factor_term_is_written_once(spark):
+    from storewatch.constants import BIN_COLS, KEY_MCT, KEY_YM
+    from storewatch.operators.factors import risk_factors
+    from storewatch.operators.risk import INPUT_COLS
+    row = Row(**{KEY_MCT: "1", KEY_YM: None} | {f"{c}_RANK": 0.5 for c in BIN_COLS} | {c: 50.0 for c in INPUT_COLS})
+    types = f"{KEY_MCT} string, {KEY_YM} date, " + ", ".join(f"{c} double" for c in [*[f"{c}_RANK" for c in BIN_COLS], *INPUT_COLS])
+    plan = risk_factors(spark.createDataFrame([tuple(row)], types))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("struct(less,") == 1 and "array_sort(" not in plan
