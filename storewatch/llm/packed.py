@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from storewatch.llm.words import mix
 
 CHUNK = 1 << 16
+TEXT_A_PARTITION = 4 << 20
 SCHEMA = "bucket int, kind int, ids binary, keys binary, doc binary, a binary, b binary, c binary"
 _ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32())]
                    + [(n, pa.binary()) for n in ("ids", "keys", "doc", "a", "b", "c")])
@@ -25,9 +26,11 @@ def limit_batches(spark: SparkSession, limit: str = "16m") -> None:
         spark.conf.set(name, limit)
 
 
-def partitions(spark: SparkSession) -> int:
-    """Shuffle partitions of the session, which a job sizes to its data."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def partitions(spark: SparkSession, size: int | None = None) -> int:
+    """Shuffle partitions of the session, which a job sizes to its data; fewer (one a core at least) where ``size`` bytes of text would leave
+    less than ``TEXT_A_PARTITION`` to each: every task packs rows for every other, so their number would follow the square of the tasks'."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return n if size is None else min(n, max(spark.sparkContext.defaultParallelism, -(-size // TEXT_A_PARTITION)))
 
 
 def pack_entries(bucket: np.ndarray, kind: int, ids: np.ndarray, keys: np.ndarray, doc: np.ndarray,

@@ -248,8 +248,9 @@ def repeated_runs(docs: DataFrame, scope: Scope, id_col: str = "doc_id", text_co
     """id, key, k1 (64-bit starts of the repeated runs) of every document that has one."""
     spark = docs.sparkSession
     packed.limit_batches(spark)
-    parts, block = packed.partitions(spark), (min_words + 1) // 2
     rows = docs.select(*_keyed(docs, id_col, text_col))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts, block = packed.partitions(spark, size), (min_words + 1) // 2
     hits = scope.table(packed.regroup(_probe(_anchors(rows, block, min_words, 2 * parts), parts), (REF, PROBE), parts))
     with_hits = rows.join(hits, ["id", "key"]).select("id", "key", "text", "k0", "k1")
     return scope.table(packed.regroup(_confirm(_extensions(with_hits, block, min_words, 2 * parts), parts), (PROBE,), parts))
