@@ -173,7 +173,7 @@ def unpack_ids(raw: bytes, length: int) -> np.ndarray:
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "doc_id", text_col: str = "text",
-           end_id: int = 0, with_ids: bool = False, slice_bytes: int = 8 << 20) -> DataFrame:
+           end_id: int = 0, with_ids: bool = False, slice_bytes: int = 2 << 20) -> DataFrame:
     """One row per piece of at most ``capacity`` tokens: doc_id, piece, start, length, ids_crc32, ids (null unless ``with_ids``:
     little-endian unsigned numbers of :func:`id_type`), and part, nth: the task that made it and its number among that task's
     pieces of the length."""
@@ -182,6 +182,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "doc_id
                         ("ids_crc32", pa.int64()), ("ids", pa.binary()), ("part", pa.int32()), ("nth", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what an earlier stage left with this worker
         part, made = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for lo, hi in row_slices(batch.column(1), slice_bytes):
