@@ -19,7 +19,7 @@ _ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32())]
                    + [(n, pa.binary()) for n in ("ids", "keys", "doc", "a", "b", "c")])
 
 
-def limit_batches(spark: SparkSession, limit: str = "16m") -> None:
+def limit_batches(spark: SparkSession, limit: str = "4m") -> None:
     """Bound the bytes of an Arrow batch unless the session already does: 10,000 long texts do not fit a worker."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(name, None) in (None, "-1", str(2**31 - 1), str(2**63 - 1)):
@@ -105,9 +105,12 @@ def batches_of(rows: Iterator[dict], limit: int = 4 << 20, schema: pa.Schema = _
         yield pa.RecordBatch.from_pylist(held, schema=schema)
 
 
-def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+def rows_of(batches: Iterator[pa.RecordBatch], at_once: int = 64) -> Iterator[dict]:
+    """Rows of the batches, ``at_once`` of them copied at a time."""
+    pa.default_memory_pool().release_unused()  # what an earlier stage left with this worker
     for batch in batches:
-        yield from batch.to_pylist()
+        for lo in range(0, batch.num_rows, at_once):
+            yield from batch.slice(lo, at_once).to_pylist()
 
 
 def ids_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -81,7 +81,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=8)
 def _powers(lane: int, size: int, inverse: bool) -> np.ndarray:
     base = pow(_BASE[lane], -1, 1 << 64) if inverse else _BASE[lane]
     steps = np.full(size, np.uint64(base))
@@ -97,13 +97,26 @@ def _run_hash(values: np.ndarray, begin: np.ndarray, end: np.ndarray, lane: int)
     return (total[end] - total[begin]) * _powers(lane, size, True)[begin]
 
 
+def _word_blocks(spans: np.ndarray, max_bytes: int = 1 << 17) -> Iterator[slice]:
+    """Words of about ``max_bytes`` together: their bytes are spread to 64-bit numbers, several at a time, so a slice of text is not hashed at once."""
+    lo = 0
+    while lo < len(spans) - 1:
+        hi = max(lo + 1, int(np.searchsorted(spans, spans[lo] + max_bytes, side="right")) - 1)
+        yield slice(lo, hi)
+        lo = hi
+
+
 def word_hashes(col: pa.Array, lanes: int = 1, lower: bool = False) -> tuple[list[np.ndarray], np.ndarray]:
     """One 64-bit hash per word and lane, and the texts' word offsets.  Lanes are independent."""
     data, off = _flat(col)
     packed, spans, starts = _spans(_lower(data) if lower else data, off)
-    values = packed.astype(np.uint64) + np.uint64(1)
     size = np.diff(spans)
-    out = [mix(_run_hash(values, spans[:-1], spans[1:], lane) ^ size.astype(np.uint64)) for lane in range(lanes)]
+    out = [np.empty(len(size), np.uint64) for _ in range(lanes)]
+    for part in _word_blocks(spans):
+        edge = spans[part.start:part.stop + 1]
+        values = packed[edge[0]:edge[-1]].astype(np.uint64) + np.uint64(1)
+        for lane in range(lanes):
+            out[lane][part] = mix(_run_hash(values, edge[:-1] - edge[0], edge[1:] - edge[0], lane) ^ size[part].astype(np.uint64))
     for i in np.flatnonzero(size > 256):  # a polynomial is weak on long crafted words
         raw = packed[spans[i]:spans[i + 1]].tobytes()
         for lane in range(lanes):
