@@ -13,7 +13,7 @@ from storewatch.plans.oracle_panel import panel_ctes
 from storewatch.plans.oracle_risk import r6s, scored_ctes
 from storewatch.plans.q_requests import QS_SQL
 from storewatch.plans.q_text import _DLG_SQL
-from storewatch.session import ensure_checkpoint_dir
+from storewatch.session import Scope, cut_lineage, ensure_checkpoint_dir
 from storewatch.sources.requests import REQUEST_SQL, request_table
 from storewatch.sources.tables import Tables
 from storewatch.operators.quickscore import quickscore
@@ -117,12 +117,14 @@ def q_stream_persistence_alerts(spark, sf):
 
 
 def _out_of_order(spark, rows, time: str, base: str, name: str, days: int):
-    """``rows`` landed in an order that is off by up to ``days`` days, as a stream of several micro-batches."""
+    """``rows`` landed in an order that is off by up to ``days`` days, as a stream of several micro-batches.  They are worked out once: the
+    span of their times, every slice and the closing row read a written table, which is dropped when all have landed."""
     use_rocksdb(spark)
     jitter = F.pmod(F.xxhash64(*rows.columns), F.lit(days * 86_400))
-    late = rows.withColumn("arrival", F.timestamp_micros(F.unix_micros(time) + jitter * 1_000_000))
-    end = closing_row(late, "arrival", "400 DAYS").withColumn(time, F.col("arrival"))
-    return read_stream_like(spark, late, f"{base}/{name}", "arrival", closing=end)
+    with Scope(spark) as scope:
+        late = scope.table(rows.withColumn("arrival", F.timestamp_micros(F.unix_micros(time) + jitter * 1_000_000)))
+        end = closing_row(late, "arrival", "400 DAYS").withColumn(time, F.col("arrival"))
+        return read_stream_like(spark, late, f"{base}/{name}", "arrival", closing=end)
 
 
 @register("stream_ordered_alerts", f"""WITH {scored_ctes(True)},
@@ -179,7 +181,7 @@ def q_session_table(spark, sf):
     turns = parse_messages(dialogue_table(request_table(panel(spark, sf))))
     gone = (F.regexp_extract("session_id", "^([0-9]+)", 1).cast("long") % 3 == 0) & (F.col("turn") == 1)
     turns = turns.withColumn("message", F.when(gone, DELETE_MESSAGE).otherwise(F.col("message"))).withColumn("ts", F.col("ts").cast("timestamp"))
-    turns = turns.select("session_id", "turn", "ts", "message", *SLOTS)
+    turns = cut_lineage(turns.select("session_id", "turn", "ts", "message", *SLOTS))   # the stream, the newest time and two deletions read it
     table = SessionTable(spark, f"{base}/sessions")
     run_into(session_states(_out_of_order(spark, turns, "ts", base, "turns", 2), "3 days"), table.upsert, f"{base}/_checkpoint")
     now = turns.agg(F.max("ts").cast("string")).first()[0]

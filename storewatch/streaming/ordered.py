@@ -1,7 +1,9 @@
 """Keyed streams that are read in order of event time, whatever order their rows arrive in (``transformWithState``).
 
 Rows wait in list state until the watermark has passed them; an event-time timer then hands them on in order of time.  A state call
-costs the same for one row as for thousands, so keys share state by a hash (``BUCKETS``): a call serves all keys of a bucket.
+costs the same for one row as for thousands, so keys share state by a hash (``BUCKETS``): a call serves all keys of a bucket, and the rows
+of a bucket travel and wait as packs (:func:`packs`, :class:`Packed`).  A pack counts as late by its newest row; an older row in it is dropped
+only when its bucket has handed on later ones.
 Every processor here keeps its own result state beside the waiting rows; both live in the RocksDB state store, so they
 survive a lost executor with the query's checkpoint.  What no later row can ask for is forgotten.
 
@@ -12,22 +14,27 @@ survive a lost executor with the query's checkpoint.  What no later row can ask
 from __future__ import annotations
 
 import json
+import pickle
 import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from storewatch.constants import REQUIRED_SLOTS, THRESHOLDS
+from storewatch.operators.blocks import limit_batches
 from storewatch.operators.dialogue import SLOTS
 
 DELETE_MESSAGE = "__delete__"
-BUCKETS = 4096  # keys of one bucket are held in a task together; a stream's checkpoint is tied to the number
+BUCKETS = 1024  # keys of one bucket are held in a task together; a stream's checkpoint is tied to the number
 OUT_ROWS = 10_000
+GATHERED = 200_000  # rows that a task packs at a time
+PACK_ROWS = 5_000   # rows of a pack in the state at most
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -111,18 +118,116 @@ class InOrder(StatefulProcessor):
         pass
 
 
+def pack_rows(at: np.ndarray, who: list, row: list) -> list[tuple[int, bytes]]:
+    """Earliest time and content of packs of at most ``PACK_ROWS`` rows."""
+    return [(int(at[i:i + PACK_ROWS].min()), pickle.dumps((at[i:i + PACK_ROWS].astype("<i8").tobytes(), who[i:i + PACK_ROWS], row[i:i + PACK_ROWS]), 5))
+            for i in range(0, len(at), PACK_ROWS)]
+
+
+def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, who, at, row) as packs by key: key, low (earliest time of the pack), ts (its latest), pack.  Rows without a time go; rows
+    without a key leave their latest time."""
+    held: list[pa.RecordBatch] = []
+
+    def flush() -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        held.clear()
+        t = t.filter(t.column("at").is_valid())
+        key = t.column("key").fill_null(-1).to_numpy()
+        order = np.argsort(key, kind="stable")
+        key, at = key[order], t.column("at").to_numpy()[order]
+        who, row = t.column("who").take(order).to_pylist(), t.column("row").take(order).to_pylist()
+        out: dict = {"key": [], "low": [], "ts": [], "pack": []}
+        edges = np.concatenate([np.flatnonzero(np.diff(key, prepend=-2)), [len(key)]])
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            mine = pack_rows(at[lo:hi], who[lo:hi], row[lo:hi]) if key[lo] >= 0 else [(0, b"")]
+            out["low"] += [low for low, _ in mine]
+            out["pack"] += [pack for _, pack in mine]
+            out["key"] += [int(key[lo]) if key[lo] >= 0 else None] * len(mine)
+            out["ts"] += [int(at[lo:hi].max())] * len(mine)
+        return pa.RecordBatch.from_pydict({"key": pa.array(out["key"], pa.int32()), "low": pa.array(out["low"], pa.int64()),
+                                           "ts": pa.array(out["ts"], pa.int64()).cast(pa.timestamp("us", "UTC")), "pack": pa.array(out["pack"], pa.binary())})
+
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= GATHERED:
+            yield flush()
+    if held:
+        yield flush()
+
+
+class Packed(StatefulProcessor):
+    """What ``rules`` says of rows in order of time (:class:`InOrder`), with rows and what is kept of them in packs."""
+
+    def __init__(self, rules: InOrder):
+        self.rules = rules
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.rules.handle = self.handle = handle
+        self.waiting = handle.getListState("waiting", "low long, pack binary")
+        self.kept = handle.getValueState("kept", "passed long, pack binary")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = [(int(low), bytes(pack)) for pdf in rows for low, pack in zip(pdf["low"], pdf["pack"], strict=True)]
+        if new:
+            self.waiting.appendList(new)
+            self.rules._wake(min(low for low, _ in new))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        before, kept = None, {}
+        if self.kept.exists():
+            before, pack = self.kept.get()
+            if before >= passed:
+                return  # an earlier timer of this batch has seen to all
+            kept = pickle.loads(bytes(pack))  # noqa: S301 - written here
+        ready, later = {}, ([], [], [])
+        for _, pack in self.waiting.get():
+            at, who, row = pickle.loads(bytes(pack))  # noqa: S301 - written by packs
+            for a, w, r in zip(np.frombuffer(at, "<i8").tolist(), who, row, strict=True):
+                if a >= passed:
+                    for column, value in zip(later, (a, w, r), strict=True):
+                        column.append(value)
+                elif before is None or a >= before:
+                    ready.setdefault(w, []).append((a, r))
+        out = []
+        for who in sorted(ready):
+            made, left = self.rules.rate((who,), [(at, json.loads(row)) for at, row in sorted(ready.pop(who))], kept.pop(who, None))
+            out += made
+            if left is not None:
+                kept[who] = left
+            if len(out) >= OUT_ROWS:
+                yield self.rules._frame(out)
+                out = []
+        self.kept.update((passed, pickle.dumps({who: value for who, value in kept.items() if not self.rules.lapsed(value, passed)}, 5)))
+        if later[0]:
+            rest = pack_rows(np.array(later[0], np.int64), later[1], later[2])
+            self.waiting.put(rest)
+            self.handle.registerTimer(min(low for low, _ in rest) // 1000 + 1)
+        else:
+            self.waiting.clear()
+        if out:
+            yield self.rules._frame(out)
+
+    def close(self) -> None:
+        pass
+
+
 def in_order(stream: DataFrame, key: str, time: str, columns: list, delay: str, processor: StatefulProcessor, schema: str) -> DataFrame:
     """``stream`` through ``processor``, by key, in order of ``time``; rows more than ``delay`` behind the newest are dropped."""
     # the query's helper process on the driver does not see files sent to the workers: it gets the classes themselves
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     who = F.col(key).cast("string")
     bucket = F.when(who.isNotNull(), F.pmod(F.xxhash64(who), F.lit(BUCKETS)).cast("int"))
-    rows = stream.select(bucket.alias("key"), who.alias("who"), F.col(time).cast("timestamp").alias("ts"),
-                         F.unix_micros(F.col(time).cast("timestamp")).alias("at"), F.to_json(F.struct(*columns)).alias("row"))
+    limit_batches(stream.sparkSession)
+    rows = stream.select(bucket.alias("key"), who.alias("who"), F.unix_micros(F.col(time).cast("timestamp")).alias("at"),
+                         F.to_json(F.struct(*columns)).alias("row"))
+    packed = rows.mapInArrow(packs, "key int, low long, ts timestamp, pack binary")
     # the condition names ts so that it stays behind the watermark, which rows without a key move too
-    kept = rows.withWatermark("ts", delay).where("if(ts is null, false, key is not null)")
+    kept = packed.withWatermark("ts", delay).where("if(ts is null, false, key is not null)")
     return kept.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+        statefulProcessor=Packed(processor), outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
 class Alerts(InOrder):
